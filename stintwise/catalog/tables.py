@@ -342,3 +342,77 @@ class Tables:
             .alias("metric_name"),
             F.when(kind == "signup", c("k") / 100.0).otherwise(c("value")).alias("metric_value"),
         )
+
+    @cached_property
+    def nested_predictions(self) -> DataFrame:
+        """Predictions as the scoring step emits them: a feature array and a nested result.
+
+        Every seventh probability is missing, and arrays have 3 to 11 values.
+        """
+        p = self.predictions
+        values = F.array(
+            c("tyre_age").cast("double"),
+            c("stint_number").cast("double"),
+            c("gap_to_leader"),
+            (18.0 + c("throttle") % 22),
+            (30.0 + c("throttle") % 30),
+            F.when(c("throttle") % 12 == 0, 1.0).otherwise(0.0),
+            c("speed"),
+            F.lit(0.25),
+            F.lit(0.5),
+            F.lit(0.75),
+            F.lit(1.0),
+        )
+        known = c("throttle") % 7 != 0
+        probability = F.when(known, c("pitstop_probability"))
+        return p.select(
+            *DRIVER,
+            "driver_name",
+            "team",
+            "tyre_compound",
+            "lap_number",
+            "ts",
+            "pits_completed",
+            F.when(c("pits_completed") > 0, c("speed")).alias("last_pit_duration"),
+            F.when(c("pits_completed") > 0, c("lap_number") - c("tyre_age")).alias("last_pit_lap"),
+            F.when(c("throttle") % 4 != 0, c("drs_active")).alias("drs_active"),
+            "speed",
+            "throttle",
+            (100 - c("throttle")).alias("brake"),
+            (c("throttle") % 9).alias("gear"),
+            F.slice(values, F.lit(1), 3 + c("throttle") % 9).alias("features"),
+            F.struct(
+                probability.alias("pitstop_probability"), F.when(known, c("confidence")).alias("confidence")
+            ).alias("prediction"),
+            ((c("speed") % 100) / 100).alias("win_probability"),
+            "safety_car_active",
+            "commentary",
+        )
+
+    @cached_property
+    def inference_log(self) -> DataFrame:
+        """One document per session and lap: at most 22 predictions each, one per driver."""
+        item = F.struct(
+            "driver_number", "driver_name", "team", "tyre_compound", "lap_number", "pits_completed",
+            "last_pit_duration", "last_pit_lap", "drs_active", "speed", "throttle", "brake", "gear", "features",
+            "prediction", "win_probability", "safety_car_active",
+        )
+        country = c("session_key") % 4
+        return (
+            self.nested_predictions.groupBy("session_key", "lap_number")
+            .agg(
+                F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+                F.sort_array(F.collect_list(item)).alias("predictions"),
+                F.bool_or("safety_car_active").alias("safety_car_active"),
+                F.max("commentary").alias("commentary"),
+            )
+            .select(
+                "session_key",
+                F.when(country == 0, "Japan").when(country == 1, "Italy").when(country == 2, "Nowhere").otherwise("Monaco").alias("country_name"),
+                "timestamp",
+                "predictions",
+                "safety_car_active",
+                F.lit(False).alias("race_finished"),
+                "commentary",
+            )
+        )

@@ -112,6 +112,21 @@ FROM (SELECT session_key, driver_number, COUNT(*) AS laps, SUM(CASE WHEN event_t
 SELECT session_key, CASE session_key % 5 WHEN 0 THEN 'Race' WHEN 1 THEN 'Qualifying' WHEN 2 THEN 'Sprint' ELSE 'Practice' END AS session_type,
        date_start, CASE session_key % 4 WHEN 0 THEN 'Japan' WHEN 1 THEN 'Italy' WHEN 2 THEN 'Nowhere' ELSE 'Monaco' END AS country_name
 FROM (SELECT session_key, MIN(event_time) AS date_start FROM f_base GROUP BY session_key) g
+""",
+    "f_nested": """
+SELECT session_key, driver_number, driver_name, team, tyre_compound, lap_number, ts, pits_completed,
+       CASE WHEN pits_completed > 0 THEN speed END AS last_pit_duration, CASE WHEN pits_completed > 0 THEN lap_number - tyre_age END AS last_pit_lap,
+       CASE WHEN throttle % 4 <> 0 THEN drs_active END AS drs_active, speed, throttle, 100 - throttle AS brake, throttle % 9 AS gear,
+       3 + throttle % 9 AS n_features, CAST(tyre_age AS DOUBLE) AS f0, CAST(stint_number AS DOUBLE) AS f1, gap_to_leader AS f2, 18.0E0 + throttle % 22 AS f3,
+       30.0E0 + throttle % 30 AS f4, CASE WHEN throttle % 12 = 0 THEN 1.0E0 ELSE 0.0E0 END AS f5, speed AS f6,
+       CASE WHEN throttle % 7 <> 0 THEN pitstop_probability END AS p, CASE WHEN throttle % 7 <> 0 THEN confidence END AS conf,
+       (speed % 100) / 100 AS win_probability, safety_car_active, commentary
+FROM f_predictions
+""",
+    "f_log": """
+SELECT session_key, lap_number, CASE session_key % 4 WHEN 0 THEN 'Japan' WHEN 1 THEN 'Italy' WHEN 2 THEN 'Nowhere' ELSE 'Monaco' END AS country_name,
+       strftime(MAX(ts), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, MAX(commentary) AS commentary
+FROM f_nested GROUP BY session_key, lap_number
 """,
 }
 
