@@ -20,7 +20,7 @@ def drop_noise_logs(df: DataFrame) -> DataFrame:
 
 
 def _number(label: str, unit: str) -> Column:
-    found = F.regexp_extract("message", rf"(?<![A-Za-z] ){label}: (-?[0-9]+(?:\.[0-9]+)?) {unit}", 1)
+    found = F.regexp_extract("message", rf"{label}: (-?[0-9]+(?:\.[0-9]+)?) {unit}", 1)
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
@@ -50,7 +50,7 @@ def parse_report_lines(df: DataFrame) -> DataFrame:
         level.alias("log_level"),
         tag.alias("tag"),
         F.when(report, F.regexp_extract(m, r"RequestId: (\S+)", 1)).alias("request_id"),
-        F.when(report, _number("Duration", "ms")).alias("duration_ms"),
+        F.when(report, _number(r"RequestId: \S+\s+Duration", "ms")).alias("duration_ms"),
         F.when(report, _number("Billed Duration", "ms")).alias("billed_duration_ms"),
         F.when(report, _number("Memory Size", "MB")).cast("int").alias("memory_size_mb"),
         F.when(report, _number("Max Memory Used", "MB")).cast("int").alias("memory_used_mb"),
