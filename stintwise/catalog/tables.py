@@ -29,18 +29,22 @@ def fixture_team(n: Column) -> Column:
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, events: DataFrame | None = None, feed: DataFrame | None = None):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        if events is not None:
+            self.events = events
+        if feed is not None:
+            self.feed = feed
 
     @cached_property
     def events(self) -> DataFrame:
         return self.spark.read.schema(schemas.EVENTS).parquet(f"{self.dir}/events.parquet")
 
-    @cached_property
-    def feed(self) -> DataFrame:
+    @staticmethod
+    def to_feed(events: DataFrame) -> DataFrame:
         """Events as telemetry records, without lap numbers (filters still reach the scan)."""
-        return self.events.select(
+        return events.select(
             (F.floor(c("user_id") / 22.0).cast("bigint") + 9000).alias("session_key"),
             c("user_id").cast("int").alias("driver_number"),
             "event_id",
@@ -50,6 +54,10 @@ class Tables:
             F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         )
 
+    @cached_property
+    def feed(self) -> DataFrame:
+        return self.to_feed(self.events)
+
     @cached_property
     def base(self) -> DataFrame:
         timed = series(
@@ -277,6 +285,60 @@ class Tables:
             )
         )
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self.feed.where(c("event_type") == "signup").select(
+            *DRIVER, c("event_time").alias("date"), c("value").alias("x"), c("k").cast("double").alias("y")
+        )
+
+    @cached_property
+    def session_documents(self) -> DataFrame:
+        """Raw documents: one per driver and block of 256 laps, and one per session and day.
+
+        A session thus comes as several documents, none of which grows with the race.
+        """
+        block = F.floor(c("lap_number") / 256).alias("_block")
+        lap = F.struct(
+            "lap_number",
+            c("event_time").cast("timestamp").alias("date_start"),
+            "duration_sector_1",
+            "lap_duration",
+        )
+        interval = F.struct(
+            "lap_number", c("gap_raw").alias("gap_to_leader"), c("event_time").cast("timestamp").alias("date")
+        )
+        stop = F.struct(
+            "lap_number", (18.0 + c("k") / 4.0).alias("pit_duration"), (c("k") % 15 == 0).alias("pit_out_lap")
+        )
+        driven = self.laps.groupBy(*DRIVER, block).agg(
+            F.sort_array(F.collect_list(lap)).alias("laps"),
+            F.sort_array(F.collect_list(F.when(c("k") % 4 != 1, interval))).alias("intervals"),
+            F.sort_array(F.collect_list(F.when(c("did_pit") == 1, stop))).alias("pit"),
+        )
+        stint = F.struct("stint_number", "lap_start", "lap_end", "compound")
+        laid = self.stints.groupBy(*DRIVER, F.floor(c("lap_start") / 256).alias("_block")).agg(
+            F.sort_array(F.collect_list(stint)).alias("stints")
+        )
+        driver = F.struct("laps", "stints", "intervals", "pit")
+        per_driver = driven.join(laid, [*DRIVER, "_block"], "left").select(
+            "session_key",
+            F.lit(2024).alias("year"),
+            F.create_map(c("driver_number").cast("string"), driver).alias("drivers"),
+        )
+        at = c("date").cast("timestamp")
+        readings = self.weather.groupBy("session_key", F.to_date("date").alias("_day")).agg(
+            F.sort_array(
+                F.collect_list(F.struct(at.alias("date"), "air_temperature", "track_temperature", "rainfall"))
+            ).alias("weather")
+        )
+        messages = self.race_control.groupBy("session_key", F.to_date("date").alias("_day")).agg(
+            F.sort_array(F.collect_list(F.struct(at.alias("date"), "flag", "message", "lap_number"))).alias("race_control")
+        )
+        per_session = readings.join(messages, ["session_key", "_day"], "full").select(
+            "session_key", F.lit(2024).alias("year"), "weather", "race_control"
+        )
+        return per_driver.unionByName(per_session, allowMissingColumns=True)
+
     @cached_property
     def sessions(self) -> DataFrame:
         key = c("session_key")
