@@ -16,7 +16,7 @@ from stintwise.catalog.tables import Tables
 from stintwise.functions.parsing import parse_gap, rain_flag
 from stintwise.operators.quality import format_prediction, prediction_events as flat_events
 from stintwise.plans import dashboards
-from stintwise.session import shared_dir
+from stintwise.session import shared_dir, written
 from stintwise.sources import readers as R
 from stintwise.sources import writers as W
 from stintwise.streaming import enrichment
@@ -217,8 +217,7 @@ def read_function_logs(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, ts, function_name, metric_name, metric_value FROM f_metric_points")
 def read_metric_points(t: Tables) -> DataFrame:
-    path = _dir(t, "metrics")
-    t.metric_points.write.json(path)
+    path = W.write_records(t.metric_points, _dir(t, "metrics"))
     return R.read_metric_points(t.spark, path)
 
 
@@ -335,6 +334,8 @@ def on_new_raw(t: Tables) -> DataFrame:
 def _tables_of(t: Tables):
     def build(feed: DataFrame) -> dict[str, DataFrame]:
         found = Tables(t.spark, t.dir, feed=feed)
+        found.base = written(found.base, "cycle-laps")
+        found.laps_in_stints = written(found.laps_in_stints, "cycle-stints")
         return {n: getattr(found, n) if n != "laps" else found.laps.withColumn("gap_to_leader", c("gap_raw")) for n in enrichment.FEEDS}
 
     return build

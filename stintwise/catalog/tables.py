@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stintwise import schemas
 from stintwise.functions.scoring import StackParams, confidence, stack_probability
 from stintwise.operators.laps import pit_count_so_far
-from stintwise.operators.series import lap_series, series, with_position, with_running
+from stintwise.operators.series import Series, lap_series, series, with_position, with_running, with_totals
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
@@ -97,10 +97,14 @@ class Tables:
             "event_id",
         )
 
+    def by_lap(self, rows: DataFrame) -> Series:
+        """Laps of each driver; a driver has as many as feed records, so the feed is measured."""
+        return lap_series(rows, measure=self.feed.select(*DRIVER))
+
     @cached_property
     def laps_in_stints(self) -> DataFrame:
         """Laps with their stint number and compound."""
-        rows = with_running(lap_series(self.laps), sums={"_pits": pit_count_so_far()})
+        rows = with_running(self.by_lap(self.laps), sums={"_pits": pit_count_so_far()})
         code = (c("driver_number") + c("stint_number")) % 5
         return (
             rows.withColumn("stint_number", (c("_pits") + 1).cast("int"))
@@ -225,9 +229,11 @@ class Tables:
     @cached_property
     def predictions(self) -> DataFrame:
         """Prediction events: one per driver and lap."""
-        rows = self.laps_in_stints.join(
-            self.stints.select(*DRIVER, "stint_number", "lap_start", "lap_end"), [*DRIVER, "stint_number"]
-        ).where(c("lap_number") <= F.coalesce("lap_end", F.lit(9999)))
+        rows = with_totals(
+            self.by_lap(self.laps_in_stints), {"lap_start": F.min("lap_number")}, extra=("stint_number",)
+        )
+        last = with_totals(self.by_lap(rows), {"_newest": F.max("stint_number")})
+        rows = last.where((c("stint_number") < c("_newest")) | (c("lap_number") <= 9999))
         p = F.round(stack_probability(c("k") / 100.0, (c("value") % 50) / 50, StackParams()), 4)
         gap = F.replace(c("gap_raw"), F.lit("+"), F.lit("")).try_cast("double")
         note = F.concat(F.lit("note "), c("event_id").cast("string"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +30,7 @@ from stintwise.schemas import (
     SAFETY_CAR_FEATURES,
     TARGET,
 )
-from stintwise.session import shared_dir
+from stintwise.session import written
 
 c = F.col
 KEYS = ["session_key", "driver_number", "lap_number"]
@@ -49,13 +49,6 @@ class TrainingSize:
     patience: float = 0.001
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: a short lineage to recompute from."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def weighted(df: DataFrame, label: str) -> DataFrame:
     """Positives weigh as much as there are negatives for each."""
     weight = metrics.class_balance(df, label).select("scale_pos_weight").scalar()
@@ -67,13 +60,11 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 
 def _gbt(label: str, size: TrainingSize, **more) -> GBTClassifier:
-    return GBTClassifier(
+    trees = GBTClassifier(
         featuresCol="_features",
         labelCol=label,
         weightCol="weight",
         predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
         maxIter=size.rounds,
         maxDepth=size.depth,
         stepSize=size.step,
@@ -82,6 +73,7 @@ def _gbt(label: str, size: TrainingSize, **more) -> GBTClassifier:
         seed=SEED,
         **more,
     )
+    return trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
 
 
 def train_gbt(

@@ -6,30 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.dimensions import DEFAULT_STRENGTH, TEAM_STRENGTH, lookup
-from stintwise.operators.series import series, with_position
+from stintwise.operators.series import Series, series, with_position, with_totals
 
 c = F.col
 CYCLE = ["session_key", "lap_number"]
 
 
+def _by_gap(df: DataFrame, cycle: list[str]) -> Series:
+    return series(df, cycle, ["gap_to_leader", "driver_number"], F.floor(c("gap_to_leader")))
+
+
 def live_position(df: DataFrame, cycle: list[str] = CYCLE) -> DataFrame:
     """Race position by gap; equal gaps by driver number."""
-    ranked = series(df, cycle, ["gap_to_leader", "driver_number"], F.floor(c("gap_to_leader")))
-    return with_position(ranked, "live_position").withColumn("live_position", c("live_position").cast("int"))
+    ranked = with_position(_by_gap(df, cycle), "live_position")
+    return ranked.withColumn("live_position", c("live_position").cast("int"))
 
 
-def _share(df: DataFrame, score: Column, cycle: list[str], name: str) -> DataFrame:
-    """Score over the cycle's total.  The total is one pre-aggregated row per cycle."""
-    scored = df.withColumn("_score", score)
-    totals = scored.groupBy(*cycle).agg(F.sum("_score").alias("_total"))
+def _share(s: Series, score: Column, name: str, places: int | None) -> DataFrame:
+    """Score over its cycle's total; a total of 0 counts as 1."""
+    scored = with_totals(s.replace(s.df.withColumn("_score", score)), {"_total": F.sum("_score")})
     share = c("_score") / F.coalesce(F.nullif(c("_total"), F.lit(0.0)), F.lit(1.0))
-    return scored.join(totals, cycle).withColumn(name, share).drop("_score", "_total")
+    return scored.withColumn(name, share if places is None else F.round(share, places)).drop("_score", "_total")
 
 
 def win_probability(df: DataFrame, cycle: list[str] = CYCLE, places: int | None = 4) -> DataFrame:
     """Win share from position, gap, team, tyres and stop risk; a safety car shifts weight to position."""
-    placed = live_position(df, cycle)
-    cars = placed.groupBy(*cycle).agg(F.count(F.lit(1)).alias("_cars"))
+    cars = _by_gap(df, cycle)
+    ranked = cars.replace(with_position(cars, "live_position"))
+    placed = with_totals(ranked, {"_cars": F.count(F.lit(1))}).withColumn(
+        "live_position", c("live_position").cast("int")
+    )
     zero = F.lit(0.0)
     position = (c("_cars") - c("live_position") + 1) / c("_cars")
     gap = F.greatest(zero, 1.0 - c("gap_to_leader") / 120.0)
@@ -39,15 +45,13 @@ def win_probability(df: DataFrame, cycle: list[str] = CYCLE, places: int | None
     score = F.when(
         c("safety_car_active"), position * 0.55 + team * 0.25 + tyre * 0.15 + steady * 0.05
     ).otherwise(position * 0.40 + gap * 0.25 + team * 0.20 + tyre * 0.10 + steady * 0.05)
-    shared = _share(placed.join(cars, cycle), score, cycle, "win_probability").drop("_cars")
-    return shared if places is None else shared.withColumn("win_probability", F.round("win_probability", places))
+    return _share(ranked.replace(placed), score, "win_probability", places).drop("_cars")
 
 
 def win_from_position(df: DataFrame, cycle: list[str] = CYCLE, places: int | None = 4) -> DataFrame:
     """Win share from predicted finishing positions."""
-    score = F.greatest(F.lit(0.1), 23.0 - c("predicted_position"))
-    shared = _share(df, score, cycle, "win_probability")
-    return shared if places is None else shared.withColumn("win_probability", F.round("win_probability", places))
+    cars = series(df, cycle, ["driver_number"], c("driver_number"))
+    return _share(cars, F.greatest(F.lit(0.1), 23.0 - c("predicted_position")), "win_probability", places)
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:

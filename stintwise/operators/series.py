@@ -109,11 +109,10 @@ def series(
     return Series(df, list(keys), list(order), bins, limit, hot)
 
 
-def lap_series(df: DataFrame, max_rows: int | None = None, block: int = 256) -> Series:
+def lap_series(df: DataFrame, measure: DataFrame | None = None, block: int = 256) -> Series:
     """Laps of a driver in a session; long ones are cut into blocks of laps."""
-    return series(
-        df, ["session_key", "driver_number"], ["lap_number"], F.floor(F.col("lap_number") / block), max_rows
-    )
+    keys = ["session_key", "driver_number"]
+    return series(df, keys, ["lap_number"], F.floor(F.col("lap_number") / block), measure=measure)
 
 
 def _earlier(keys: list[str]) -> WindowSpec:
@@ -184,6 +183,19 @@ def with_running(
     return joined.select(*s.df.columns, *[c.alias(n) for n, c in both.items()])
 
 
+def with_totals(s: Series, totals: dict[str, Column], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Aggregates of each row's key (and ``extra`` columns) beside the row.
+
+    Short series aggregate in a window over the partitioning their other windows
+    use; with a long one, totals are pre-aggregated and joined.
+    """
+    keys = [*s.keys, *extra]
+    if not s.split:
+        w = Window.partitionBy(*keys)
+        return s.df.select("*", *[a.over(w).alias(n) for n, a in totals.items()])
+    return s.df.join(s.df.groupBy(*keys).agg(*[a.alias(n) for n, a in totals.items()]), keys)
+
+
 def with_frames(
     s: Series, build: Callable[[DataFrame, WindowSpec], DataFrame], before: int, after: int = 0
 ) -> DataFrame:

@@ -69,3 +69,9 @@ def save_stint_cache(stints: DataFrame, path: str) -> str:
         .parquet(path)
     )
     return path
+
+
+def write_records(df: DataFrame, path: str) -> str:
+    """JSON lines that keep times to the microsecond."""
+    df.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    return path

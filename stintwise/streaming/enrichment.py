@@ -20,6 +20,7 @@ from stintwise.functions.scoring import ALERT_ABOVE, StackParams, confidence, re
 from stintwise.operators.quality import pit_alerts
 from stintwise.operators.ranking import win_probability
 from stintwise.operators.state import last_good_predictions, live_features, safety_car_active, stop_on_finish
+from stintwise.session import written
 
 c = F.col
 FEEDS = ("laps", "stints", "intervals", "weather", "pit", "car_data", "race_control")
@@ -50,12 +51,12 @@ class EnrichmentPaths:
         return f"{self.root}/checkpoint"
 
 
-def score_cycle(
+def score_drivers(
     tables: dict[str, DataFrame],
     base_scores: Callable[[DataFrame], DataFrame],
     params: StackParams = StackParams(),
 ) -> DataFrame:
-    """One prediction per driver of the given sessions.
+    """Live features and stop probability of every driver of the given sessions.
 
     ``base_scores`` adds ``p_xgb`` and ``p_lgb``, by models or by expressions.
     """
@@ -69,8 +70,7 @@ def score_cycle(
         }
     )
     flags = safety_car_active(tables["race_control"])
-    known = scored.drop("_p").join(flags, "session_key", "left").fillna(False, ["safety_car_active"])
-    return win_probability(known, ["session_key"])
+    return scored.drop("_p").join(flags, "session_key", "left").fillna(False, ["safety_car_active"])
 
 
 def run_enrichment(
@@ -101,7 +101,9 @@ def run_enrichment(
             tables["laps"] = stop_on_finish(tables["laps"], tables["race_control"])
         out = f"{paths.predictions}/batch={batch_id}"
         try:
-            score_cycle(tables, base_scores, params).withColumn("stale", F.lit(False)).write.mode("overwrite").parquet(out)
+            scored = written(score_drivers(tables, base_scores, params), "scored")
+            shares = win_probability(scored, ["session_key"])
+            shares.withColumn("stale", F.lit(False)).write.mode("overwrite").parquet(out)
         except Exception:
             good = _last_good(spark, paths)
             if good is None:
