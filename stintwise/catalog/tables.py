@@ -299,7 +299,7 @@ class Tables:
 
     @cached_property
     def session_documents(self) -> DataFrame:
-        """Raw documents: one per driver and block of 256 laps, and one per session and day.
+        """Raw documents: one per driver and block of 256 laps, and one per session and 4096 events.
 
         A session thus comes as several documents, none of which grows with the race.
         """
@@ -332,15 +332,16 @@ class Tables:
             F.create_map(c("driver_number").cast("string"), driver).alias("drivers"),
         )
         at = c("date").cast("timestamp")
-        readings = self.weather.groupBy("session_key", F.to_date("date").alias("_day")).agg(
+        part = F.floor(c("event_id") / 4096).alias("_part")
+        readings = self.weather.groupBy("session_key", part).agg(
             F.sort_array(
                 F.collect_list(F.struct(at.alias("date"), "air_temperature", "track_temperature", "rainfall"))
             ).alias("weather")
         )
-        messages = self.race_control.groupBy("session_key", F.to_date("date").alias("_day")).agg(
+        messages = self.race_control.groupBy("session_key", part).agg(
             F.sort_array(F.collect_list(F.struct(at.alias("date"), "flag", "message", "lap_number"))).alias("race_control")
         )
-        per_session = readings.join(messages, ["session_key", "_day"], "full").select(
+        per_session = readings.join(messages, ["session_key", "_part"], "full").select(
             "session_key", F.lit(2024).alias("year"), "weather", "race_control"
         )
         return per_driver.unionByName(per_session, allowMissingColumns=True)

@@ -167,6 +167,12 @@ def weather_columns(reading: str = "_weather") -> dict[str, Column]:
     }
 
 
+def latest_weather_per_driver(laps: DataFrame, weather: DataFrame) -> DataFrame:
+    """The session's newest reading for each of its drivers: one small row per driver."""
+    drivers = laps.select(*DRIVER).distinct()
+    return drivers.join(latest_weather(weather), "session_key", "left")
+
+
 def join_latest_weather(laps: DataFrame, weather: DataFrame) -> DataFrame:
     """The session's newest reading on every lap; 25 / 35 / dry where there is none."""
     plain = laps.drop("air_temperature", "track_temperature", "rainfall")
@@ -230,10 +236,14 @@ def join_circuit(df: DataFrame) -> DataFrame:
 
 
 def attach_scores(features: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores by key; rows without one get probability and confidence 0."""
+    """Scores by key; rows without one get probability and confidence 0.
+
+    Copies of a score are folded first, on the partitioning the join needs.
+    """
     keys = [*DRIVER, "lap_number"]
-    best = scores.select(*keys, "pitstop_probability", "confidence")
-    return features.join(best, keys, "left").fillna(0.0, ["pitstop_probability", "confidence"])
+    both = F.struct("pitstop_probability", "confidence")
+    one = scores.groupBy(*keys).agg(F.max(both).alias("_s")).select(*keys, "_s.*")
+    return features.join(one, keys, "left").fillna(0.0, ["pitstop_probability", "confidence"])
 
 
 def latest_session_predictions(predictions: DataFrame) -> DataFrame:

@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 
 from stintwise.functions.features import derived, known, tyre_stress
 from stintwise.functions.parsing import compound_flags, rain_flag
-from stintwise.operators.series import lap_series, with_frames, with_running
+from stintwise.operators.series import Series, lap_series, with_frames, with_running
 
 c = F.col
 
 
-def _framed(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], before: int, after: int = 0):
-    return with_frames(lap_series(df), lambda rows, w: rows.withColumns(columns(w)), before, after)
+def _framed(
+    df: DataFrame,
+    columns: Callable[[WindowSpec], dict[str, Column]],
+    before: int,
+    after: int = 0,
+    measured: Series | None = None,
+) -> DataFrame:
+    return with_frames(measured or lap_series(df), lambda rows, w: rows.withColumns(columns(w)), before, after)
 
 
 def _zero_if_null(x: Column) -> Column:
@@ -78,7 +84,7 @@ def sector_delta_etl(df: DataFrame) -> DataFrame:
     return _framed(df, lambda w: {"sector_delta": _zero_if_null(s1 - _prior_mean(s1, w, 3))}, 3)
 
 
-def sector_delta_history(df: DataFrame, places: int | None = 3) -> DataFrame:
+def sector_delta_history(df: DataFrame, places: int | None = 3, measured: Series | None = None) -> DataFrame:
     """As above, but only from the fourth lap on and with zero times ignored, to 3 decimals."""
     s1 = known(c("duration_sector_1"))
 
@@ -87,7 +93,7 @@ def sector_delta_history(df: DataFrame, places: int | None = 3) -> DataFrame:
         x = F.when(from_fourth, _zero_if_null(s1 - _prior_mean(s1, w, 3))).otherwise(F.lit(0.0))
         return {"sector_delta": x if places is None else F.round(x, places)}
 
-    return _framed(df, delta, 3)
+    return _framed(df, delta, 3, measured=measured)
 
 
 def _live_delta(w: WindowSpec) -> Column:

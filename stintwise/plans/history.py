@@ -9,14 +9,15 @@ from stintwise.operators.joins import (
     DRIVER,
     flag_did_pit,
     join_interval_by_lap,
-    join_latest_weather,
     join_stint_for_lap,
     label_pit_within_3,
     label_sc_within_5,
+    latest_weather_per_driver,
     salted_lookup,
+    weather_columns,
 )
 from stintwise.operators.laps import sector_delta_history
-from stintwise.operators.state import total_laps
+from stintwise.operators.series import lap_series, with_totals
 
 ROW = [
     "session_key",
@@ -50,8 +51,9 @@ def build_training_rows(
 ) -> DataFrame:
     """One row per driver and lap with features and both labels.
 
-    The joins on ``(session, driver, lap)`` come first and share one exchange of
-    the laps; the pace window then sorts per driver.
+    The laps are exchanged twice: by ``(session, driver, lap)`` for the stint,
+    interval and stop joins, then by ``(session, driver)`` for the weather, the lap
+    count and the pace window.  The safety-car laps are few and usually broadcast.
     """
     narrow = laps.select(*DRIVER, "lap_number", "event_time", "duration_sector_1", "lap_duration")
     rows = join_stint_for_lap(narrow, stints)
@@ -59,7 +61,12 @@ def build_training_rows(
     rows = flag_did_pit(rows, pit)
     rows = label_pit_within_3(rows, pit)
     rows = label_sc_within_5(rows, race_control)
-    rows = join_latest_weather(rows, weather)
-    rows = salted_lookup(rows, total_laps(laps.select(*DRIVER)), DRIVER, ["lap_number"])
-    rows = sector_delta_history(rows, places)
+    by_lap = lap_series(rows, measure=laps.select(*DRIVER))
+    readings = latest_weather_per_driver(laps, weather)
+    if by_lap.split:
+        rows = salted_lookup(rows, readings, DRIVER, ["lap_number"])
+    else:
+        rows = rows.join(readings, DRIVER, "left")
+    rows = with_totals(by_lap.replace(rows.withColumns(weather_columns())), {"total_laps": F.count(F.lit(1))})
+    rows = sector_delta_history(rows, places, by_lap.replace(rows))
     return rows.select(*[F.col(x) for x in ROW])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.functions.parsing import parse_gap_or_null, rain_flag
@@ -15,18 +15,29 @@ def _incidents() -> Column:
     return F.sum(F.coalesce(c("had_incident").cast("int"), F.lit(0))).cast("int")
 
 
-def _previous_five() -> Column:
-    """Sum over the laps ``n-5 .. n-1`` of the session, by lap number.
+def _with_previous_five(per_lap: DataFrame) -> DataFrame:
+    """Incidents of the laps ``n-5 .. n-1`` of the session, by lap number.
 
-    Runs on one row per session and lap, never on raw rows.
+    Every lap with incidents adds to its next five laps.  Few laps have any, and
+    the join runs on the ``(session, lap)`` partitioning the laps already have, so
+    no session is gathered in one task.
     """
-    w = Window.partitionBy("session_key").orderBy("lap_number").rangeBetween(-5, -1)
-    return F.coalesce(F.sum("_incidents").over(w), F.lit(0)).cast("int")
+    ahead = (
+        per_lap.where(c("_incidents") > 0)
+        .select(
+            "session_key",
+            F.explode(F.sequence(c("lap_number") + 1, c("lap_number") + 5)).alias("lap_number"),
+            "_incidents",
+        )
+        .groupBy(*LAP)
+        .agg(F.sum("_incidents").cast("int").alias("incident_count_last_5_laps"))
+    )
+    return per_lap.join(ahead, LAP, "left").fillna(0, ["incident_count_last_5_laps"])
 
 
 def incidents_last_5(laps: DataFrame) -> DataFrame:
     per_lap = laps.groupBy(*LAP).agg(_incidents().alias("_incidents"))
-    return per_lap.select(*LAP, _previous_five().alias("incident_count_last_5_laps"))
+    return _with_previous_five(per_lap).select(*LAP, "incident_count_last_5_laps")
 
 
 def build_safety_car_features(laps: DataFrame) -> DataFrame:
@@ -41,12 +52,12 @@ def build_safety_car_features(laps: DataFrame) -> DataFrame:
         F.max("total_laps").alias("total_laps"),
         F.max("safety_car_within_5_laps").alias("safety_car_within_5_laps"),
     )
-    return per_lap.select(
+    return _with_previous_five(per_lap).select(
         *LAP,
         "gap_variance",
         "cars_on_track",
         "rainfall",
-        _previous_five().alias("incident_count_last_5_laps"),
+        "incident_count_last_5_laps",
         "yellow_flag_count",
         "circuit_id",
         "total_laps",

@@ -93,7 +93,7 @@ def run_enrichment(
     def cycle(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch", "session_key").parquet(paths.feed)
+        ).partitionBy("session_key", "batch").parquet(paths.feed)
         feed = spark.read.schema(f"{_ddl(batch)}, batch int").parquet(paths.feed)
         touched = feed.where(c("batch") == batch_id).select("session_key").distinct()
         tables = to_tables(feed.drop("batch").join(touched, "session_key", "left_semi"))
