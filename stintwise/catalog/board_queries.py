@@ -455,7 +455,7 @@ def latest_started_session(t: Tables) -> DataFrame:
     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_key, driver_number ORDER BY lap_number DESC) AS rn FROM f_laps) a WHERE rn = 1) b WHERE position <= 5"""
 )
 def standings_top5(t: Tables) -> DataFrame:
-    newest = latest_per_driver(t.laps.select(*DRIVER, "gap_raw", c("lap_number").alias("date")), tie=None)
+    newest = latest_per_driver(t.laps.select(*DRIVER, "gap_raw", c("lap_number").alias("date")))
     return S.standings_top5(newest, gap="gap_raw").drop("date")
 
 
@@ -463,7 +463,7 @@ LATEST_EACH = """(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sessi
 
 
 def _newest(t: Tables) -> DataFrame:
-    return latest_per_driver(t.predictions.withColumnRenamed("ts", "date"), tie=None)
+    return latest_per_driver(t.predictions.withColumnRenamed("ts", "date"))
 
 
 @query(

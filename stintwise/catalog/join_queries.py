@@ -232,6 +232,7 @@ def build_position_features(t: Tables) -> DataFrame:
     digits="sector_delta",
 )
 def build_training_rows(t: Tables) -> DataFrame:
+    t = t.stored()
     return history.build_training_rows(
         t.laps, t.stints, t.intervals, t.pit, t.weather, t.race_control, places=None
     )

@@ -333,8 +333,7 @@ def on_new_raw(t: Tables) -> DataFrame:
 
 def _tables_of(t: Tables):
     def build(feed: DataFrame) -> dict[str, DataFrame]:
-        found = Tables(t.spark, t.dir, feed=feed)
-        found.base = written(found.base, "cycle-laps")
+        found = Tables(t.spark, t.dir, feed=feed).stored()
         found.laps_in_stints = written(found.laps_in_stints, "cycle-stints")
         return {n: getattr(found, n) if n != "laps" else found.laps.withColumn("gap_to_leader", c("gap_raw")) for n in enrichment.FEEDS}
 

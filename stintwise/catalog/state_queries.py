@@ -146,6 +146,7 @@ _STATE_COLUMNS = [
 
 @query(f"SELECT {DK}, {', '.join(_STATE_COLUMNS)} FROM ({STATE_SQL}) x")
 def driver_state(t: Tables) -> DataFrame:
+    t = t.stored()
     state = S.driver_state(t.laps, t.stints, t.intervals, t.weather, t.pit, t.car_data)
     return state.select(*DRIVER, *_STATE_COLUMNS)
 
@@ -182,5 +183,6 @@ _LIVE_COLUMNS = [
     digits="sector_delta heat_deg_interaction abs_sector_delta deg_rate gap_trend rolling_sector_delta_5 tyre_stress_index",
 )
 def live_features(t: Tables) -> DataFrame:
+    t = t.stored()
     rows = S.live_features(t.laps, t.stints, t.intervals, t.weather, t.pit, t.car_data)
     return rows.select(*DRIVER, *_LIVE_COLUMNS)

@@ -15,6 +15,7 @@ from stintwise import schemas
 from stintwise.functions.scoring import StackParams, confidence, stack_probability
 from stintwise.operators.laps import pit_count_so_far
 from stintwise.operators.series import Series, lap_series, series, with_position, with_running, with_totals
+from stintwise.session import written
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
@@ -41,6 +42,15 @@ class Tables:
     def events(self) -> DataFrame:
         return self.spark.read.schema(schemas.EVENTS).parquet(f"{self.dir}/events.parquet")
 
+    def stored(self) -> Tables:
+        """The same tables over laps written once, for plans that read many of them.
+
+        One write replaces a scan and an exchange of all events per table.
+        """
+        kept = Tables(self.spark, self.dir, feed=self.feed)
+        kept.base = written(self.base, "laps")
+        return kept
+
     @staticmethod
     def to_feed(events: DataFrame) -> DataFrame:
         """Events as telemetry records, without lap numbers (filters still reach the scan)."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stintwise.dimensions import COUNTRY_CIRCUIT, DEFAULT_STRENGTH, TEAM_STRENGTH, driver_grid, lookup
 from stintwise.functions.parsing import parse_gap, parse_gap_or_null, rain_flag
 from stintwise.operators.series import series, with_running
+from stintwise.operators.snapshots import newest_by_key
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
@@ -100,11 +101,11 @@ def join_interval_by_lap(laps: DataFrame, intervals: DataFrame) -> DataFrame:
     newest = (
         intervals.where(c("lap_number").isNotNull())
         .groupBy(*DRIVER, "lap_number")
-        .agg(F.max_by("gap_to_leader", "date").alias("_gap"))
+        .agg(F.max_by(parse_gap(c("gap_to_leader")), "date").alias("_gap"))
     )
     return (
         laps.join(newest, [*DRIVER, "lap_number"], "left")
-        .withColumn("gap_to_leader", parse_gap(c("_gap")))
+        .withColumn("gap_to_leader", F.coalesce("_gap", F.lit(0.0)))
         .drop("_gap")
     )
 
@@ -155,15 +156,14 @@ def label_sc_within_5(laps: DataFrame, race_control: DataFrame) -> DataFrame:
 
 
 def latest_weather(weather: DataFrame) -> DataFrame:
-    reading = F.struct("air_temperature", "track_temperature", "rainfall")
-    return weather.groupBy("session_key").agg(F.max_by(reading, F.struct("date", "event_id")).alias("_weather"))
+    return newest_by_key(weather, ["session_key"], "date", ["air_temperature", "track_temperature", "rainfall"])
 
 
-def weather_columns(reading: str = "_weather") -> dict[str, Column]:
+def weather_columns() -> dict[str, Column]:
     return {
-        "air_temperature": F.coalesce(c(f"{reading}.air_temperature"), F.lit(25.0)),
-        "track_temperature": F.coalesce(c(f"{reading}.track_temperature"), F.lit(35.0)),
-        "rainfall": rain_flag(c(f"{reading}.rainfall")),
+        "air_temperature": F.coalesce("air_temperature", F.lit(25.0)),
+        "track_temperature": F.coalesce("track_temperature", F.lit(35.0)),
+        "rainfall": rain_flag(c("rainfall")),
     }
 
 
@@ -177,7 +177,7 @@ def join_latest_weather(laps: DataFrame, weather: DataFrame) -> DataFrame:
     """The session's newest reading on every lap; 25 / 35 / dry where there is none."""
     plain = laps.drop("air_temperature", "track_temperature", "rainfall")
     joined = salted_lookup(plain, latest_weather(weather), ["session_key"], ["driver_number", "lap_number"])
-    return joined.withColumns(weather_columns()).drop("_weather")
+    return joined.withColumns(weather_columns())
 
 
 def asof_weather(laps: DataFrame, weather: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from stintwise.functions.parsing import compound_flags, drs_active, parse_gap
 from stintwise.operators.joins import DRIVER, join_driver_grid, latest_weather, salted_lookup, weather_columns
 from stintwise.operators.laps import live_pace
 from stintwise.operators.series import lap_series, with_position
+from stintwise.operators.snapshots import newest_by_key
 from stintwise.schemas import MODEL_FEATURES
 
 c = F.col
@@ -36,11 +37,9 @@ def group_by_driver(df: DataFrame, rows_per_part: int = 1024) -> DataFrame:
     )
 
 
-def latest_per_driver(df: DataFrame, tie: str | None = "event_id") -> DataFrame:
+def latest_per_driver(df: DataFrame) -> DataFrame:
     """Newest record of each driver by date."""
-    rest = [x for x in df.columns if x not in DRIVER]
-    at = F.struct("date", tie) if tie else c("date")
-    return df.groupBy(*DRIVER).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(*DRIVER, "_r.*")
+    return newest_by_key(df, DRIVER, "date")
 
 
 def completed_pits(pit: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def driver_state(
     car_data: DataFrame,
 ) -> DataFrame:
     """Newest state of every driver with laps: one aggregate per feed, then joins of the small results."""
-    gaps = intervals.groupBy(*DRIVER).agg(F.max_by("gap_to_leader", "date").alias("_gap"))
+    gaps = intervals.groupBy(*DRIVER).agg(F.max_by(parse_gap(c("gap_to_leader")), "date").alias("_gap"))
     car = latest_per_driver(car_data).select(
         *DRIVER, F.struct("speed", "throttle", "brake", "drs", "n_gear").alias("_car")
     )
@@ -163,13 +162,13 @@ def driver_state(
     )
     zero = F.lit(0)
     return (
-        salted_lookup(state, latest_weather(weather), ["session_key"], ["driver_number"], 8)
+        state.join(latest_weather(weather), "session_key", "left")
         .withColumns(weather_columns())
         .withColumns(
             {
                 "stint_number": F.coalesce("stint.stint_number", F.lit(1)),
                 "tyre_compound": F.when(c("stint").isNull(), "UNKNOWN").otherwise(c("stint.compound")),
-                "gap_to_leader": parse_gap(c("_gap")),
+                "gap_to_leader": F.coalesce("_gap", F.lit(0.0)),
                 "pits_completed": F.coalesce("pits_completed", zero),
                 "speed": F.coalesce("_car.speed", F.lit(0.0)),
                 "throttle": F.coalesce("_car.throttle", zero),
@@ -178,7 +177,7 @@ def driver_state(
                 "drs_active": drs_active(c("_car.drs")),
             }
         )
-        .drop("_gap", "_car", "_weather")
+        .drop("_gap", "_car")
     )
 
 

@@ -14,6 +14,7 @@ from stintwise.functions.parsing import as_percent
 from stintwise.functions.scoring import risk_band
 from stintwise.operators.logs import has_errors
 from stintwise.operators.quantiles import exact_percentile
+from stintwise.operators.snapshots import newest_by_key
 
 c = F.col
 DRIVER = "driver_name"
@@ -25,23 +26,18 @@ def since(df: DataFrame, minutes: int, now: Column | None = None) -> DataFrame:
     return df.where(c("ts") >= end - F.make_dt_interval(mins=F.lit(minutes)))
 
 
-def _order() -> Column:
-    return F.struct("ts", "session_key", "driver_number")
-
-
 def latest(df: DataFrame, columns: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Newest value of each column, overall or per key."""
-    row = F.max_by(F.struct(*[x.alias(n) for n, x in columns.items()]), _order()).alias("_r")
-    return (df.groupBy(*by).agg(row).select(*by, "_r.*")) if by else df.agg(row).select("_r.*")
+    """Newest value of each column per key, or overall, where equal times go by session and driver."""
+    if by:
+        named = df.select("ts", *by, *[x.alias(n) for n, x in columns.items() if n not in by])
+        return newest_by_key(named, by, "ts", [n for n in columns if n not in by])
+    row = F.struct(*[x.alias(n) for n, x in columns.items()])
+    return df.agg(F.max_by(row, F.struct("ts", "session_key", "driver_number")).alias("_r")).select("_r.*")
 
 
 def latest_in_window(df: DataFrame, minutes: int, now: Column | None = None) -> DataFrame:
     """Newest prediction of each driver within the trailing window."""
-    rest = [x for x in df.columns if x not in ("session_key", "driver_number")]
-    recent = since(df, minutes, now).groupBy("session_key", "driver_number")
-    return recent.agg(F.max_by(F.struct(*rest), c("ts")).alias("_r")).select(
-        "session_key", "driver_number", "_r.*"
-    )
+    return newest_by_key(since(df, minutes, now), ["session_key", "driver_number"], "ts")
 
 
 def bucket(size: str) -> Column:
@@ -163,7 +159,7 @@ def dashboard_alerts(df: DataFrame, minutes: int = 30, threshold: float = 0.7) -
 def tyre_status(df: DataFrame, minutes: int = 120) -> DataFrame:
     """Newest tyre and odds of each driver of the session scored last."""
     recent = since(df, minutes)
-    session = recent.agg(F.max_by("session_key", _order())).scalar()
+    session = recent.agg(F.max_by("session_key", F.struct("ts", "session_key"))).scalar()
     columns = {n: c(n) for n in ("tyre_compound", "tyre_age", "pitstop_probability", "win_probability")}
     return latest(recent.where(c("session_key") == session), columns, ["driver_number"])
 

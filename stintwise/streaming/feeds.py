@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stintwise.functions.scoring import ALERT_ABOVE
+from stintwise.operators.snapshots import newest_by_key
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
@@ -67,8 +68,7 @@ def state_table(
 def read_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest state of each key."""
     rows = spark.read.parquet(path)
-    rest = [x for x in rows.columns if x not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), c("batch")).alias("_r")).select(*keys, "_r.*")
+    return newest_by_key(rows, keys, "batch", [x for x in rows.columns if x not in (*keys, "batch")])
 
 
 def on_new_raw(stream: DataFrame, action, checkpoint: str) -> StreamingQuery:
@@ -79,24 +79,19 @@ def on_new_raw(stream: DataFrame, action, checkpoint: str) -> StreamingQuery:
 # state ----------------------------------------------------------------------
 
 
-def _newest(stream: DataFrame, keys: list[str], time: str = "date") -> DataFrame:
-    rest = [x for x in stream.columns if x not in keys]
-    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), c(time)).alias("_r")).select(*keys, "_r.*")
-
-
 def car_state(stream: DataFrame) -> DataFrame:
     """Newest car telemetry of each driver."""
-    return _newest(stream, DRIVER)
+    return newest_by_key(stream, DRIVER, "date")
 
 
 def live_positions(stream: DataFrame) -> DataFrame:
     """Newest track position of each driver."""
-    return _newest(stream.select(*DRIVER, "date", "x", "y"), DRIVER)
+    return newest_by_key(stream, DRIVER, "date", ["date", "x", "y"])
 
 
 def weather_state(stream: DataFrame) -> DataFrame:
     """Newest weather reading of each session."""
-    return _newest(stream, ["session_key"])
+    return newest_by_key(stream, ["session_key"], "date")
 
 
 def recent(state: DataFrame, seconds: int, now: Column | None = None, time: str = "date") -> DataFrame:
