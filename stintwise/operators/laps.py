@@ -29,7 +29,7 @@ def _framed(
     return with_frames(measured or lap_series(df), lambda rows, w: rows.withColumns(columns(w)), before, after)
 
 
-def _zero_if_null(x: Column) -> Column:
+def zero_if_null(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
@@ -74,14 +74,14 @@ def derive_stints(df: DataFrame) -> DataFrame:
 # pace features --------------------------------------------------------------
 
 
-def _prior_mean(x: Column, w: WindowSpec, laps: int) -> Column:
+def prior_mean(x: Column, w: WindowSpec, laps: int) -> Column:
     return F.avg(x).over(w.rowsBetween(-laps, -1))
 
 
 def sector_delta_etl(df: DataFrame) -> DataFrame:
     """First-sector time against the mean of the three laps before."""
     s1 = c("duration_sector_1")
-    return _framed(df, lambda w: {"sector_delta": _zero_if_null(s1 - _prior_mean(s1, w, 3))}, 3)
+    return _framed(df, lambda w: {"sector_delta": zero_if_null(s1 - prior_mean(s1, w, 3))}, 3)
 
 
 def sector_delta_history(df: DataFrame, places: int | None = 3, measured: Series | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def sector_delta_history(df: DataFrame, places: int | None = 3, measured: Series
 
     def delta(w: WindowSpec) -> dict[str, Column]:
         from_fourth = F.lag("lap_number", 3).over(w).isNotNull()
-        x = F.when(from_fourth, _zero_if_null(s1 - _prior_mean(s1, w, 3))).otherwise(F.lit(0.0))
+        x = F.when(from_fourth, zero_if_null(s1 - prior_mean(s1, w, 3))).otherwise(F.lit(0.0))
         return {"sector_delta": x if places is None else F.round(x, places)}
 
     return _framed(df, delta, 3, measured=measured)
@@ -98,7 +98,7 @@ def sector_delta_history(df: DataFrame, places: int | None = 3, measured: Series
 
 def _live_delta(w: WindowSpec) -> Column:
     s1 = known(c("duration_sector_1"))
-    return _zero_if_null(s1 - _prior_mean(s1, w, 3))
+    return zero_if_null(s1 - prior_mean(s1, w, 3))
 
 
 def sector_delta_live(df: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def sector_delta_live(df: DataFrame) -> DataFrame:
 def deg_rate(df: DataFrame) -> DataFrame:
     """Lap-over-lap change of ``sector_delta``."""
     return _framed(
-        df, lambda w: {"deg_rate": _zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w))}, 1
+        df, lambda w: {"deg_rate": zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w))}, 1
     )
 
 
@@ -120,10 +120,10 @@ def _live_deg_rate(w: WindowSpec) -> Column:
     The first lap has no lap before.
     """
     s1 = known(c("duration_sector_1"))
-    earlier = _zero_if_null(F.avg(s1).over(w.rowsBetween(-3, -2)))
+    earlier = zero_if_null(F.avg(s1).over(w.rowsBetween(-3, -2)))
     before = F.when(
         F.lag("lap_number", 1).over(w).isNotNull(),
-        _zero_if_null(F.lag("duration_sector_1", 1).over(w)) - earlier,
+        zero_if_null(F.lag("duration_sector_1", 1).over(w)) - earlier,
     ).otherwise(F.lit(0.0))
     return _live_delta(w) - before
 
@@ -134,14 +134,14 @@ def deg_rate_live(df: DataFrame) -> DataFrame:
 
 def gap_trend(df: DataFrame, gap: str = "gap_to_leader") -> DataFrame:
     """Change of the gap over three laps; negative when closing in."""
-    return _framed(df, lambda w: {"gap_trend": _zero_if_null(c(gap) - F.lag(gap, 3).over(w))}, 3)
+    return _framed(df, lambda w: {"gap_trend": zero_if_null(c(gap) - F.lag(gap, 3).over(w))}, 3)
 
 
 def rolling_delta_excl(df: DataFrame) -> DataFrame:
     """Mean size of the pace change over the five laps before this one."""
     return _framed(
         df,
-        lambda w: {"rolling_sector_delta_5": _zero_if_null(_prior_mean(F.abs("sector_delta"), w, 5))},
+        lambda w: {"rolling_sector_delta_5": zero_if_null(prior_mean(F.abs("sector_delta"), w, 5))},
         5,
     )
 
@@ -165,7 +165,7 @@ def rolling_delta_live(df: DataFrame) -> DataFrame:
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         stepped = rows.withColumn("_step", _live_step(w))
-        mean = _zero_if_null(F.avg("_step").over(w.rowsBetween(-4, 0)))
+        mean = zero_if_null(F.avg("_step").over(w.rowsBetween(-4, 0)))
         return stepped.withColumn("rolling_sector_delta_5", mean).drop("_step")
 
     return with_frames(lap_series(df), build, 5)
@@ -214,7 +214,7 @@ def live_pace(df: DataFrame) -> DataFrame:
         first = rows.withColumns(
             {"sector_delta": _live_delta(w), "deg_rate": _live_deg_rate(w), "_step": _live_step(w)}
         )
-        mean = _zero_if_null(F.avg("_step").over(w.rowsBetween(-4, 0)))
+        mean = zero_if_null(F.avg("_step").over(w.rowsBetween(-4, 0)))
         return first.withColumn("rolling_sector_delta_5", mean).drop("_step")
 
     return with_frames(lap_series(df), build, 5)

@@ -31,6 +31,9 @@ DEFAULT_MAX_ROWS = 1_000_000
 #: Long keys beyond this many are not listed; then every series is binned.
 MAX_LISTED_KEYS = 10_000
 
+#: Remembered measurements; all are forgotten when there are this many.
+MAX_REMEMBERED = 512
+
 _measured: dict[tuple, list | None] = {}
 
 
@@ -45,6 +48,8 @@ def long_keys(df: DataFrame, keys: list[str], max_rows: int) -> list | None:
     """
     token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), max_rows)
     if token not in _measured:
+        if len(_measured) >= MAX_REMEMBERED:
+            _measured.clear()
         found = (
             df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_n"))

@@ -19,6 +19,7 @@ from stintwise.operators.joins import (
 from stintwise.operators.laps import sector_delta_history
 from stintwise.operators.series import lap_series, with_totals
 
+# The columns of a training row, in file order.
 ROW = [
     "session_key",
     "driver_number",

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from stintwise.functions.features import derived, tyre_stress
 from stintwise.functions.parsing import compound_flags, parse_gap_or_null, rain_flag
-from stintwise.operators.laps import _prior_mean, _zero_if_null, pit_count_so_far
+from stintwise.operators.laps import pit_count_so_far, prior_mean, zero_if_null
 from stintwise.operators.series import lap_series, with_frames, with_running
 
 c = F.col
 
+# The columns of the feature table, in the order readers of it expect.
 FEATURE_TABLE = [
     "session_key",
     "driver_number",
@@ -78,15 +79,15 @@ def build_pitstop_features(laps: DataFrame) -> DataFrame:
         s1 = c("duration_sector_1")
         deltas = rows.withColumns(
             {
-                "sector_delta": _zero_if_null(s1 - _prior_mean(s1, w, 3)),
-                "gap_trend": _zero_if_null(c("gap_to_leader") - F.lag("gap_to_leader", 3).over(w)),
+                "sector_delta": zero_if_null(s1 - prior_mean(s1, w, 3)),
+                "gap_trend": zero_if_null(c("gap_to_leader") - F.lag("gap_to_leader", 3).over(w)),
                 "pitstop_within_3_laps": F.coalesce(F.max("did_pit").over(w.rowsBetween(1, 3)), F.lit(0)).cast("int"),
             }
         )
         return deltas.withColumns(
             {
-                "deg_rate": _zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w)),
-                "rolling_sector_delta_5": _zero_if_null(_prior_mean(F.abs("sector_delta"), w, 5)),
+                "deg_rate": zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w)),
+                "rolling_sector_delta_5": zero_if_null(prior_mean(F.abs("sector_delta"), w, 5)),
             }
         )
 
@@ -108,8 +109,8 @@ def engineer_features(rows: DataFrame) -> DataFrame:
     def pace(laps: DataFrame, w: WindowSpec) -> DataFrame:
         return laps.withColumns(
             {
-                "deg_rate": _zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w)),
-                "gap_trend": _zero_if_null(c("gap_to_leader") - F.lag("gap_to_leader", 3).over(w)),
+                "deg_rate": zero_if_null(c("sector_delta") - F.lag("sector_delta", 1).over(w)),
+                "gap_trend": zero_if_null(c("gap_to_leader") - F.lag("gap_to_leader", 3).over(w)),
                 "rolling_sector_delta_5": F.avg(F.abs("sector_delta")).over(w.rowsBetween(-4, 0)),
             }
         )

@@ -79,6 +79,7 @@ RACE_FEATURES = ddl(
 
 EVENTS = ddl("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
 
+# Model inputs, in the order the models were trained on.
 RAW_FEATURES = [
     "tyre_age",
     "stint_number",
@@ -97,6 +98,7 @@ MODEL_FEATURES = RAW_FEATURES + DERIVED_FEATURES + ROLLING_FEATURES + COMPOUND_F
 BASE_FEATURES = RAW_FEATURES + DERIVED_FEATURES
 TARGET = "pitstop_within_3_laps"
 
+# Inputs of the position and safety-car models, in model order.
 POSITION_FEATURES = [
     "grid_position",
     "qualifying_delta_to_pole",
