@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from stintwise import schemas
 from stintwise.catalog.board_queries import SHOWN
+from stintwise.catalog.join_queries import TEAM_SCORE
 from stintwise.catalog.registry import query
+from stintwise.catalog.state_queries import LIVE, SC_STATE
 from stintwise.catalog.tables import Tables
 from stintwise.functions.parsing import parse_gap, rain_flag
 from stintwise.operators.quality import format_prediction
@@ -136,7 +138,7 @@ def log_delivery(t: Tables) -> DataFrame:
     source, target = _dir(t, "lines"), _dir(t, "delivered")
     t.logs.write.parquet(source)
     schema = "event_id bigint, ts timestamp_ntz, function_name string, message string"
-    lines = feeds.incremental_files(t.spark, source, schema, "parquet", "*.parquet")
+    lines = feeds.incremental_files(t.spark, source, schema, "parquet", "*.parquet", bytes_per_batch=5 * 1024 * 1024)
     feeds.log_delivery(lines, target, f"{target}-checkpoint", seconds=None).awaitTermination()
     return t.spark.read.schema(schema).json(target).drop("ts")
 
@@ -346,7 +348,19 @@ def _base_scores(features: DataFrame) -> DataFrame:
     return features.withColumns({"p_xgb": first, "p_lgb": second})
 
 
-@query()
+_P = "1 / (1 + EXP(-(0.9E0 * (1 / (1 + EXP(-(tyre_age - 10.0E0) / 5)) - 0.5E0) / 0.29E0 + 0.4E0 * (1 / (1 + EXP(-(gap_to_leader - 100) / 50)) - 0.4E0) / 0.3E0 - 0.2E0)))"
+_CYCLE = f"""SELECT l.session_key, l.driver_number, lap_number, driver_name, team, tyre_age, gap_to_leader, round({_P}, 4) AS pitstop_probability,
+    COALESCE(safety_car_active, FALSE) AS sc FROM ({LIVE}) l LEFT JOIN ({SC_STATE}) f ON f.session_key = l.session_key"""
+
+
+@query(
+    f"""SELECT {LAPS}, driver_name, team, tyre_age, pitstop_probability, FALSE AS stale, round(raw / SUM(raw) OVER (PARTITION BY session_key), 4) AS win_probability
+    FROM (SELECT *, CASE WHEN sc THEN ps * 0.55E0 + ts * 0.25E0 + ys * 0.15E0 + (1 - pitstop_probability) * 0.05E0
+        ELSE ps * 0.40E0 + gs * 0.25E0 + ts * 0.20E0 + ys * 0.10E0 + (1 - pitstop_probability) * 0.05E0 END AS raw
+      FROM (SELECT *, (COUNT(*) OVER (PARTITION BY session_key) - ROW_NUMBER() OVER (PARTITION BY session_key ORDER BY gap_to_leader, driver_number) + 1)
+              / CAST(COUNT(*) OVER (PARTITION BY session_key) AS DOUBLE) AS ps,
+            GREATEST(0, 1 - gap_to_leader / 120) AS gs, GREATEST(0, 1 - tyre_age / 50.0E0) AS ys, {TEAM_SCORE} AS ts FROM ({_CYCLE}) x) y) z"""
+)
 def run_enrichment(t: Tables) -> DataFrame:
     """All events as one micro-batch through the whole cycle; predictions read back."""
     feed = Tables.to_feed(t.spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(t.dir))

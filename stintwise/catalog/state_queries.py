@@ -152,7 +152,7 @@ def driver_state(t: Tables) -> DataFrame:
 
 
 _W = f"PARTITION BY {DK} ORDER BY lap_number"
-_LIVE = f"""SELECT x.session_key, x.driver_number, x.lap_number, tyre_compound, pits_completed, last_pit_duration, last_pit_lap, drs_active, speed, throttle, brake, gear,
+LIVE = f"""SELECT x.session_key, x.driver_number, x.lap_number, tyre_compound, pits_completed, last_pit_duration, last_pit_lap, drs_active, speed, throttle, brake, gear,
     {GRID_NAME.replace("driver_number", "x.driver_number")} AS driver_name, {GRID_TEAM.replace("driver_number", "x.driver_number")} AS team,
     age AS tyre_age, stint_number, gap_to_leader, air_temperature, track_temperature, rainfall, sector_delta,
     CAST(age * age AS DOUBLE) AS tyre_age_sq, track_temperature * age / 100 AS heat_deg_interaction, CAST(rainfall * stint_number AS DOUBLE) AS wet_stint,
@@ -179,7 +179,7 @@ _LIVE_COLUMNS = [
 
 
 @query(
-    _LIVE,
+    LIVE,
     digits="sector_delta heat_deg_interaction abs_sector_delta deg_rate gap_trend rolling_sector_delta_5 tyre_stress_index",
 )
 def live_features(t: Tables) -> DataFrame:

@@ -49,9 +49,10 @@ def win_probability(df: DataFrame, cycle: list[str] = CYCLE, places: int | None
 
 
 def win_from_position(df: DataFrame, cycle: list[str] = CYCLE, places: int | None = 4) -> DataFrame:
-    """Win share from predicted finishing positions."""
+    """Win share from predicted finishing positions, which are shown to 1 decimal."""
     cars = series(df, cycle, ["driver_number"], c("driver_number"))
-    return _share(cars, F.greatest(F.lit(0.1), 23.0 - c("predicted_position")), "win_probability", places)
+    shared = _share(cars, F.greatest(F.lit(0.1), 23.0 - c("predicted_position")), "win_probability", places)
+    return shared if places is None else shared.withColumn("predicted_position", F.round("predicted_position", 1))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str) -> DataFrame:

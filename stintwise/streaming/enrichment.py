@@ -9,10 +9,12 @@ nothing.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +25,7 @@ from stintwise.operators.state import last_good_predictions, live_features, safe
 from stintwise.session import written
 
 c = F.col
+log = logging.getLogger(__name__)
 FEEDS = ("laps", "stints", "intervals", "weather", "pit", "car_data", "race_control")
 
 
@@ -108,6 +111,7 @@ def run_enrichment(
             good = _last_good(spark, paths)
             if good is None:
                 raise
+            log.exception("scoring failed in batch %s, serving the last good predictions", batch_id)
             served = good.join(touched, "session_key", "left_semi").drop("stale")
             last_good_predictions(served.limit(0), served).write.mode("overwrite").parquet(out)
         done = spark.read.parquet(out)
@@ -131,8 +135,9 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _last_good(spark, paths: EnrichmentPaths) -> DataFrame | None:
+def _last_good(spark: SparkSession, paths: EnrichmentPaths) -> DataFrame | None:
+    """Stored predictions, or nothing before the first good cycle."""
     try:
         return spark.read.parquet(paths.last_good)
-    except Exception:  # nothing stored yet
+    except AnalysisException:
         return None

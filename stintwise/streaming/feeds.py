@@ -22,16 +22,22 @@ WEATHER_SECONDS = 300
 
 
 def incremental_files(
-    spark: SparkSession, folder: str, schema: str, fmt: str = "json", pattern: str = "*", files_per_batch: int = 1000
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    fmt: str = "json",
+    pattern: str = "*",
+    files_per_batch: int = 1000,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
-    """New files of a folder as a stream; what was read is remembered by the query's checkpoint."""
-    return (
-        spark.readStream.format(fmt)
-        .schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-    )
+    """New files of a folder as a stream; what was read is remembered by the query's checkpoint.
+
+    A batch is bounded by a number of files, or by their size when given.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
+    if bytes_per_batch is None:
+        return reader.option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).load(folder)
 
 
 # sinks ----------------------------------------------------------------------
@@ -40,7 +46,7 @@ def incremental_files(
 def log_delivery(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = 60) -> StreamingQuery:
     """GZIP JSON delivery every ``seconds``; ``None`` delivers what is there and stops.
 
-    Batch size is bounded at the source (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``).
+    Batch size is bounded at the source (see ``incremental_files``).
     """
     writer = stream.writeStream.format("json").option("compression", "gzip").option("checkpointLocation", checkpoint)
     when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
