@@ -207,7 +207,7 @@ def rain_as_number(df: DataFrame) -> DataFrame:
 # live features --------------------------------------------------------------
 
 
-def live_pace(df: DataFrame) -> DataFrame:
+def live_pace(df: DataFrame, measured: Series | None = None) -> DataFrame:
     """All live pace features at every lap, from one sort of the laps."""
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -217,4 +217,4 @@ def live_pace(df: DataFrame) -> DataFrame:
         mean = zero_if_null(F.avg("_step").over(w.rowsBetween(-4, 0)))
         return first.withColumn("rolling_sector_delta_5", mean).drop("_step")
 
-    return with_frames(lap_series(df), build, 5)
+    return with_frames(measured or lap_series(df), build, 5)

@@ -114,6 +114,12 @@ def series(
     return Series(df, list(keys), list(order), bins, limit, hot)
 
 
+def short_lap_series(df: DataFrame) -> Series:
+    """Laps already cut to a few per driver, so there is nothing to measure."""
+    keys = ["session_key", "driver_number"]
+    return Series(df, keys, ["lap_number"], F.lit(0), max_series_rows(df), [])
+
+
 def lap_series(df: DataFrame, measure: DataFrame | None = None, block: int = 256) -> Series:
     """Laps of a driver in a session; long ones are cut into blocks of laps."""
     keys = ["session_key", "driver_number"]

@@ -9,7 +9,7 @@ from stintwise.functions.features import derived, tyre_stress
 from stintwise.functions.parsing import compound_flags, drs_active, parse_gap
 from stintwise.operators.joins import DRIVER, join_driver_grid, latest_weather, salted_lookup, weather_columns
 from stintwise.operators.laps import live_pace
-from stintwise.operators.series import lap_series, with_position
+from stintwise.operators.series import lap_series, short_lap_series, with_position
 from stintwise.operators.snapshots import newest_by_key
 from stintwise.schemas import MODEL_FEATURES
 
@@ -227,14 +227,10 @@ def live_features(
 
     Pace needs only the six newest laps, so the rest never leaves the scan tasks.
     """
-    six = newest_rows(laps, DRIVER, [F.desc("lap_number")], 6).drop("_newest")
+    times = laps.select(*DRIVER, "lap_number", "duration_sector_1")
+    six = newest_rows(times, DRIVER, [F.desc("lap_number")], 6).drop("_newest")
     pace_names = ["sector_delta", "deg_rate", "rolling_sector_delta_5"]
-    pace = (
-        live_pace(six.select(*DRIVER, "lap_number", "duration_sector_1"))
-        .groupBy(*DRIVER)
-        .agg(F.max_by(F.struct(*pace_names), "lap_number").alias("_pace"))
-        .select(*DRIVER, "_pace.*")
-    )
+    pace = newest_by_key(live_pace(six, short_lap_series(six)), DRIVER, "lap_number", pace_names)
     rows = (
         driver_state(laps, stints, intervals, weather, pit, car_data)
         .join(tyre_age_live(laps, stints), DRIVER, "left")
