@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.llm.line_dedup import dedup_lines
+from stintwise.llm.near_dup import near_duplicates
 from stintwise.llm.pieces import encode_decode
 from stintwise.llm.shards import shard_by_bytes
 from stintwise.llm.topk import exact_top_k, quantised
+from stintwise.llm.toxicity import toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -24,6 +27,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return coded.select(
@@ -34,6 +41,14 @@ def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id",
@@ -48,7 +63,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_line_dedup": op2_line_dedup,
     "op4_piece_coding": op4_piece_coding,
+    "op5_toxicity": op5_toxicity,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_shards": op8_shards,
 }
 

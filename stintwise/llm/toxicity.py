@@ -176,7 +176,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str | Column]) -> DataFr
                 hit = at >= 0
                 distinct = np.unique(row[hit] * len(place) + at[hit])
                 row, at = distinct // len(place), distinct % len(place)
-                per_row = lambda v, row=row, n=texts.rows: np.bincount(row, v, n)
+                per_row = lambda v, row=row, n=texts.rows: np.bincount(row, v, n).astype(float)
                 margin = per_row(m.weights[at])
                 for f in m.factors.T:
                     margin += 0.5 * (per_row(f[at]) ** 2 - per_row(f[at] ** 2))
