@@ -231,8 +231,10 @@ def _coder(model) -> PieceCoder:
     return _coders[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids array<int>, decoded string`` of each whole text; a null text is encoded as the empty one.
+def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) -> DataFrame:
+    """``doc_id, ids array<int>, decoded string`` of each whole text, and the ``text`` if asked for.
+
+    A null text is encoded as the empty one.
 
     One row per input row, repeated rows and null ids included; an empty table
     gives no rows; further columns are not read.  The vocabulary (of fixed
@@ -250,7 +252,8 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 decoded = pa.array([coder.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
+                columns = [part.column(0), lists, decoded, *([part.column(1)] if keep_text else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "text"][: len(columns)])
 
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + ", text string" * keep_text)

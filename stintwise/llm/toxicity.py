@@ -160,32 +160,33 @@ def train(labelled: DataFrame, training: Training = Training()) -> Machine:  # n
     )
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str | Column]) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` and ``score``, from 0 to 1; a null text scores as the empty one."""
+def score(docs: DataFrame, machine: Machine, keep: list[str | Column], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` and its score, from 0 to 1; a null text scores as the empty one."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep)
+    rows = docs.select(*keep, *([] if "text" in kept.columns else ["text"]))
+    at, width = rows.columns.index("text"), len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         place = m.places()
         for batch in batches:
             margins = np.full(batch.num_rows, m.bias)
-            for texts in slices(batch.column(batch.num_columns - 1)):
+            for texts in slices(batch.column(at)):
                 row, bucket = term_buckets(texts)
-                at = place[bucket]
-                hit = at >= 0
-                distinct = np.unique(row[hit] * len(place) + at[hit])
-                row, at = distinct // len(place), distinct % len(place)
+                found = place[bucket]
+                hit = found >= 0
+                distinct = np.unique(row[hit] * len(place) + found[hit])
+                row, term = distinct // len(place), distinct % len(place)
                 per_row = lambda v, row=row, n=texts.rows: np.bincount(row, v, n).astype(float)
-                margin = per_row(m.weights[at])
+                margin = per_row(m.weights[term])
                 for f in m.factors.T:
-                    margin += 0.5 * (per_row(f[at]) ** 2 - per_row(f[at] ** 2))
+                    margin += 0.5 * (per_row(f[term]) ** 2 - per_row(f[term] ** 2))
                 margins[texts.start : texts.stop] += margin
             scores = pa.array(1 / (1 + np.exp(-np.clip(margins, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], scores], [*batch.schema.names[:width], name])
 
-    schema = rows.drop("__text").schema.add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, kept.schema.add(name, "double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,17 +194,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, training: Training = Training()) -> DataFrame:  # noqa: B008
-    """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text)``.
+def train_on_labels(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Machine:  # noqa: B008
+    """A machine from the rows of ``docs`` that ``labels(doc_id, toxic)`` marks and that are not held out.
 
-    ``labels(doc_id, toxic)`` are learnt only from rows that are not held out;
-    of contradicting labels the larger counts.  Repeated rows give repeated
-    results; empty and null texts get the score of a text without terms; an
-    empty table gives no rows; further columns are not read.
+    Of contradicting labels of one id the larger counts.
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = docs.select("doc_id", "text").join(marks, "doc_id").filter(~held_out(F.col("doc_id")))
-    machine = train(known, training)
+    return train(known, training)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, training: Training = Training()) -> DataFrame:  # noqa: B008
+    """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text)``.
+
+    Labels are learnt only from rows that are not held out.  Repeated rows give
+    repeated results; empty and null texts get the score of a text without
+    terms; an empty table gives no rows; further columns are not read.
+    """
+    machine = train_on_labels(docs, labels, training)
     scored = score(docs, machine, [F.col("doc_id").cast("long").alias("doc_id")])
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
