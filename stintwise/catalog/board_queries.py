@@ -475,9 +475,7 @@ def pit_candidates_top3(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT session_key, position, 'P' || CAST(position AS VARCHAR) || ': ' || driver_name || ' (' || team || ') - '
-      || CASE WHEN position = 1 THEN 'Winner' ELSE '+' || printf('%.3f', gap_to_leader) || 's' END || ', ' || tyre_compound || ' tyres, '
-      || CAST(pits_completed AS VARCHAR) || CASE WHEN pits_completed = 1 THEN ' stop' ELSE ' stops' END AS line
+    f"""SELECT session_key, position, driver_name, team, CASE WHEN position > 1 THEN gap_to_leader END AS gap, tyre_compound, pits_completed
     FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY session_key ORDER BY win_probability DESC, driver_number) AS INT) AS position FROM {LATEST_EACH} b) x
     WHERE position <= 3"""
 )

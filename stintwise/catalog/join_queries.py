@@ -62,7 +62,7 @@ def join_gap_stats(t: Tables) -> DataFrame:
             ROW_NUMBER() OVER (PARTITION BY l.session_key, l.driver_number, l.lap_number ORDER BY s.stint_number) AS rn
           FROM f_laps l LEFT JOIN (SELECT * FROM f_stints WHERE stint_number % 4 <> 2) s
           ON s.session_key = l.session_key AND s.driver_number = l.driver_number
-          AND l.lap_number BETWEEN s.lap_start AND COALESCE(s.lap_end + 2, 9999)) x WHERE rn = 1"""
+          AND l.lap_number >= s.lap_start AND (s.lap_end IS NULL OR l.lap_number <= s.lap_end + 2)) x WHERE rn = 1"""
 )
 def join_stint_for_lap(t: Tables) -> DataFrame:
     """With gaps and overlaps between the stints, so defaults and the first-match rule both count."""
@@ -223,7 +223,7 @@ def build_position_features(t: Tables) -> DataFrame:
         - AVG(duration_sector_1) OVER (PARTITION BY session_key, driver_number ORDER BY lap_number ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0)
         ELSE 0 END AS sector_delta FROM f_laps) l
     LEFT JOIN f_stints s ON s.session_key = l.session_key AND s.driver_number = l.driver_number
-      AND l.lap_number BETWEEN s.lap_start AND COALESCE(s.lap_end, 9999)
+      AND l.lap_number >= s.lap_start AND (s.lap_end IS NULL OR l.lap_number <= s.lap_end)
     LEFT JOIN (SELECT {LAPS}, gap_to_leader AS g FROM f_intervals) i ON i.session_key = l.session_key AND i.driver_number = l.driver_number AND i.lap_number = l.lap_number
     LEFT JOIN ({LATEST_WEATHER}) w ON w.session_key = l.session_key
     LEFT JOIN (SELECT DISTINCT {LAPS}, 1 AS hit FROM f_pit) p ON p.session_key = l.session_key AND p.driver_number = l.driver_number AND p.lap_number = l.lap_number

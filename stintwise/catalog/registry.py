@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stintwise.catalog.tables import Tables
 from stintwise.catalog.views import with_views
+from stintwise.operators.series import measuring_once
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,8 @@ class Query:
     digits: dict[str, int] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Tables(spark, sf_dir))
+        with measuring_once():
+            df = self.build(Tables(spark, sf_dir))
         return df.withColumns({n: F.round(n, d) for n, d in self.digits.items()}) if self.digits else df
 
     def oracle(self) -> str | None:

@@ -83,11 +83,11 @@ def race_finished(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT session_key, driver_number, lap_number FROM f_laps WHERE session_key NOT IN
-    (SELECT session_key FROM f_race_control WHERE flag = 'CHEQUERED' AND lap_number < 4)"""
+    """SELECT session_key, driver_number, lap_number FROM f_laps LEFT JOIN (SELECT session_key, MIN(date) AS finish FROM f_race_control
+      WHERE flag = 'CHEQUERED' OR upper(message) LIKE '%CHEQUERED%' GROUP BY session_key) USING (session_key) WHERE finish IS NULL OR event_time < finish"""
 )
 def stop_on_finish(t: Tables) -> DataFrame:
-    return S.stop_on_finish(t.laps, t.race_control.where("lap_number < 4")).select(*DRIVER, "lap_number")
+    return S.stop_on_finish(t.laps, t.race_control, time="event_time").select(*DRIVER, "lap_number")
 
 
 @query(

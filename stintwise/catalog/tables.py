@@ -242,8 +242,6 @@ class Tables:
         rows = with_totals(
             self.by_lap(self.laps_in_stints), {"lap_start": F.min("lap_number")}, extra=("stint_number",)
         )
-        last = with_totals(self.by_lap(rows), {"_newest": F.max("stint_number")})
-        rows = last.where((c("stint_number") < c("_newest")) | (c("lap_number") <= 9999))
         p = F.round(stack_probability(c("k") / 100.0, (c("value") % 50) / 50, StackParams()), 4)
         gap = F.replace(c("gap_raw"), F.lit("+"), F.lit("")).try_cast("double")
         note = F.concat(F.lit("note "), c("event_id").cast("string"))

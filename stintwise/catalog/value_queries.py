@@ -40,7 +40,7 @@ def drop_empty_drivers(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT session_key, driver_number, lap_number, 'High pitstop alert: ' || driver_name AS subject,
+    """SELECT session_key, driver_number, lap_number, driver_name || ' is likely to stop soon' AS subject,
     json_object('driver', driver_name, 'team', team, 'pitstop_probability', pitstop_probability, 'tyre_compound', tyre_compound,
       'tyre_age', tyre_age, 'session_key', session_key, 'commentary', commentary)::VARCHAR AS payload FROM f_predictions WHERE pitstop_probability > 0.85"""
 )
@@ -49,7 +49,7 @@ def pit_alerts(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT {LAPS}, n_features, CASE WHEN n_features = 7 THEN NULL ELSE 'features must be a list of exactly 7 values' END AS error FROM f_nested"""
+    f"""SELECT {LAPS}, n_features, CASE WHEN n_features = 7 THEN NULL ELSE 'expected 7 feature values, got ' || COALESCE(CAST(n_features AS VARCHAR(12)), 'none') END AS error FROM f_nested"""
 )
 def validate_feature_arrays(t: Tables) -> DataFrame:
     valid, rejected = Q.validate_feature_arrays(t.nested_predictions)

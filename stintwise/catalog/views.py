@@ -67,7 +67,7 @@ SELECT l.session_key, l.driver_number, 'Driver #' || CAST(l.driver_number AS VAR
 FROM f_laps l
 JOIN (SELECT session_key, driver_number, lap_number, event_id, ROUND(1/(1+EXP(-(0.9E0*(p_xgb-0.5E0)/0.29E0 + 0.4E0*(p_lgb-0.4E0)/0.3E0 - 0.2E0))), 4) AS p FROM f_scores) p
   ON p.session_key = l.session_key AND p.driver_number = l.driver_number AND p.lap_number = l.lap_number
-JOIN f_stints s ON s.session_key = l.session_key AND s.driver_number = l.driver_number AND l.lap_number BETWEEN s.lap_start AND COALESCE(s.lap_end, 9999)
+JOIN f_stints s ON s.session_key = l.session_key AND s.driver_number = l.driver_number AND l.lap_number >= s.lap_start AND (s.lap_end IS NULL OR l.lap_number <= s.lap_end)
 """,
     "f_logs": """
 SELECT event_id, event_time AS ts, 'fn-' || CAST(driver_number % 4 AS VARCHAR(4)) AS function_name,

@@ -19,19 +19,33 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, score: str, label: str, places: int = 4) -> DataFrame:
-    """Area under the ROC curve by rank sums, ties counted half.
+def _rank_sums(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Exact ``auc`` per key by rank sums, ties counted half; rows without a score or label do not count.
 
-    Scores are cut to ``places`` decimals first, so at most 10,001 rows are ordered.
+    Equal scores are counted first.  The negatives below a score are those in
+    lower bins of scores (a window over bins of two decimals) and those below it
+    in its own bin, so no task orders all scores.
     """
-    per_score = df.groupBy(F.round(score, places).alias("_s")).agg(
-        F.sum(c(label).cast("bigint")).alias("_pos"), F.sum(1 - c(label).cast("bigint")).alias("_neg")
-    )
-    below = F.sum("_neg").over(Window.orderBy("_s")) - c("_neg")
-    wins = per_score.select("_pos", "_neg", (c("_pos") * (below + c("_neg") / 2.0)).alias("_wins"))
-    return wins.agg(
-        (F.sum("_wins") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc")
+    positive = c(label).cast("bigint")
+    per_score = (
+        df.where(c(score).isNotNull() & c(label).isNotNull())
+        .groupBy(*keys, c(score).alias("_s"))
+        .agg(F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
+        .withColumn("_bin", F.floor(c("_s") * 100))
     )
+    per_bin = per_score.groupBy(*keys, "_bin").agg(F.sum("_neg").alias("_in"))
+    lower = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin")) - c("_in")
+    bins = per_bin.select(*keys, "_bin", lower.alias("_lower"))
+    own = F.sum("_neg").over(Window.partitionBy(*keys, "_bin").orderBy("_s")) - c("_neg")
+    below = per_score.withColumn("_own", own).join(bins, [*keys, "_bin"])
+    wins = below.withColumn("_wins", c("_pos") * (c("_own") + c("_lower") + c("_neg") / 2.0))
+    area = F.sum("_wins") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))
+    return wins.groupBy(*keys).agg(area.alias("auc"))
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve."""
+    return _rank_sums(df, [], score, label)
 
 
 def classification_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
@@ -77,11 +91,4 @@ def model_comparison(df: DataFrame, scores: dict[str, str], label: str) -> DataF
     """AUC of each model's score column, from one pass over the rows."""
     items = F.array(*[F.struct(F.lit(n).alias("model"), c(s).alias("_score")) for n, s in scores.items()])
     long = df.select(c(label).alias("_label"), F.inline(items))
-    per_score = long.groupBy("model", F.round("_score", 4).alias("_s")).agg(
-        F.sum(c("_label").cast("bigint")).alias("_pos"), F.sum(1 - c("_label").cast("bigint")).alias("_neg")
-    )
-    below = F.sum("_neg").over(Window.partitionBy("model").orderBy("_s")) - c("_neg")
-    wins = per_score.select("model", "_pos", "_neg", (c("_pos") * (below + c("_neg") / 2.0)).alias("_wins"))
-    return wins.groupBy("model").agg(
-        (F.sum("_wins") / F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("auc")
-    )
+    return _rank_sums(long, ["model"], "_score", "_label")

@@ -30,12 +30,13 @@ def temporal_split(df: DataFrame, order: list[str], train: float = 0.8) -> DataF
     """Exactly the first ``train`` share of rows in time order, without sorting all rows.
 
     Rows are counted per hour; only the hour that holds the cut is ordered row by
-    row.  The one global window runs over the hours.  ``order`` starts with the time.
+    row.  The one global window runs over the hours.  ``order`` starts with the
+    time; rows without a time come last.
     """
-    time = order[0]
-    hour = F.floor(F.unix_seconds(c(time).cast("timestamp")) / 3600)
+    seconds = F.unix_seconds(c(order[0]).cast("timestamp"))
+    hour = F.floor(seconds / 3600)
     hourly = df.groupBy(hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
-    over_hours = Window.orderBy("_hour")
+    over_hours = Window.orderBy(c("_hour").asc_nulls_last())
     running = hourly.select(
         "_hour",
         (F.sum("_n").over(over_hours) - c("_n")).alias("_before"),
@@ -43,14 +44,12 @@ def temporal_split(df: DataFrame, order: list[str], train: float = 0.8) -> DataF
         F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(train)).alias("_target"),
     )
     cut = running.where((c("_before") <= c("_target")) & (c("_target") < c("_upto")))
-    at = cut.select("_hour").scalar()
-    quota = cut.select((c("_target") - c("_before")).alias("_quota")).scalar()
-    timed = df.withColumn("_hour", hour)
-    outside = timed.where(c("_hour") != at).withColumn(
-        "split", F.when(c("_hour") < at, "train").otherwise("validation")
-    )
-    inside = with_position(
-        series(timed.where(c("_hour") == at), ["_hour"], order, F.unix_seconds(c(time).cast("timestamp"))), "_place"
-    )
-    ranked = inside.withColumn("split", F.when(c("_place") <= quota, "train").otherwise("validation"))
-    return outside.unionByName(ranked.drop("_place")).drop("_hour")
+    # Null where every row is in the first share.
+    found = cut.select(F.struct("_hour", (c("_target") - c("_before")).alias("_quota")).alias("_cut")).scalar()
+    timed = df.withColumn("_hour", hour).withColumn("_cut", found)
+    here = c("_hour").eqNullSafe(c("_cut._hour")) & c("_cut").isNotNull()
+    early = c("_cut").isNull() | F.coalesce(c("_hour") < c("_cut._hour"), c("_hour").isNotNull() & c("_cut._hour").isNull())
+    outside = timed.where(~here).withColumn("split", F.when(early, "train").otherwise("validation"))
+    inside = with_position(series(timed.where(here), ["_hour"], order, seconds), "_place")
+    ranked = inside.withColumn("split", F.when(c("_place") <= c("_cut._quota"), "train").otherwise("validation"))
+    return outside.unionByName(ranked.drop("_place")).drop("_hour", "_cut")

@@ -17,7 +17,6 @@ from stintwise.operators.snapshots import newest_by_key
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
-OPEN_END = 9999
 SC_LENGTH = 5
 
 
@@ -49,50 +48,58 @@ def join_gap_stats(df: DataFrame) -> DataFrame:
 # laps and stints ------------------------------------------------------------
 
 
-def join_stint_for_lap(laps: DataFrame, stints: DataFrame, block: int = 32) -> DataFrame:
-    """First stint that contains each lap, with defaults where none does.
+def stint_blocks(laps: DataFrame, stints: DataFrame, block: int) -> DataFrame:
+    """``_stints`` per driver and block of laps: the distinct stints that touch it, in the order that decides.
 
-    A range join turned into an equi-join: every stint is repeated for the blocks
-    of laps it touches, so a lap meets only stints of its own block.  Copies of a
-    stint are folded first.
+    An open stint ends with its driver's last lap, so a stint is repeated for the
+    blocks that its driver drove and no more.
     """
-    end = F.coalesce(c("lap_end"), F.lit(OPEN_END))
+    last = laps.groupBy(*DRIVER).agg(F.max("lap_number").alias("_last"))
+    end = F.least(F.coalesce("lap_end", "_last"), c("_last"))
     pieces = (
         stints.select(*DRIVER, "stint_number", "lap_start", "lap_end", "compound")
-        .distinct()
+        .join(last, DRIVER)
         .where(c("lap_start") <= end)
-        .withColumn("_end", end)
         .withColumn("_block", F.explode(F.sequence(F.floor(c("lap_start") / block), F.floor(end / block))))
     )
-    matched = (
-        laps.select(*DRIVER, "lap_number")
-        .distinct()
-        .withColumn("_block", F.floor(c("lap_number") / block))
-        .join(pieces, [*DRIVER, "_block"])
-        .where(c("lap_number").between(c("lap_start"), c("_end")))
-        .groupBy(*DRIVER, "_block", "lap_number")
-        .agg(
-            F.min_by(
-                F.struct("stint_number", "lap_start", "compound"), F.struct("stint_number", "lap_start", "_end")
-            ).alias("_stint")
-        )
-        .drop("_block")
-    )
-    return (
-        laps.join(matched, [*DRIVER, "lap_number"], "left")
-        .withColumns(
-            {
-                "tyre_age": F.greatest(
-                    F.lit(0), c("lap_number") - F.coalesce(c("_stint.lap_start"), F.lit(1))
-                ).cast("int"),
-                "stint_number": F.coalesce(c("_stint.stint_number"), F.lit(1)),
-                "tyre_compound": F.when(c("_stint").isNull(), F.lit("UNKNOWN")).otherwise(c("_stint.compound")),
-            }
-        )
-        .drop("_stint")
+    # collect_set folds copies; a block of laps meets few stints.
+    return pieces.groupBy(*DRIVER, "_block").agg(
+        F.collect_set(F.struct("stint_number", "lap_start", "lap_end", "compound")).alias("_stints")
     )
 
 
+def stint_columns(lap: Column, stints: Column) -> dict[str, Column]:
+    """Tyre age, stint and compound from the first of ``stints`` that holds a lap, with defaults where none does."""
+    holds = F.filter(stints, lambda s: (s["lap_start"] <= lap) & (s["lap_end"].isNull() | (lap <= s["lap_end"])))
+    # Equal starts: the shorter stint first, an open one last.
+    by_end = F.transform(
+        holds,
+        lambda s: F.struct(
+            s["stint_number"].alias("stint_number"), s["lap_start"].alias("lap_start"), s["lap_end"].isNull().alias("open"),
+            s["lap_end"].alias("lap_end"), s["compound"].alias("compound"),
+        ),
+    )
+    first = F.array_min(by_end)
+    return {
+        "tyre_age": F.greatest(F.lit(0), lap - F.coalesce(first["lap_start"], F.lit(1))).cast("int"),
+        "tyre_compound": F.when(first.isNull(), F.lit("UNKNOWN")).otherwise(first["compound"]),
+        "stint_number": F.coalesce(first["stint_number"], F.lit(1)),
+    }
+
+
+def join_stint_for_lap(laps: DataFrame, stints: DataFrame, block: int = 32, driven: DataFrame | None = None) -> DataFrame:
+    """First stint that contains each lap, with defaults where none does.
+
+    ``driven`` is a cheaper frame with the same drivers and last laps, if there is one.
+
+    A range join turned into an equi-join on driver and block of laps: the laps are
+    exchanged once, and a driver with very many laps spreads over its blocks.
+    """
+    blocked = laps.withColumn("_block", F.floor(c("lap_number") / block))
+    joined = blocked.join(stint_blocks(laps if driven is None else driven, stints, block), [*DRIVER, "_block"], "left")
+    return joined.withColumns(stint_columns(c("lap_number"), c("_stints"))).drop("_block", "_stints")
+
+
 # intervals, pits, safety car ------------------------------------------------
 
 

@@ -58,7 +58,7 @@ def drop_empty_drivers(drivers: DataFrame, laps: DataFrame) -> DataFrame:
 def validate_feature_arrays(df: DataFrame, size: int = 7) -> tuple[DataFrame, DataFrame]:
     """Rows with exactly ``size`` features, and the others with the reason."""
     fits = F.coalesce(F.size("features"), F.lit(-1)) == size
-    reason = F.lit(f"features must be a list of exactly {size} values")
+    reason = F.concat(F.lit("expected "), F.lit(size), F.lit(" feature values, got "), F.coalesce(F.size("features").cast("string"), F.lit("none")))
     return df.where(fits), df.where(~fits).withColumn("error", reason)
 
 
@@ -88,7 +88,7 @@ def pit_alerts(df: DataFrame, threshold: float = ALERT_ABOVE) -> DataFrame:
             "commentary",
         )
     )
-    subject = F.concat(F.lit("High pitstop alert: "), c("driver_name"))
+    subject = F.concat(c("driver_name"), F.lit(" is likely to stop soon"))
     return df.where(c("pitstop_probability") > threshold).select(
         "session_key",
         "driver_number",
@@ -115,8 +115,8 @@ def _feature(i: int, default: float | None = None) -> Column:
     return x if default is None else F.coalesce(x, F.lit(default))
 
 
-def format_prediction(df: DataFrame) -> DataFrame:
-    """Flat prediction of the read API, with its defaults."""
+def format_prediction(df: DataFrame, *further: Column | str) -> DataFrame:
+    """Flat prediction of the read API, with its defaults, and ``further`` columns."""
     zero, none = F.lit(0), F.lit(0.0)
     return df.select(
         "session_key",
@@ -135,6 +135,7 @@ def format_prediction(df: DataFrame) -> DataFrame:
         F.coalesce("drs_active", F.lit(False)).alias("drs_active"),
         F.coalesce("speed", none).alias("speed"),
         _feature(2, 0.0).alias("gap_to_leader"),
+        *further,
     )
 
 

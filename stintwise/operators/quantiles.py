@@ -26,13 +26,15 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
     rank = (c("_total") - 1) * F.lit(p)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     low, high = F.floor(rank), F.ceil(rank)
+    # As Spark's percentile weighs its two neighbours.
+    between = (F.ceil("_rank") - c("_rank")) * c("_low") + (c("_rank") - F.floor("_rank")) * c("_high")
     return (
         upto.join(totals, keys)
         .groupBy(*keys)
         .agg(
             F.min(F.when(c("_upto") > low, c(value))).alias("_low"),
             F.min(F.when(c("_upto") > high, c(value))).alias("_high"),
-            F.first(rank - low).alias("_part"),
+            F.first(rank).alias("_rank"),
         )
-        .select(*keys, (c("_low") + c("_part") * (c("_high") - c("_low"))).alias(name))
+        .select(*keys, F.when(c("_low") == c("_high"), c("_low")).otherwise(between).alias(name))
     )

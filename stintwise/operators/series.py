@@ -6,35 +6,55 @@ series are short.  Where a single key may hold a large share of the table, the
 operators here split it:
 
 * the rows of a long series are cut into *bins*, a monotone function of the
-  order (an hour of time, a block of laps), and every window runs per bin;
+  order (an hour of time, a block of laps), and every window runs per bin; a bin
+  that is itself too long is cut again at quantiles of each order column in turn;
 * what a bin needs from earlier bins (row counts, running sums, last known
   values) is aggregated per bin first, so only those small totals are ordered
   in one place, and joined back on ``(key, bin)``;
 * short frames (``rowsBetween(-8, 3)`` and the like) get the few neighbouring
   rows copied across a cut.
 
-Whether long series exist is measured with one narrow aggregate per input and
-remembered.  Without any, each operator is the plain window: one exchange.
-Both ways give the same rows.
+Whether long series exist is measured with one narrow aggregate per input.  A
+measurement is remembered only within ``measuring_once()``, which a caller puts
+around the building of one query, so that data which arrive later (another run,
+the next micro-batch) are measured anew.  Without long series, each operator is
+the plain window: one exchange.  Both ways give the same rows, those with null
+keys and null orders included: nulls come first, as in a plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_ROWS_CONF = "stintwise.series.maxRows"
 DEFAULT_MAX_ROWS = 1_000_000
 #: Long keys beyond this many are not listed; then every series is binned.
 MAX_LISTED_KEYS = 10_000
 
-#: Remembered measurements; all are forgotten when there are this many.
-MAX_REMEMBERED = 512
+#: Rows without an order value stand before all others.
+BEFORE_ALL = -(1 << 62)
+#: Into how many parts a bin is cut that is too long.
+CUTS = 64
 
-_measured: dict[tuple, list | None] = {}
+_remembered: ContextVar[dict[tuple, list | None] | None] = ContextVar("remembered", default=None)
+
+
+@contextmanager
+def measuring_once() -> Iterator[None]:
+    """Within this block, what one plan's long keys are is measured once."""
+    token = _remembered.set({})
+    try:
+        yield
+    finally:
+        _remembered.reset(token)
 
 
 def max_series_rows(df: DataFrame) -> int:
@@ -46,20 +66,29 @@ def long_keys(df: DataFrame, keys: list[str], max_rows: int) -> list | None:
 
     The driver receives at most ``MAX_LISTED_KEYS`` + 1 keys, never table rows.
     """
-    token = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), max_rows)
-    if token not in _measured:
-        if len(_measured) >= MAX_REMEMBERED:
-            _measured.clear()
-        found = (
-            df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > max_rows)
-            .select(*keys)
-            .limit(MAX_LISTED_KEYS + 1)
-            .collect()
-        )
-        _measured[token] = None if len(found) > MAX_LISTED_KEYS else [tuple(r) for r in found]
-    return _measured[token]
+    known = _remembered.get()
+    token = (df.semanticHash(), tuple(keys), max_rows)
+    if known is not None and token in known:
+        return known[token]
+    found = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > max_rows)
+        .select(*keys)
+        .limit(MAX_LISTED_KEYS + 1)
+        .collect()
+    )
+    hot = None if len(found) > MAX_LISTED_KEYS else [tuple(r) for r in found]
+    if known is not None:
+        known[token] = hot
+    return hot
+
+
+def _join_on(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which null keys match null keys."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
+    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in on])
 
 
 @dataclass(frozen=True)
@@ -85,17 +114,32 @@ class Series:
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order)
 
     def binned(self) -> DataFrame:
-        """``df`` with ``_bin``: the bin of a long series, 0 for all others."""
+        """``df`` with ``_bin``, an array that sorts as the order does: bins of a long series, one bin for all others."""
+        bins = F.coalesce(self.bins.cast("long"), F.lit(BEFORE_ALL))
         if self.hot is None:
-            return self.df.withColumn("_bin", self.bins.cast("long"))
-        types = {f.name: f.dataType for f in self.df.schema.fields}
-        ddl = ", ".join(f"`{k}` {types[k].simpleString()}" for k in self.keys)
-        listed = self.df.sparkSession.createDataFrame(self.hot, ddl).withColumn("_long", F.lit(True))
-        return (
-            self.df.join(F.broadcast(listed), self.keys, "left")
-            .withColumn("_bin", F.when(F.col("_long"), self.bins.cast("long")).otherwise(F.lit(0)))
-            .drop("_long")
-        )
+            rows = self.df.withColumn("_bin", F.array(bins))
+        else:
+            types = {f.name: f.dataType for f in self.df.schema.fields}
+            ddl = ", ".join(f"`{k}` {types[k].simpleString()}" for k in self.keys)
+            listed = self.df.sparkSession.createDataFrame(self.hot, ddl).withColumn("_long", F.lit(True))
+            marked = _join_on(self.df, F.broadcast(listed), self.keys)
+            rows = marked.withColumn("_bin", F.array(F.when(F.col("_long"), bins).otherwise(F.lit(0)))).drop("_long")
+        for name in self.order:
+            rows = self._cut_again(rows, name)
+        return rows
+
+    def _cut_again(self, rows: DataFrame, name: str) -> DataFrame:
+        """Bins over the limit, cut at quantiles of one order column; a column without quantiles leaves them."""
+        kind = rows.schema[name].dataType
+        if not isinstance(kind, T.NumericType | T.TimestampType | T.DateType):
+            return rows
+        value = F.col(name).cast("timestamp").cast("double") if isinstance(kind, T.DateType) else F.col(name).cast("double")
+        cell = [*self.keys, "_bin"]
+        at = F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 10 * CUTS)
+        long = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), at.alias("_at")).where(F.col("_n") > self.max_rows)
+        found = _join_on(rows, long.drop("_n"), cell)
+        part = F.when(value.isNull(), -1).otherwise(F.size(F.filter("_at", lambda x: x < value)))
+        return found.withColumn("_bin", F.concat("_bin", F.array(F.when(F.col("_at").isNotNull(), part).otherwise(0).cast("long")))).drop("_at")
 
     def replace(self, df: DataFrame) -> Series:
         return Series(df, self.keys, self.order, self.bins, self.max_rows, self.hot)
@@ -143,7 +187,7 @@ def with_position(s: Series, name: str = "position") -> DataFrame:
     )
     local = rows.withColumn("_local", F.row_number().over(s.window(("_bin",))))
     return (
-        local.join(starts, [*s.keys, "_bin"], "left")
+        _join_on(local, starts, [*s.keys, "_bin"])
         .withColumn(name, (F.col("_local") + F.col("_start")).cast("long"))
         .drop("_bin", "_local", "_start")
     )
@@ -182,7 +226,7 @@ def with_running(
         *[F.sum(c).over(frame).alias(f"_l_{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(frame).alias(f"_l_{n}") for n, c in lasts.items()],
     )
-    joined = local.join(carry, [*s.keys, "_bin"], "left")
+    joined = _join_on(local, carry, [*s.keys, "_bin"])
     both = {
         n: F.when(
             F.col(f"_c_{n}").isNotNull() | F.col(f"_l_{n}").isNotNull(),
@@ -204,7 +248,8 @@ def with_totals(s: Series, totals: dict[str, Column], extra: tuple[str, ...] = (
     if not s.split:
         w = Window.partitionBy(*keys)
         return s.df.select("*", *[a.over(w).alias(n) for n, a in totals.items()])
-    return s.df.join(s.df.groupBy(*keys).agg(*[a.alias(n) for n, a in totals.items()]), keys)
+    found = s.df.groupBy(*keys).agg(*[a.alias(n) for n, a in totals.items()])
+    return _join_on(s.df, found, keys).select(*s.df.columns, *totals)
 
 
 def with_frames(

@@ -104,10 +104,15 @@ def race_finished(race_control: DataFrame) -> DataFrame:
     )
 
 
-def stop_on_finish(df: DataFrame, race_control: DataFrame) -> DataFrame:
-    """Rows of sessions whose race is still on."""
-    over = race_finished(race_control).where("race_finished").select("session_key")
-    return df.join(over, "session_key", "left_anti")
+def stop_on_finish(df: DataFrame, race_control: DataFrame, time: str | None = None) -> DataFrame:
+    """Rows of sessions whose race is still on; with ``time``, also those recorded before their race finished."""
+    if time is None:
+        over = race_finished(race_control).where("race_finished").select("session_key")
+        return df.join(over, "session_key", "left_anti")
+    flag, message = _flag_text()
+    finish = race_control.where((flag == "CHEQUERED") | message.contains("CHEQUERED"))
+    ends = finish.groupBy("session_key").agg(F.min("date").alias("_finish"))
+    return df.join(ends, "session_key", "left").where(c("_finish").isNull() | (c(time) < c("_finish"))).drop("_finish")
 
 
 # fallbacks ------------------------------------------------------------------

@@ -21,9 +21,16 @@ DRIVER = "driver_name"
 
 
 def since(df: DataFrame, minutes: int, now: Column | None = None) -> DataFrame:
-    """Rows of the last ``minutes`` before ``now``, by default the newest row's time."""
+    """Rows of the last ``minutes`` before ``now``, by default the newest row's time.
+
+    On a log in day folders (``dt``, as ``write_daily`` lays it out) a given
+    ``now`` also picks the folders, so older days are not read.  Without ``now``
+    the newest time has to be found first, which reads the times of the whole log.
+    """
     end = df.agg(F.max("ts")).scalar() if now is None else now
-    return df.where(c("ts") >= end - F.make_dt_interval(mins=F.lit(minutes)))
+    start = end - F.make_dt_interval(mins=F.lit(minutes))
+    recent = df.where(c("ts") >= start)
+    return recent.where(c("dt") >= F.to_date(start)) if now is not None and "dt" in df.columns else recent
 
 
 def latest(df: DataFrame, columns: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -57,27 +64,27 @@ def _of_top(df: DataFrame, score: Column, n: int) -> DataFrame:
 # single values --------------------------------------------------------------
 
 
-def max_lap(df: DataFrame, minutes: int = 10) -> DataFrame:
-    return since(df, minutes).agg(F.max("lap_number").alias("lap"))
+def max_lap(df: DataFrame, minutes: int = 10, now: Column | None = None) -> DataFrame:
+    return since(df, minutes, now).agg(F.max("lap_number").alias("lap"))
 
 
-def latest_safety_car(df: DataFrame, minutes: int = 10) -> DataFrame:
-    return latest(since(df, minutes), {"safety_car": c("safety_car_active")})
+def latest_safety_car(df: DataFrame, minutes: int = 10, now: Column | None = None) -> DataFrame:
+    return latest(since(df, minutes, now), {"safety_car": c("safety_car_active")})
 
 
-def drivers_tracked(df: DataFrame, minutes: int | None = 10, rsd: float | None = None) -> DataFrame:
+def drivers_tracked(df: DataFrame, minutes: int | None = 10, now: Column | None = None, rsd: float | None = None) -> DataFrame:
     """Distinct drivers, exact, or estimated within ``rsd``."""
-    rows = df if minutes is None else since(df, minutes)
+    rows = df if minutes is None else since(df, minutes, now)
     count = F.count_distinct("driver_number") if rsd is None else F.approx_count_distinct("driver_number", rsd)
     return rows.agg(count.alias("drivers"))
 
 
-def latest_session_key(df: DataFrame, minutes: int = 10) -> DataFrame:
-    return latest(since(df, minutes), {"session_key": c("session_key")})
+def latest_session_key(df: DataFrame, minutes: int = 10, now: Column | None = None) -> DataFrame:
+    return latest(since(df, minutes, now), {"session_key": c("session_key")})
 
 
-def latest_commentary(df: DataFrame, minutes: int = 30) -> DataFrame:
-    return latest(since(df, minutes).where(c("commentary") != ""), {"commentary": c("commentary")})
+def latest_commentary(df: DataFrame, minutes: int = 30, now: Column | None = None) -> DataFrame:
+    return latest(since(df, minutes, now).where(c("commentary") != ""), {"commentary": c("commentary")})
 
 
 def confidence_metrics(df: DataFrame, cycle: list[str], above: float = 0.85) -> DataFrame:
@@ -103,31 +110,31 @@ def sc_flag_max(df: DataFrame) -> DataFrame:
 # latest per driver ----------------------------------------------------------
 
 
-def _latest_facet(df: DataFrame, value: Column, name: str, minutes: int) -> DataFrame:
-    return latest(since(df, minutes), {name: value}, [DRIVER]).orderBy(F.desc(name), DRIVER).limit(22)
+def _latest_facet(df: DataFrame, value: Column, name: str, minutes: int, now: Column | None, n: int) -> DataFrame:
+    return latest(since(df, minutes, now), {name: value}, [DRIVER]).orderBy(F.desc(name), DRIVER).limit(n)
 
 
-def latest_pit_percent(df: DataFrame, minutes: int = 30) -> DataFrame:
-    return _latest_facet(df, as_percent(c("pitstop_probability")), "pit_pct", minutes)
+def latest_pit_percent(df: DataFrame, minutes: int = 30, now: Column | None = None, n: int = 22) -> DataFrame:
+    return _latest_facet(df, as_percent(c("pitstop_probability")), "pit_pct", minutes, now, n)
 
 
-def latest_win_percent(df: DataFrame, minutes: int = 30) -> DataFrame:
-    return _latest_facet(df, as_percent(c("win_probability")), "win_pct", minutes)
+def latest_win_percent(df: DataFrame, minutes: int = 30, now: Column | None = None, n: int = 22) -> DataFrame:
+    return _latest_facet(df, as_percent(c("win_probability")), "win_pct", minutes, now, n)
 
 
-def latest_speed(df: DataFrame, minutes: int = 10) -> DataFrame:
-    return _latest_facet(df, c("speed"), "speed", minutes)
+def latest_speed(df: DataFrame, minutes: int = 10, now: Column | None = None, n: int = 22) -> DataFrame:
+    return _latest_facet(df, c("speed"), "speed", minutes, now, n)
 
 
-def latest_tyre_age(df: DataFrame, minutes: int = 30) -> DataFrame:
-    return _latest_facet(df, c("tyre_age"), "tyre_age", minutes)
+def latest_tyre_age(df: DataFrame, minutes: int = 30, now: Column | None = None, n: int = 22) -> DataFrame:
+    return _latest_facet(df, c("tyre_age"), "tyre_age", minutes, now, n)
 
 
-def latest_stop_count(df: DataFrame, minutes: int = 30) -> DataFrame:
-    return _latest_facet(df, c("pits_completed"), "pit_stops", minutes)
+def latest_stop_count(df: DataFrame, minutes: int = 30, now: Column | None = None, n: int = 22) -> DataFrame:
+    return _latest_facet(df, c("pits_completed"), "pit_stops", minutes, now, n)
 
 
-def full_standings(df: DataFrame, minutes: int = 30) -> DataFrame:
+def full_standings(df: DataFrame, minutes: int = 30, now: Column | None = None, n: int = 22) -> DataFrame:
     columns = {
         "driver": c("driver_name"),
         "team": c("team"),
@@ -141,10 +148,10 @@ def full_standings(df: DataFrame, minutes: int = 30) -> DataFrame:
         "speed": c("speed"),
         "drs": c("drs_active"),
     }
-    return latest(since(df, minutes), columns, ["driver_number"]).orderBy("driver_number").limit(22)
+    return latest(since(df, minutes, now), columns, ["driver_number"]).orderBy("driver_number").limit(n)
 
 
-def dashboard_alerts(df: DataFrame, minutes: int = 30, threshold: float = 0.7) -> DataFrame:
+def dashboard_alerts(df: DataFrame, minutes: int = 30, now: Column | None = None, threshold: float = 0.7, n: int = 22) -> DataFrame:
     columns = {
         "driver": c("driver_name"),
         "team": c("team"),
@@ -152,13 +159,13 @@ def dashboard_alerts(df: DataFrame, minutes: int = 30, threshold: float = 0.7) -
         "tyre": c("tyre_compound"),
         "tyre_age": c("tyre_age"),
     }
-    risky = since(df, minutes).where(c("pitstop_probability") > threshold)
-    return latest(risky, columns, ["driver_number"]).orderBy(F.desc("pit_pct"), "driver_number").limit(22)
+    risky = since(df, minutes, now).where(c("pitstop_probability") > threshold)
+    return latest(risky, columns, ["driver_number"]).orderBy(F.desc("pit_pct"), "driver_number").limit(n)
 
 
-def tyre_status(df: DataFrame, minutes: int = 120) -> DataFrame:
+def tyre_status(df: DataFrame, minutes: int = 120, now: Column | None = None) -> DataFrame:
     """Newest tyre and odds of each driver of the session scored last."""
-    recent = since(df, minutes)
+    recent = since(df, minutes, now)
     session = recent.agg(F.max_by("session_key", F.struct("ts", "session_key"))).scalar()
     columns = {n: c(n) for n in ("tyre_compound", "tyre_age", "pitstop_probability", "win_probability")}
     return latest(recent.where(c("session_key") == session), columns, ["driver_number"])
@@ -180,12 +187,12 @@ def _counts(df: DataFrame, key: Column, name: str, n: int) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), name).limit(n)
 
 
-def risk_band_counts(df: DataFrame) -> DataFrame:
-    return _counts(df, risk_band(c("pitstop_probability")), "risk_band", 3)
+def risk_band_counts(df: DataFrame, n: int = 3) -> DataFrame:
+    return _counts(df, risk_band(c("pitstop_probability")), "risk_band", n)
 
 
-def compound_counts(df: DataFrame) -> DataFrame:
-    return _counts(df, c("tyre_compound"), "tyre_compound", 5)
+def compound_counts(df: DataFrame, n: int = 5) -> DataFrame:
+    return _counts(df, c("tyre_compound"), "tyre_compound", n)
 
 
 def age_bin(width: int = 2) -> Column:
@@ -245,18 +252,18 @@ def win_timeseries_1m(df: DataFrame) -> DataFrame:
     return _per_minute(df, "win_probability", "avg_win_probability")
 
 
-def _percent_series(df: DataFrame, value: str, name: str, minutes: int, n: int) -> DataFrame:
-    recent = since(df, minutes)
+def _percent_series(df: DataFrame, value: str, name: str, minutes: int, now: Column | None, n: int) -> DataFrame:
+    recent = since(df, minutes, now)
     per = _per_minute(_of_top(recent, F.avg(value), n), value, name)
     return per.withColumn(name, as_percent(c(name)))
 
 
-def pit_percent_timeseries_top10(df: DataFrame, minutes: int = 120) -> DataFrame:
-    return _percent_series(df, "pitstop_probability", "pit_pct", minutes, 10)
+def pit_percent_timeseries_top10(df: DataFrame, minutes: int = 120, now: Column | None = None, n: int = 10) -> DataFrame:
+    return _percent_series(df, "pitstop_probability", "pit_pct", minutes, now, n)
 
 
-def win_percent_timeseries_top10(df: DataFrame, minutes: int = 120) -> DataFrame:
-    return _percent_series(df, "win_probability", "win_pct", minutes, 10)
+def win_percent_timeseries_top10(df: DataFrame, minutes: int = 120, now: Column | None = None, n: int = 10) -> DataFrame:
+    return _percent_series(df, "win_probability", "win_pct", minutes, now, n)
 
 
 # function metrics -----------------------------------------------------------

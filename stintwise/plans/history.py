@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.functions.parsing import parse_gap
 from stintwise.operators.joins import (
     DRIVER,
-    flag_did_pit,
-    join_interval_by_lap,
     join_stint_for_lap,
-    label_pit_within_3,
     label_sc_within_5,
-    latest_weather_per_driver,
-    salted_lookup,
+    latest_weather,
     weather_columns,
 )
 from stintwise.operators.laps import sector_delta_history
@@ -41,6 +38,27 @@ ROW = [
 ]
 
 
+def lap_marks(intervals: DataFrame, pit: DataFrame) -> DataFrame:
+    """What is recorded of a lap, a row per driver and lap: its newest gap, whether it ends in a stop, whether one is near."""
+    none = {"_gap": F.lit(None).cast("double"), "_date": F.lit(None).cast("timestamp")}
+    gaps = intervals.select(
+        *DRIVER, "lap_number", parse_gap(F.col("gap_to_leader")).alias("_gap"), F.col("date").cast("timestamp").alias("_date"),
+        F.lit(0).alias("_pit"), F.lit(0).alias("_soon"),
+    )
+    # A stop marks its own lap, and the three laps before it as close to a stop.
+    ahead = F.col("_ahead")
+    stops = pit.select(*DRIVER, "lap_number", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_ahead")).select(
+        *DRIVER, (F.col("lap_number") - ahead).alias("lap_number"), *[v.alias(n) for n, v in none.items()],
+        (ahead == 0).cast("int").alias("_pit"), (ahead > 0).cast("int").alias("_soon"),
+    )
+    return (
+        gaps.unionByName(stops)
+        .where("lap_number IS NOT NULL")
+        .groupBy(*DRIVER, "lap_number")
+        .agg(F.max_by("_gap", "_date").alias("_gap"), F.max("_pit").alias("_pit"), F.max("_soon").alias("_soon"))
+    )
+
+
 def build_training_rows(
     laps: DataFrame,
     stints: DataFrame,
@@ -52,22 +70,23 @@ def build_training_rows(
 ) -> DataFrame:
     """One row per driver and lap with features and both labels.
 
-    The laps are exchanged twice: by ``(session, driver, lap)`` for the stint,
-    interval and stop joins, then by ``(session, driver)`` for the weather, the lap
-    count and the pace window.  The safety-car laps are few and usually broadcast.
+    The laps are exchanged three times: by driver and lap for all that is recorded
+    of a lap, by driver and block of laps for the stint, and by driver for the lap
+    count and the pace window.  Readings and safety-car laps are few per session
+    and usually broadcast.
     """
     narrow = laps.select(*DRIVER, "lap_number", "event_time", "duration_sector_1", "lap_duration")
-    rows = join_stint_for_lap(narrow, stints)
-    rows = join_interval_by_lap(rows, intervals)
-    rows = flag_did_pit(rows, pit)
-    rows = label_pit_within_3(rows, pit)
-    rows = label_sc_within_5(rows, race_control)
+    rows = narrow.join(lap_marks(intervals, pit), [*DRIVER, "lap_number"], "left").withColumns(
+        {
+            "gap_to_leader": F.coalesce("_gap", F.lit(0.0)),
+            "did_pit": F.coalesce("_pit", F.lit(0)),
+            "pitstop_within_3_laps": F.coalesce("_soon", F.lit(0)),
+        }
+    )
+    rows = join_stint_for_lap(rows.drop("_gap", "_pit", "_soon"), stints, driven=laps)
     by_lap = lap_series(rows, measure=laps.select(*DRIVER))
-    readings = latest_weather_per_driver(laps, weather)
-    if by_lap.split:
-        rows = salted_lookup(rows, readings, DRIVER, ["lap_number"])
-    else:
-        rows = rows.join(readings, DRIVER, "left")
-    rows = with_totals(by_lap.replace(rows.withColumns(weather_columns())), {"total_laps": F.count(F.lit(1))})
+    rows = with_totals(by_lap.replace(rows), {"total_laps": F.count(F.lit(1))})
     rows = sector_delta_history(rows, places, by_lap.replace(rows))
+    rows = rows.join(latest_weather(weather), "session_key", "left").withColumns(weather_columns())
+    rows = label_sc_within_5(rows, race_control)
     return rows.select(*[F.col(x) for x in ROW])

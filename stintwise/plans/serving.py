@@ -38,18 +38,14 @@ def session_predictions(log: DataFrame, session_key: int) -> DataFrame:
 
 
 def latest_snapshot(log: DataFrame) -> DataFrame:
-    """Newest cycle over all sessions, likeliest winner first."""
-    row = F.max_by(F.struct("session_key", "timestamp"), F.struct("timestamp", "session_key")).alias("_r")
-    newest = log.agg(row).select("_r.*")
-    doc = log.where(
-        (c("timestamp") == newest.select("timestamp").scalar())
-        & (c("session_key") == newest.select("session_key").scalar())
-    )
-    carry = ["session_key", "country_name", "timestamp"]
-    flat = explode_log(doc, carry)
-    shown = format_prediction(flat)
-    extra = join_circuit(flat.select("driver_number", "country_name", c("timestamp").alias("prediction_time")))
-    return shown.join(extra, "driver_number").orderBy(F.desc("win_probability"), "driver_number")
+    """Newest cycle over all sessions, likeliest winner first.
+
+    One aggregate finds the document; of equal times the larger session counts.
+    """
+    document = F.max_by(F.struct(*log.columns), F.struct("timestamp", "session_key")).alias("_r")
+    flat = join_circuit(explode_log(log.agg(document).select("_r.*"), ["session_key", "country_name", "timestamp"]))
+    shown = format_prediction(flat, "country_name", "circuit_key", c("timestamp").alias("prediction_time"))
+    return shown.orderBy(F.desc("win_probability"), "driver_number")
 
 
 def list_sessions(log: DataFrame) -> DataFrame:
@@ -91,18 +87,7 @@ def pit_candidates_top3(df: DataFrame) -> DataFrame:
 
 
 def podium(df: DataFrame) -> DataFrame:
-    """Three likeliest winners of each session as display lines."""
+    """Three likeliest winners of each session: place, driver, team, gap to the first, tyres and stops."""
     first3 = top_n(df, ["session_key"], [F.desc("win_probability"), c("driver_number")], 3, "position")
-    gap = F.when(c("position") == 1, F.lit("Winner")).otherwise(F.format_string("+%.3fs", c("gap_to_leader")))
-    stops = F.when(c("pits_completed") == 1, "stop").otherwise("stops")
-    line = F.format_string(
-        "P%d: %s (%s) - %s, %s tyres, %d %s",
-        "position",
-        "driver_name",
-        "team",
-        gap,
-        "tyre_compound",
-        "pits_completed",
-        stops,
-    )
-    return first3.select("session_key", "position", line.alias("line"))
+    gap = F.when(c("position") > 1, c("gap_to_leader"))
+    return first3.select("session_key", "position", "driver_name", "team", gap.alias("gap"), "tyre_compound", "pits_completed")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +30,26 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
 
-    A machine-local folder is used only where the session names none, as in tests.
+    A machine-local folder serves only a local master, whose one process runs all tasks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stintwise-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_base(spark.sparkContext.master)
     return f"{base.rstrip('/')}/stintwise/{name}-{uuid.uuid4().hex}"
 
 
+def local_base(master: str) -> str:
+    """A temporary folder of this process; an error unless all tasks run in it."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return _temporary()
+
+
+@cache
+def _temporary() -> str:
+    path = tempfile.mkdtemp(prefix="stintwise-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: a short lineage that outlives lost executors."""
     path = shared_dir(df.sparkSession, name)
