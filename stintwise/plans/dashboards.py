@@ -39,7 +39,7 @@ def latest(df: DataFrame, columns: dict[str, Column], by: list[str] | None = Non
         named = df.select("ts", *by, *[x.alias(n) for n, x in columns.items() if n not in by])
         return newest_by_key(named, by, "ts", [n for n in columns if n not in by])
     row = F.struct(*[x.alias(n) for n, x in columns.items()])
-    return df.agg(F.max_by(row, F.struct("ts", "session_key", "driver_number")).alias("_r")).select("_r.*")
+    return df.agg(F.max_by(row, F.struct("ts", "session_key", "driver_number")).alias("_r")).where("_r IS NOT NULL").select("_r.*")
 
 
 def latest_in_window(df: DataFrame, minutes: int, now: Column | None = None) -> DataFrame:
