@@ -13,7 +13,7 @@ from stintwise import schemas
 from stintwise.catalog.board_queries import SHOWN
 from stintwise.catalog.join_queries import TEAM_SCORE
 from stintwise.catalog.registry import query
-from stintwise.catalog.state_queries import LIVE, SC_STATE
+from stintwise.catalog.state_queries import FINISHED, LIVE, SC_STATE
 from stintwise.catalog.tables import Tables
 from stintwise.functions.parsing import parse_gap, rain_flag
 from stintwise.operators.quality import format_prediction
@@ -248,7 +248,7 @@ def _stream(t: Tables) -> Tables:
 
 def _state(t: Tables, stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
     path = _dir(t, name)
-    feeds.state_table(stream, path, f"{path}-checkpoint", mode=mode).awaitTermination()
+    feeds.state_table(stream, path, f"{path}-checkpoint", mode=mode, keys=keys).awaitTermination()
     return feeds.read_state(t.spark, path, keys)
 
 
@@ -368,3 +368,17 @@ def run_enrichment(t: Tables) -> DataFrame:
     enrichment.run_enrichment(feed, _tables_of(t), _base_scores, root, seconds=None).awaitTermination()
     rows = t.spark.read.parquet(enrichment.EnrichmentPaths(root).predictions)
     return rows.select(*KEY, "driver_name", "team", "tyre_age", "pitstop_probability", "win_probability", "stale")
+
+
+@query(
+    f"""SELECT session_key, CAST(COUNT(*) AS BIGINT) AS drivers, CAST(COUNT(CASE WHEN pitstop_probability > 0.85 THEN 1 END) AS BIGINT) AS alerts, MAX(lap_number) AS current_lap,
+    'scored' AS status, MAX(CASE WHEN sc THEN 1 ELSE 0 END) = 1 AS safety_car_active, MAX(CASE WHEN race_finished THEN 1 ELSE 0 END) = 1 AS race_finished
+    FROM ({_CYCLE}) x LEFT JOIN ({FINISHED}) f USING (session_key) GROUP BY session_key"""
+)
+def enrichment_log(t: Tables) -> DataFrame:
+    """What each cycle served, session by session: the events arrive as one micro-batch."""
+    feed = Tables.to_feed(t.spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(t.dir))
+    root = _dir(t, "enrichment-log")
+    enrichment.run_enrichment(feed, _tables_of(t), _base_scores, root, seconds=None).awaitTermination()
+    rows = t.spark.read.parquet(enrichment.EnrichmentPaths(root).cycles)
+    return rows.select("session_key", "drivers", "alerts", "current_lap", "status", "safety_car_active", "race_finished")

@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +30,36 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
     )
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
 
     A machine-local folder serves only a local master, whose one process runs all tasks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_base(spark.sparkContext.master)
+    base = _scratch.get() or spark.conf.get("spark.checkpoint.dir", None) or local_base(spark.sparkContext.master)
     return f"{base.rstrip('/')}/stintwise/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Whatever is written to shared folders within the block is removed after it."""
+    path = shared_dir(spark, name)
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, path)
+
+
 def local_base(master: str) -> str:
     """A temporary folder of this process; an error unless all tasks run in it."""
     if not re.fullmatch(r"local(\[[^\]]*\])?", master):

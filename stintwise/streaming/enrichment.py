@@ -2,9 +2,10 @@
 
 A batch is first added to the feed table.  Then only the sessions it touches are
 read back (the feed is stored by session, so other folders are not opened),
-turned into live features, scored, ranked and written out.  Every output folder
-is named after the batch and replaced as a whole, so a repeated batch changes
-nothing.
+turned into live features, scored, ranked and written out.  A session whose
+stint feed is empty is served from the cached stints.  Every output folder is
+named after the batch and replaced as a whole, so a repeated batch changes
+nothing; what a cycle writes for itself is removed with its end.
 """
 
 from __future__ import annotations
@@ -21,8 +22,16 @@ from pyspark.sql.streaming import StreamingQuery
 from stintwise.functions.scoring import ALERT_ABOVE, StackParams, confidence, recommendation, stack_probability
 from stintwise.operators.quality import pit_alerts
 from stintwise.operators.ranking import win_probability
-from stintwise.operators.state import last_good_predictions, live_features, safety_car_active, stop_on_finish
-from stintwise.session import written
+from stintwise.operators.state import (
+    last_good_predictions,
+    live_features,
+    race_finished,
+    safety_car_active,
+    stints_with_fallback,
+    stop_on_finish,
+)
+from stintwise.session import scratch, written
+from stintwise.sources.writers import save_stint_cache
 
 c = F.col
 log = logging.getLogger(__name__)
@@ -49,6 +58,14 @@ class EnrichmentPaths:
     def last_good(self) -> str:
         return f"{self.root}/last_good"
 
+    @property
+    def stints(self) -> str:
+        return f"{self.root}/stints"
+
+    @property
+    def cycles(self) -> str:
+        return f"{self.root}/cycles"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -88,30 +105,49 @@ def run_enrichment(
 ) -> StreamingQuery:
     """Start the cycle on a feed stream; ``seconds=None`` handles what is there and stops.
 
-    When scoring fails, the sessions' last good predictions are served, marked stale.
+    When scoring fails, the sessions' last good predictions are served, marked
+    stale.  Each cycle logs a row per session: ``scored``, ``stale``, or
+    ``missing`` where there is nothing to serve.  Only scoring may fail so; any
+    other error ends the stream.
     """
     paths = EnrichmentPaths(root)
     spark = stream.sparkSession
 
+    def scored_or_none(tables: dict[str, DataFrame], batch_id: int) -> DataFrame | None:
+        try:
+            return written(score_drivers(tables, base_scores, params), "scored")
+        except Exception:
+            log.exception("scoring failed in batch %s", batch_id)
+            return None
+
     def cycle(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark, "cycle"):
+            run(batch, batch_id)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("session_key", "batch").parquet(paths.feed)
         feed = spark.read.schema(f"{_ddl(batch)}, batch int").parquet(paths.feed)
         touched = feed.where(c("batch") == batch_id).select("session_key").distinct()
         tables = to_tables(feed.drop("batch").join(touched, "session_key", "left_semi"))
+        now = written(tables["stints"], "stints")
+        cached = _stored(spark, paths.stints)
+        if cached is not None:
+            known = cached.join(touched, "session_key", "left_semi").select(*now.columns)
+            tables["stints"] = written(stints_with_fallback(now, known), "stints")
+        save_stint_cache(now, paths.stints)
         if stop_finished:
             tables["laps"] = stop_on_finish(tables["laps"], tables["race_control"])
         out = f"{paths.predictions}/batch={batch_id}"
-        try:
-            scored = written(score_drivers(tables, base_scores, params), "scored")
+        scored = scored_or_none(tables, batch_id)
+        if scored is not None:
             shares = win_probability(scored, ["session_key"])
             shares.withColumn("stale", F.lit(False)).write.mode("overwrite").parquet(out)
-        except Exception:
-            good = _last_good(spark, paths)
+        else:
+            good = _stored(spark, paths.last_good)
             if good is None:
-                raise
-            log.exception("scoring failed in batch %s, serving the last good predictions", batch_id)
+                raise RuntimeError(f"scoring failed in batch {batch_id}, and no earlier predictions can be served")
             served = good.join(touched, "session_key", "left_semi").drop("stale")
             last_good_predictions(served.limit(0), served).write.mode("overwrite").parquet(out)
         done = spark.read.parquet(out)
@@ -121,6 +157,9 @@ def run_enrichment(
         pit_alerts(done.withColumn("commentary", F.lit("")), threshold).write.mode("overwrite").json(
             f"{paths.alerts}/batch={batch_id}"
         )
+        _cycle_log(touched, done, tables["race_control"], threshold).write.mode("overwrite").parquet(
+            f"{paths.cycles}/batch={batch_id}"
+        )
 
     when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return (
@@ -135,9 +174,26 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _last_good(spark: SparkSession, paths: EnrichmentPaths) -> DataFrame | None:
-    """Stored predictions, or nothing before the first good cycle."""
+def _cycle_log(touched: DataFrame, done: DataFrame, race_control: DataFrame, threshold: float) -> DataFrame:
+    """What a cycle served, a row per session it touched."""
+    served = done.groupBy("session_key").agg(
+        F.count(F.lit(1)).alias("drivers"),
+        F.count_if(c("pitstop_probability") > threshold).alias("alerts"),
+        F.max("lap_number").alias("current_lap"),
+        F.when(F.bool_or("stale"), "stale").otherwise("scored").alias("status"),
+    )
+    flags = safety_car_active(race_control).join(race_finished(race_control), "session_key")
+    return (
+        touched.join(served, "session_key", "left")
+        .join(flags, "session_key", "left")
+        .fillna({"drivers": 0, "alerts": 0, "status": "missing", "safety_car_active": False, "race_finished": False})
+        .withColumn("logged_at", F.current_timestamp())
+    )
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of earlier cycles, or nothing before the first."""
     try:
-        return spark.read.parquet(paths.last_good)
+        return spark.read.parquet(path)
     except AnalysisException:
         return None

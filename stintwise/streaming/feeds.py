@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stintwise.functions.scoring import ALERT_ABOVE
 from stintwise.operators.snapshots import newest_by_key
+from stintwise.session import remove
 
 c = F.col
 DRIVER = ["session_key", "driver_number"]
@@ -54,12 +55,33 @@ def log_delivery(stream: DataFrame, path: str, checkpoint: str, seconds: int | N
 
 
 def state_table(
-    stream: DataFrame, path: str, checkpoint: str, seconds: int | None = None, mode: str = "update"
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    seconds: int | None = None,
+    mode: str = "update",
+    keys: list[str] | None = None,
+    compact_every: int = 50,
 ) -> StreamingQuery:
-    """Changed rows of each micro-batch under their own folder.  A replayed batch replaces its folder."""
+    """Changed rows of each micro-batch under their own folder.  A replayed batch replaces its folder.
+
+    With ``keys``, every ``compact_every``-th folder holds the newest state of all
+    keys, and what lies before the last such folder but one is removed: the table
+    keeps two generations, from the older of which a replayed batch is made again.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        if not keys or batch_id == 0 or batch_id % compact_every:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            return
+        earlier = spark.read.parquet(path).where(c("batch") < batch_id)
+        known = earlier.unionByName(batch.withColumn("batch", F.lit(batch_id)))
+        rest = [x for x in known.columns if x not in (*keys, "batch")]
+        newest_by_key(known, keys, "batch", rest).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        oldest = batch_id - compact_every
+        for r in earlier.where(c("batch") < oldest).select("batch").distinct().collect():  # two generations at most
+            remove(spark, f"{path}/batch={r.batch}")
 
     when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return (

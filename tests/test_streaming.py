@@ -26,6 +26,20 @@ def test_state_follows_new_files(spark, tmp_path):
     assert [r.driver_number for r in feeds.recent(newest, feeds.CAR_SECONDS).collect()] == [4]
 
 
+def test_state_keeps_two_generations(spark, tmp_path):
+    source, state, checkpoint = (str(tmp_path / n) for n in ("in", "state", "checkpoint"))
+    t0 = datetime(2024, 1, 1)
+    keys = ["session_key", "driver_number"]
+    for step in range(7):
+        spark.createDataFrame([(1, step, t0, float(step)), (1, 99, t0 + timedelta(seconds=step), float(step))], CAR).coalesce(1).write.mode("append").parquet(source)
+        stream = feeds.car_state(feeds.incremental_files(spark, source, CAR, "parquet", "*.parquet"))
+        feeds.state_table(stream, state, checkpoint, keys=keys, compact_every=2).awaitTermination()
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "state").glob("batch=*"))
+    assert kept[0] >= 4 and len(kept) <= 4
+    newest = {r.driver_number: r.speed for r in feeds.read_state(spark, state, keys).collect()}
+    assert newest == {99: 6.0, **{k: float(k) for k in range(7)}}
+
+
 def _events(spark):
     return spark.read.schema(schemas.EVENTS).parquet(f"{SF}/events.parquet")
 
@@ -61,3 +75,9 @@ def test_cycles_add_up_and_failures_serve_the_last_good(spark, tmp_path):
     run(feed.where("event_id < 20").withColumn("event_id", F.col("event_id") + 10**6), broken)
     stale = spark.read.parquet(enrichment.EnrichmentPaths(root).predictions).where("batch = 2")
     assert stale.count() > 0 and stale.where("NOT stale").count() == 0
+    log = spark.read.parquet(enrichment.EnrichmentPaths(root).cycles)
+    status = {r.batch: r.s for r in log.groupBy("batch").agg(F.collect_set("status").alias("s")).collect()}
+    assert status == {0: ["scored"], 1: ["scored"], 2: ["stale"]}
+    assert log.where("batch = 1").agg(F.sum("drivers")).first()[0] == drivers
+    cached = spark.read.parquet(enrichment.EnrichmentPaths(root).stints)
+    assert cached.select("session_key").distinct().count() == feed.select("session_key").distinct().count()
