@@ -211,14 +211,13 @@ def build_pitstop_features(t: Tables) -> DataFrame:
 
 
 @query(
-    f"SELECT session_key, driver_number, lap_number, tyre_age, pitstop_within_3_laps, abs_sector_delta FROM ({F16_SQL}) f",
-    digits="abs_sector_delta",
+    F16_SQL,
+    digits="sector_delta heat_deg_interaction abs_sector_delta deg_rate gap_trend rolling_sector_delta_5 tyre_stress_index",
 )
 def project_pitstop_features(t: Tables) -> DataFrame:
-    """Projection alone; columns not asked for drop out of every window below."""
-    return pitstop.project_pitstop_features(pitstop.build_pitstop_features(t.raw_laps)).select(
-        *KEY, "tyre_age", "pitstop_within_3_laps", "abs_sector_delta"
-    )
+    """The 24 columns of the feature table from a wider frame."""
+    wider = pitstop.build_pitstop_features(t.raw_laps).withColumn("further", F.lit(1))
+    return pitstop.project_pitstop_features(wider)
 
 
 @query(

@@ -45,13 +45,18 @@ def scan_raw_laps(t: Tables) -> DataFrame:
 
 def _documents(t: Tables) -> DataFrame:
     path = _dir(t, "documents")
-    t.session_documents.write.json(path)
+    t.session_documents.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     return R.read_session_documents(t.spark, path)
 
 
-@query(f"SELECT {LAPS}, duration_sector_1, lap_duration FROM f_laps")
+@query(f"SELECT {LAPS}, event_time AS date_start, duration_sector_1, lap_duration FROM f_laps")
 def flatten_session(t: Tables) -> DataFrame:
-    return R.flatten_session(_documents(t), "laps").drop("date_start")
+    return _plain(R.flatten_session(_documents(t), "laps"), "date_start")
+
+
+@query("SELECT session_key, driver_number, event_time AS date, value AS x, CAST(k AS DOUBLE) AS y FROM f_base WHERE event_type = 'signup'")
+def flatten_session_position(t: Tables) -> DataFrame:
+    return _plain(R.flatten_session(_documents(t), "position"), "date")
 
 
 @query("SELECT session_key, driver_number, stint_number, lap_start, lap_end, compound FROM f_stints")
@@ -59,9 +64,9 @@ def flatten_session_stints(t: Tables) -> DataFrame:
     return R.flatten_session(_documents(t), "stints")
 
 
-@query(f"SELECT {LAPS}, gap_to_leader FROM f_intervals")
+@query(f"SELECT {LAPS}, gap_to_leader, date FROM f_intervals")
 def flatten_session_intervals(t: Tables) -> DataFrame:
-    return R.flatten_session(_documents(t), "intervals").drop("date")
+    return _plain(R.flatten_session(_documents(t), "intervals"), "date")
 
 
 @query(f"SELECT {LAPS}, pit_duration, pit_out_lap FROM f_pit")
@@ -69,14 +74,14 @@ def flatten_session_pit(t: Tables) -> DataFrame:
     return R.flatten_session(_documents(t), "pit")
 
 
-@query("SELECT session_key, air_temperature, track_temperature, rainfall FROM f_weather")
+@query("SELECT session_key, date, air_temperature, track_temperature, rainfall FROM f_weather")
 def flatten_session_weather(t: Tables) -> DataFrame:
-    return R.flatten_session(_documents(t), "weather").drop("date")
+    return _plain(R.flatten_session(_documents(t), "weather"), "date")
 
 
-@query("SELECT session_key, flag, message, lap_number FROM f_race_control")
+@query("SELECT session_key, date, flag, message, lap_number FROM f_race_control")
 def flatten_session_race_control(t: Tables) -> DataFrame:
-    return R.flatten_session(_documents(t), "race_control").drop("date")
+    return _plain(R.flatten_session(_documents(t), "race_control"), "date")
 
 
 @query(f"SELECT {LAPS}, lap_duration, rainfall FROM (SELECT {LAPS}, lap_duration, CASE WHEN rainfall THEN 1 ELSE 0 END AS rainfall FROM f_raw) x")

@@ -333,11 +333,15 @@ class Tables:
         laid = self.stints.groupBy(*DRIVER, F.floor(c("lap_start") / 256).alias("_block")).agg(
             F.sort_array(F.collect_list(stint)).alias("stints")
         )
-        driver = F.struct("laps", "stints", "intervals", "pit")
-        per_driver = driven.join(laid, [*DRIVER, "_block"], "left").select(
-            "session_key",
-            F.lit(2024).alias("year"),
-            F.create_map(c("driver_number").cast("string"), driver).alias("drivers"),
+        # Positions carry no lap: a driver's are cut by day, into documents of their own.
+        point = F.struct(c("date").cast("timestamp").alias("date"), "x", "y")
+        tracked = self.positions.groupBy(*DRIVER, F.to_date("date").alias("_day")).agg(
+            F.sort_array(F.collect_list(point)).alias("position")
+        )
+        drivers = driven.join(laid, [*DRIVER, "_block"], "left").unionByName(tracked, allowMissingColumns=True)
+        tables = F.struct("laps", "stints", "intervals", "position", "pit")
+        per_driver = drivers.select(
+            "session_key", F.lit(2024).alias("year"), F.create_map(c("driver_number").cast("string"), tables).alias("drivers")
         )
         at = c("date").cast("timestamp")
         part = F.floor(c("event_id") / 4096).alias("_part")
