@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.words import LOWER, NOT_LETTERS, Hasher, Texts, mix, slices, spans
+from stintwise.session import written
 
 BUCKET_BITS = 22
 #: Lengths in bytes of the word beginnings that are terms besides whole words.
@@ -132,15 +133,9 @@ def fit(labels: np.ndarray, lists: list[np.ndarray], training: Training) -> Mach
 
 
 def train(labelled: DataFrame, training: Training = Training()) -> Machine:  # noqa: B008
-    """A machine from ``labelled(doc_id, text, label)``.
-
-    Beyond ``max_rows`` rows, those with the smallest hashes of ``doc_id`` and
-    text are learnt from.  Rows with a null label are left out.  The sample is
-    the only data that one task sees as a whole.
-    """
-    rows = labelled.filter("label IS NOT NULL").select(F.col("label").cast("int").alias("label"), "text", F.xxhash64("doc_id", "text").alias("draw"))
-    sample = rows.orderBy("draw").limit(training.max_rows).select("label", "text")
-    lists = sample.mapInArrow(_term_lists, "label int, buckets binary")
+    """A machine from ``labelled(label, text)``, which one task sees as a whole: its size must be bounded."""
+    rows = labelled.select(F.col("label").cast("int").alias("label"), "text")
+    lists = rows.mapInArrow(_term_lists, "label int, buckets binary")
 
     def fitted(given: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(b, np.int32) for b in given["buckets"]]
@@ -197,11 +192,17 @@ def held_out(doc_id: Column) -> Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Machine:  # noqa: B008
     """A machine from the rows of ``docs`` that ``labels(doc_id, toxic)`` marks and that are not held out.
 
-    Of contradicting labels of one id the larger counts.
+    Of contradicting labels of one id the larger counts, of several texts the
+    one that sorts first.  Beyond ``max_rows`` labelled ids, those with the
+    smallest hashes are learnt from; they are chosen before any text is read,
+    and only their texts move.
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    known = docs.select("doc_id", "text").join(marks, "doc_id").filter(~held_out(F.col("doc_id")))
-    return train(known, training)
+    known = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct().join(marks, "doc_id")
+    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.max_rows), "labelled-ids")
+    # `max_rows` ids at most.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return train(texts, training)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, training: Training = Training()) -> DataFrame:  # noqa: B008
