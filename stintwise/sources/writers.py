@@ -3,6 +3,9 @@
 Partitioned tables are rebalanced by their folder key first: without it every
 task would leave a small file in every folder.  A rebalance, unlike a plain
 repartition by key, lets Spark split the partition of a hot key again.
+
+Sinks that add to a table take the ``batch`` they belong to: its rows go to
+folders of that batch, which a repeated job replaces instead of doubling them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,15 @@ def _folders(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *[c(k) for k in keys])
 
 
+def _added(rows: DataFrame, path: str, kind: str, folders: list[str], batch: str | int | None) -> str:
+    if batch is None:
+        rows.write.mode("append").format(kind).partitionBy(*folders).save(path)
+    else:
+        own = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        own.format(kind).partitionBy(*folders, "batch").save(path)
+    return path
+
+
 def write_features(df: DataFrame, path: str) -> str:
     """Feature table, replaced as a whole, one folder per session."""
     _folders(df, "session_key").write.mode("overwrite").partitionBy("session_key").parquet(path)
@@ -28,26 +40,22 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_raw_session(documents: DataFrame, path: str) -> str:
-    rows = _folders(documents, "year", "session_key")
-    rows.write.mode("append").partitionBy("year", "session_key").json(path)
-    return path
+def write_raw_session(documents: DataFrame, path: str, batch: str | int | None = None) -> str:
+    return _added(_folders(documents, "year", "session_key"), path, "json", ["year", "session_key"], batch)
 
 
-def write_inference_log(log: DataFrame, path: str) -> str:
+def write_inference_log(log: DataFrame, path: str, batch: str | int | None = None) -> str:
     """Cycle documents under their session's folder."""
-    _folders(log, "session_key").write.mode("append").partitionBy("session_key").json(path)
-    return path
+    return _added(_folders(log, "session_key"), path, "json", ["session_key"], batch)
 
 
-def write_daily(df: DataFrame, path: str, ts: str = "ts") -> str:
+def write_daily(df: DataFrame, path: str, ts: str = "ts", batch: str | int | None = None) -> str:
     """One folder per day of ``ts``."""
     dated = df.withColumn("dt", F.to_date(ts))
-    _folders(dated, "dt").write.mode("append").partitionBy("dt").parquet(path)
-    return path
+    return _added(_folders(dated, "dt"), path, "parquet", ["dt"], batch)
 
 
-def feature_store_append(df: DataFrame, path: str) -> str:
+def feature_store_append(df: DataFrame, path: str, batch: str | int | None = None) -> str:
     """Append records keyed by driver and event time; history is never rewritten."""
     columns = ["driver_number", "event_time", "tyre_age", "stint_number", "gap_to_leader"]
     columns += ["air_temperature", "track_temperature", "rainfall", "sector_delta"]
@@ -55,8 +63,7 @@ def feature_store_append(df: DataFrame, path: str) -> str:
     typed = [
         c(n) if n == "event_time" else c(n).cast("bigint" if n in whole else "double").alias(n) for n in columns
     ]
-    df.select(*typed).write.mode("append").parquet(path)
-    return path
+    return _added(df.select(*typed), path, "parquet", [], batch)
 
 
 def save_stint_cache(stints: DataFrame, path: str) -> str:
@@ -71,7 +78,8 @@ def save_stint_cache(stints: DataFrame, path: str) -> str:
     return path
 
 
-def write_records(df: DataFrame, path: str) -> str:
+def write_records(df: DataFrame, path: str, batch: str | int | None = None) -> str:
     """JSON lines that keep times to the microsecond."""
-    df.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
-    return path
+    times = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    text = {n: F.date_format(n, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for n in times}
+    return _added(df.withColumns(text) if text else df, path, "json", [], batch)

@@ -65,3 +65,37 @@ def test_no_cross_join_and_no_python_rows(spark, name):
 def test_every_query_with_sql_has_an_oracle_text():
     for name in NAMES:
         assert "SELECT" in all_queries()[name].oracle()
+
+
+def test_recent_windows_read_only_their_days(spark, tmp_path):
+    from stintwise.plans.dashboards import full_standings, max_lap
+    from stintwise.sources.writers import write_daily
+
+    path = write_daily(Tables(spark, SF).predictions.withColumn("last_pit_duration", F.lit(None).cast("double")), str(tmp_path / "log"))
+    log = spark.read.parquet(path)
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    for df in (max_lap(log, 10, now), full_standings(log, 30, now)):
+        text = plan(df)
+        assert re.search(r"PartitionFilters: \[[^\]]*dt#\d+ >= 2024-01-15|PartitionFilters: \[[^\]]*\(dt#\d+ >= \d+\)", text), text
+        assert len(re.findall(r"FileScan", text)) == 1
+
+
+def test_snapshot_and_training_rows_exchange_little(spark):
+    def exchanges(name):
+        return len(re.findall(r"Exchange (?:hash|range|Single)", plan(all_queries()[name].build(Tables(spark, SF)))))
+
+    assert exchanges("latest_snapshot") <= 14  # most of them make the log out of the events
+    assert exchanges("join_stint_for_lap") <= 12
+
+
+def test_a_repeated_batch_doubles_nothing(spark, tmp_path):
+    from stintwise.sources import writers as W
+
+    t = Tables(spark, SF)
+    log = t.predictions.select("ts", "driver_name", "session_key")
+    for write in (lambda p, b: W.write_daily(log, p, batch=b), lambda p, b: W.write_inference_log(log, p, batch=b)):
+        path = str(tmp_path / f"t{id(write)}")
+        for batch in ("a", "b", "b", "a"):
+            write(path, batch)
+        kind = "json" if list((tmp_path / path).rglob("*.json")) else "parquet"
+        assert spark.read.format(kind).load(path).count() == 2 * log.count()
