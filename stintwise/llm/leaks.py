@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.bits import bit_filter, may_hold
+from stintwise.llm.rows import NO_ID, record
 from stintwise.llm.words import LOWER, Hasher, Texts, mix, slices, spans, windows
 from stintwise.session import written
 
@@ -141,8 +142,9 @@ def decontaminate(
     consistency: float = 0.9,
     least_plain: float = 0.5,
 ) -> DataFrame:
-    """``doc_id, contaminated, item_id, coverage, consistency, verbatim, n_items`` per row of ``docs(doc_id, text)``.
+    """``doc_id, record, contaminated, item_id, coverage, consistency, verbatim, n_items`` per row of ``docs(doc_id, text)``.
 
+    ``record`` is the text's hash, which tells rows of one ``doc_id`` apart.
     A document is contaminated if, on one alignment with a benchmark item
     ``(item_id, text)``, it holds at least ``coverage`` of the item's windows of
     ``window`` template tokens, and at least ``consistency`` of the item's slot
@@ -158,7 +160,7 @@ def decontaminate(
     leaves all clean.  Further columns are not read.
     """
     spark = docs.sparkSession
-    none = F.lit((1 << 63) - 1)
+    none = F.lit(NO_ID)
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").selectExpr(
         "cast(item_id AS long) AS doc", "xxhash64(text) AS record", "text"
     )
@@ -174,7 +176,7 @@ def decontaminate(
     sizes_of = asked.groupBy("item_id", "item_record").agg(F.countDistinct("at").alias("windows"))
     wanted = spark.sparkContext.broadcast(bit_filter(asked, "window"))
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc"), F.xxhash64("text").alias("record"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc"), record().alias("record"), "text")
     met = rows.mapInArrow(_emit(sizes, least_plain, wanted), _WINDOW).dropDuplicates(["doc", "record", "at", "window"])
     pairs = met.alias("d").join(asked.alias("i"), "window").select(
         "doc", "record", "item_id", "item_record", (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
@@ -204,10 +206,11 @@ def decontaminate(
         F.max(F.struct("coverage", "consistency", "verbatim", (-F.col("item_id")).alias("rank"))).alias("best"),
         F.countDistinct("item_id").alias("n_items"),
     )
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("record"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), record().alias("record"))
     every = every.withColumn("doc", F.coalesce("doc_id", none))
     return every.join(best, ["doc", "record"], "left").select(
         "doc_id",
+        "record",
         F.col("best").isNotNull().alias("contaminated"),
         (-F.col("best.rank")).alias("item_id"),
         "best.coverage",

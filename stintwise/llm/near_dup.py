@@ -8,13 +8,19 @@
    share the coarse label are candidates; how far the finer labels agree, that
    is the depth of their common prefix, adapts to how crowded a region is.
 3. Each class is confirmed against the neighbour that agrees with it in most
-   trees and deepest, and confirmed links give first components.
-4. Whatever shares a coarse label in any tree but is not yet in one component
-   is then confirmed as well.  A crowded region of one group of copies is one
-   component by then and costs nothing, so no region needs a cap.
+   trees and deepest, then against all neighbours that are not yet in its
+   component; each time, confirmed links are joined to components.
+4. Classes that have neighbours but stand in different components may still be
+   linked: in a crowded region, sorted neighbours are only some of those that
+   share a label.  Of these classes, each emits the rarest windows of its set,
+   as many as a pair at the threshold must share one of, and those that meet
+   are confirmed if their sizes, the places of what they share and their
+   sketches allow a link.  A crowded region that has become one component by
+   then costs nothing, and no region needs a cap.
 
 The number of trees makes a pair at the threshold fail to share a label in all
-trees with a chance below ``MISS``; every other step is exact.
+trees with a chance below ``MISS``, and the sketch errs with a similar chance;
+every other step is exact.
 """
 
 from __future__ import annotations
@@ -31,11 +37,14 @@ from pyspark.sql import functions as F
 
 from stintwise.llm.bits import bit_filter, may_hold
 from stintwise.llm.graph import components
+from stintwise.llm.rows import record
 from stintwise.llm.words import mix, shingle_sets, slices
 from stintwise.session import written
 
 MISS = 1e-6
 PLACES = 128
+#: How many sets tell which windows are common, and how many windows are told.
+SAMPLE, COMMON = 2000, 50_000
 #: Signature places of the coarse label, and those added by the two finer ones.
 FINER = (2, 6)
 
@@ -98,9 +107,9 @@ def _fingerprints(forest: Forest, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(2)):
                 sets = list(shingle_sets(texts, size))
-                ids = batch.column(0).slice(texts.start, texts.rows)
+                ids = [batch.column(k).slice(texts.start, texts.rows) for k in (0, 1)]
                 full = np.flatnonzero([len(s) > 0 for s in sets])
                 n = np.array([len(s) for s in sets], np.int64)
                 set_hash = np.zeros(len(sets), np.uint64)
@@ -119,15 +128,15 @@ def _fingerprints(forest: Forest, size: int):
                     deep[full] = (middle << np.uint64(16) | last).astype(np.uint32)
                 as_long = lambda x: x.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n), pa.array(as_long(set_hash)), _list_of(as_long(labels)), _list_of(deep.view(np.int32)),
+                    [*ids, pa.array(n), pa.array(as_long(set_hash)), _list_of(as_long(labels)), _list_of(deep.view(np.int32)),
                      pa.array(as_long(sketch[:, 0].copy())), pa.array(as_long(sketch[:, 1].copy()))],
-                    ["doc_id", "n_shingles", "class", "labels", "finer", "bits_a", "bits_b"],
+                    ["doc_id", "record", "n_shingles", "class", "labels", "finer", "bits_a", "bits_b"],
                 )
 
     return run
 
 
-_FINGERPRINT = "doc_id long, n_shingles long, class long, labels array<long>, finer array<int>, bits_a long, bits_b long"
+_FINGERPRINT = "doc_id long, record long, n_shingles long, class long, labels array<long>, finer array<int>, bits_a long, bits_b long"
 _NEIGHBOUR = "a long, b long, depth int, task int, nth int, tree int, label long, finer int, class long"
 
 
@@ -205,6 +214,48 @@ def _sets_of(filter_bits, size: int):
     return run
 
 
+def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["window"])
+
+
+def _common_windows(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that a sample of sets shares, sorted, and how often; ``SAMPLE`` sets and ``COMMON`` windows at most.
+
+    They only decide which windows count as rare.  Any choice gives the same
+    links, a good one fewer pairs to confirm.
+    """
+    sample = sets.orderBy(F.xxhash64("class")).limit(SAMPLE).select("shingles")
+    counted = sample.mapInArrow(_sampled_windows, "window long").groupBy("window").count().filter("count > 1")
+    found = counted.orderBy(F.desc("count"), "window").limit(COMMON).toPandas()
+    windows = found["window"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(windows)
+    return windows[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _rare_windows(common, percent: int):
+    """The rarest windows of each set, with their place in the order from rare to common, and the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, counts = common.value
+        for batch in batches:
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                count = np.zeros(len(own), np.int64)
+                if len(windows):
+                    at = np.minimum(np.searchsorted(windows, own), len(windows) - 1)
+                    count = np.where(windows[at] == own, counts[at], 0)
+                n = len(own)
+                rare = own[np.lexsort((own, count))[: n - -(-percent * n // 100) + 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rare), pa.array(np.full(len(rare), node)), pa.array(np.arange(len(rare), dtype=np.int32)), pa.array(np.full(len(rare), n, np.int32))],
+                    ["window", "class", "place", "n"],
+                )
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +281,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
+    """``doc_id, record, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
+
+    ``record`` is the text's hash, which tells rows of one ``doc_id`` apart.
 
     Texts are linked if ``100 * |intersection| >= percent * |union|`` of their
     sets of ``size``-word windows; a component's id is its smallest ``doc_id``,
@@ -242,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     """
     spark = docs.sparkSession
     forest = Forest(percent)
-    texts = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), record().alias("record"), "text")
     prints = written(texts.mapInArrow(_fingerprints(forest, size), _FINGERPRINT), "fingerprints")
 
     linkable = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -253,9 +306,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         ),
         "classes",
     )
-    regions = classes.select(
-        "class", "of.bits_a", "of.bits_b", F.posexplode(F.arrays_zip("of.labels", "of.finer")).alias("tree", "at")
-    ).select("tree", F.col("at.labels").alias("label"), F.col("at.finer").alias("finer"), "class", "bits_a", "bits_b")
+    regions = classes.select("class", F.posexplode(F.arrays_zip("of.labels", "of.finer")).alias("tree", "at")).select(
+        "tree", F.col("at.labels").alias("label"), F.col("at.finer").alias("finer"), "class"
+    )
 
     near = written(_forest_neighbours(regions, forest), "neighbour-pairs")
     crowded = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
@@ -264,6 +317,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     hashed = texts.filter("doc_id IS NOT NULL").selectExpr("xxhash64(doc_id) AS hashed", "text")
     sets = written(hashed.mapInArrow(_sets_of(filter_bits, size), "class long, shingles binary"), "shingle-sets")
 
+    sketches = classes.join(crowded, "class").select("class", "of.bits_a", "of.bits_b")
+
+    def placed(links: DataFrame) -> DataFrame:
+        """``class, root`` of all classes that have neighbours."""
+        grouped = components(links, "near-components").withColumnRenamed("node", "class")
+        found = crowded.join(grouped, "class", "left").select("class", F.coalesce("root", "class").alias("root"))
+        return written(found, "near-roots")
+
     best = (
         near.select(F.col("a").alias("node"), F.col("b").alias("partner"), "trees", "depth")
         .unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("partner"), "trees", "depth"))
@@ -272,38 +333,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
         .select(F.least("node", "best.partner").alias("a"), F.greatest("node", "best.partner").alias("b"))
         .distinct()
     )
-    first = _confirmed(best, sets, percent)
-    grouped = components(first.filter("linked"), "near-components")
-
-    placed = (
-        regions.join(crowded, "class", "left_semi")
-        .join(grouped.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("root", F.coalesce("root", "class"))
-    )
-    mixed = placed.groupBy("tree", "label").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left = written(placed.join(mixed.select("tree", "label"), ["tree", "label"]), "mixed-regions")
-    x, y = left.alias("x"), left.alias("y")
-    apart = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
-    rest = (
-        x.join(
-            y,
-            (F.col("x.tree") == F.col("y.tree")) & (F.col("x.label") == F.col("y.label"))
-            & (F.col("x.root") < F.col("y.root")) & (apart <= forest.most_bits_apart),
-        )
+    tested = _confirmed(best, sets, percent)
+    links = tested.filter("linked").select("a", "b")
+
+    roots = placed(links)
+    root_a = roots.select(F.col("class").alias("a"), F.col("root").alias("root_a"))
+    root_b = roots.select(F.col("class").alias("b"), F.col("root").alias("root_b"))
+    apart = near.select("a", "b").join(root_a, "a").join(root_b, "b").filter("root_a <> root_b").select("a", "b")
+    more = _confirmed(apart.join(tested, ["a", "b"], "left_anti"), sets, percent)
+    tested = tested.unionByName(more)
+    links = links.unionByName(more.filter("linked").select("a", "b"))
+
+    roots = placed(links)
+    common = spark.sparkContext.broadcast(_common_windows(sets))
+    rare = sets.mapInArrow(_rare_windows(common, percent), "window long, class long, place int, n int").distinct()
+    rare = rare.join(roots, "class")
+    mixed = rare.groupBy("window").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    meeting = rare.join(mixed.select("window"), "window", "left_semi").join(sketches, "class")
+    x, y = meeting.alias("x"), meeting.alias("y")
+    sizes = F.col("x.n") + F.col("y.n")
+    differ = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
+    # What can still be shared from the first shared window on, against what a link needs.
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    possible = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * rest >= percent * sizes)
+    crossing = (
+        x.join(y, (F.col("x.window") == F.col("y.window")) & (F.col("x.root") < F.col("y.root")) & possible & (differ <= forest.most_bits_apart))
         .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = _confirmed(rest, sets, percent)
-    links = first.unionByName(second).filter("linked")
-    # Components of all links.
-    joined = components(links.select("a", "b"), "near-components")
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    links = links.unionByName(_confirmed(crossing, sets, percent).filter("linked").select("a", "b"))
+    joined = components(links, "near-components")
 
     members = classes.select("class", "least_id").join(joined.withColumnRenamed("node", "class"), "class")
     smallest = members.groupBy("root").agg(F.min("least_id").alias("linked_id"))
     linked = members.join(smallest, "root").select("class", "linked_id")
     ids = classes.select("class", "least_id").join(linked, "class", "left").select("class", F.coalesce("linked_id", "least_id").alias("found_id"))
-    out = prints.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
+    out = prints.select("doc_id", "record", "n_shingles", "class").join(ids, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = out.select("doc_id", "record", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
