@@ -13,6 +13,11 @@ equal.  The earliest line stays.
    to a variant lacks that one word.  The earliest place per key is an
    aggregate, so a key that very many lines share never gathers them.
 4. Each line is verified against the earliest partner by edit distance.
+
+Which halves and variants two lines share is counted on bare hashes first; bit
+filters of fixed size carry the answer to the tasks that read the texts, and
+what a filter lets through too much, later steps sort out.  Documents that lose
+no line are not moved.
 """
 
 from __future__ import annotations
@@ -20,17 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.bits import bit_filter, may_hold
+from stintwise.llm.rows import NO_ID, record
 from stintwise.llm.words import Texts, mix, slices, words
 from stintwise.session import written
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_LENGTH, _SIDE, _DOC, _LINE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+_LENGTH, _SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 class _Powers:
@@ -94,12 +101,7 @@ class Lines:
         return line, place, self._of(total, self.n[line] - 1)
 
 
-def _place_hash(doc: np.ndarray, record: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """A hash of a line's place, for the bit filter."""
-    return mix(doc.view(np.uint64) * _DOC + record.view(np.uint64) + number.astype(np.uint64) * _LINE).view(np.int64)
-
-
-_LINE_ROW = "doc long, record long, number int, n int, line long, place long, halves array<long>"
+_LINE_ROW = "doc long, record long, number int, line long"
 _VARIANT_ROW = "key long, at int, n int, line long, doc long, record long, number int, words binary"
 
 
@@ -108,55 +110,79 @@ def _ids(batch: pa.RecordBatch, texts: Texts, rows: np.ndarray) -> tuple[np.ndar
     return cut[0][rows], cut[1][rows]
 
 
-def _lines(least_words: int, near_words: int):
+def _lines(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(2)):
                 lines = Lines(texts)
                 keep = lines.n >= least_words
                 doc, record = _ids(batch, texts, lines.row)
-                near = np.where(lines.n >= near_words, 4, 0)[keep]
-                halves = lines.halves()[keep][near > 0].reshape(-1).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(near)]).astype(np.int32)
-                place = _place_hash(doc, record, lines.number)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[keep]), pa.array(record[keep]), pa.array(lines.number[keep].astype(np.int32)),
-                     pa.array(lines.n[keep].astype(np.int32)), pa.array(lines.whole().view(np.int64)[keep]), pa.array(place[keep]),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(halves))],
-                    ["doc", "record", "number", "n", "line", "place", "halves"],
-                )
+                columns = [doc, record, lines.number.astype(np.int32), lines.whole().view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["doc", "record", "number", "line"])
 
     return run
 
 
-def _variants(wanted, near_words: int):
-    """Rows of two kinds: a deletion variant of a line (``at`` is the deleted word), and a line itself (``at`` is -1)."""
+def _halves(near_words: int):
+    """The halves of long lines, each with its line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(2)):
                 lines = Lines(texts)
-                doc, record = _ids(batch, texts, lines.row)
-                hit = (lines.n >= near_words) & may_hold(wanted.value, _place_hash(doc, record, lines.number))
-                chosen = np.flatnonzero(hit)
-                if not len(chosen):
-                    continue
+                long = lines.n >= near_words
+                key, line = lines.halves()[long].view(np.int64), lines.whole().view(np.int64)[long]
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(line, 4))], ["key", "line"])
+
+    return run
+
+
+def _variants(halves, near_words: int, shared=None):
+    """Long lines that share a half, as rows of two kinds: deletion variants (``at`` is the deleted word), and the line (-1).
+
+    Without ``shared`` only keys and lines, to count which keys lines share; with it whole rows of those keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch.column(2)):
+                lines = Lines(texts)
+                mate = may_hold(halves.value, lines.halves().reshape(-1)).reshape(-1, 4).any(axis=1)
+                chosen = np.flatnonzero((lines.n >= near_words) & mate)
                 whole = lines.whole().view(np.int64)
                 line, at, key = lines.variants(chosen)
-                raw = [lines.word_hash[lines.first[k] : lines.first[k] + lines.n[k]].tobytes() for k in chosen]
                 line = np.concatenate([line, chosen])
+                at = np.concatenate([at, np.full(len(chosen), -1)]).astype(np.int32)
+                key = np.concatenate([key.view(np.int64), whole[chosen]])
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(whole[line])], ["key", "line"])
+                    continue
+                hit = may_hold(shared.value, key)
+                # Whoever has a shared variant is itself needed, to be verified.
+                needed = np.zeros(len(lines), bool)
+                needed[line[hit]] = True
+                hit |= (at < 0) & needed[line]
+                line, at, key = line[hit], at[hit], key[hit]
+                doc, record = _ids(batch, texts, lines.row)
+                raw = [
+                    lines.word_hash[lines.first[k] : lines.first[k] + lines.n[k]].tobytes() if a < 0 else None
+                    for k, a in zip(line, at, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([key.view(np.int64), whole[chosen]])),
-                     pa.array(np.concatenate([at, np.full(len(chosen), -1)]).astype(np.int32)),
-                     pa.array(lines.n[line].astype(np.int32)), pa.array(whole[line]), pa.array(doc[line]), pa.array(record[line]),
-                     pa.array(lines.number[line].astype(np.int32)),
-                     pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array(raw, pa.binary())])],
+                    [pa.array(key), pa.array(at), pa.array(lines.n[line].astype(np.int32)), pa.array(whole[line]), pa.array(doc[line]),
+                     pa.array(record[line]), pa.array(lines.number[line].astype(np.int32)), pa.array(raw, pa.binary())],
                     ["key", "at", "n", "line", "doc", "record", "number", "words"],
                 )
 
     return run
 
 
+def _shared_keys(keys: DataFrame) -> np.ndarray:
+    """A bit filter of the keys that at least two different lines have."""
+    ends = keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    return bit_filter(ends.filter("low < high"), "key")
+
+
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether one word inserted, deleted or replaced, or none, turns ``a`` into ``b``."""
     if len(a) > len(b):
@@ -210,22 +236,16 @@ def dedup_lines(docs: DataFrame, near_words: int = 8, least_words: int = 3, carr
     A null text stays null; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    after_all = F.lit((1 << 63) - 1)
-    doc, record = F.coalesce(F.col("doc_id").cast("long"), after_all), F.xxhash64("text")
-    rows = docs.select(doc.alias("doc"), record.alias("record"), "text")
-    lines = written(rows.mapInArrow(_lines(least_words, near_words), _LINE_ROW), "lines")
-
+    share = spark.sparkContext.broadcast
+    doc, own_record = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), record()
+    rows = docs.select(doc.alias("doc"), own_record.alias("record"), "text")
+    lines = written(rows.mapInArrow(_lines(least_words), _LINE_ROW), "lines")
     place = F.struct("doc", "record", "number")
-    firsts = written(
-        lines.groupBy("line").agg(F.min(F.struct("doc", "record", "number", "place")).alias("at"), F.first("halves").alias("halves")),
-        "first-lines",
-    )
-    half = firsts.filter(F.size("halves") > 0).select("at.place", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("lines"), F.min("place").alias("low"), F.max("place").alias("high"))
-    mates = half.join(shared.filter("lines > 1").select("half"), "half", "left_semi").select("place").distinct()
-    wanted = spark.sparkContext.broadcast(bit_filter(mates, "place"))
+    firsts = lines.groupBy("line").agg(F.min(place).alias("at")).select("at.*")
 
-    variants = written(rows.mapInArrow(_variants(wanted, near_words), _VARIANT_ROW), "line-variants")
+    halves = share(_shared_keys(rows.mapInArrow(_halves(near_words), "key long, line long")))
+    shared = share(_shared_keys(rows.mapInArrow(_variants(halves, near_words), "key long, line long")))
+    variants = written(rows.mapInArrow(_variants(halves, near_words, shared), _VARIANT_ROW), "line-variants")
     own = F.col("at") < 0
     per_place = variants.groupBy("key", "n", "at").agg(F.min(place).alias("first"))
     # A line and its variants of one key: for a line those one word longer, for a variant the line one word shorter.
@@ -244,17 +264,29 @@ def dedup_lines(docs: DataFrame, near_words: int = 8, least_words: int = 3, carr
     theirs = texts.select(place.alias("partner"), F.col("words").alias("their_words"))
     pairs = earliest.join(theirs, "partner").join(texts, ["doc", "record", "number"])
     near = pairs.select("doc", "record", "number", "words", "their_words").mapInArrow(_verified, "doc long, record long, number int")
-    kept = (
-        firsts.select("at.doc", "at.record", "at.number")
-        .join(near, ["doc", "record", "number"], "left_anti")
+    kept = written(
+        firsts.join(near, ["doc", "record", "number"], "left_anti")
         .groupBy("doc", "record")
-        .agg(F.collect_list("number").alias("stay"))  # of one document's own lines
+        .agg(F.collect_list("number").alias("stay")),  # of one document's own lines
+        "kept-lines",
     )
-    every = docs.select("doc_id", "text", *carry, doc.alias("__doc"), record.alias("__record"))
-    joined = every.join(kept, (F.col("__doc") == kept["doc"]) & (F.col("__record") == kept["record"]), "left")
-    out = joined.select("doc_id", "text", "stay", *[F.col(c).alias(f"__{c}") for c in carry])
-    schema = "doc_id long, text string, n_lines int, n_dropped int"
-    kinds = dict(docs.dtypes)
-    schema += "".join(f", `__{c}` {kinds[c]}" for c in carry)
-    result = out.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_rewrite(least_words), schema)
-    return result.withColumnsRenamed({f"__{c}": c for c in carry})
+    every = lines.distinct().groupBy("doc", "record").agg(F.count("*").alias("all"))
+    losing = every.join(kept, ["doc", "record"], "left").filter(F.coalesce(F.size("stay"), F.lit(0)) < F.col("all"))
+    bits = share(bit_filter(losing.select(F.xxhash64("doc", "record").alias("hashed")), "hashed"))
+
+    @F.pandas_udf("boolean")
+    def may_lose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashed in parts:
+            yield pd.Series(may_hold(bits.value, hashed.to_numpy()))
+
+    names = [f"__{c}" for c in carry]
+    marked = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", doc.alias("doc"), own_record.alias("record"),
+        *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)],
+    ).withColumn("loses", may_lose(F.xxhash64("doc", "record")))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    untouched = marked.filter("NOT loses").select("doc_id", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_dropped"), *names)
+    cut = marked.filter("loses").join(kept, ["doc", "record"], "left").select("doc_id", "text", "stay", *names)
+    schema = untouched.schema
+    result = untouched.unionByName(cut.mapInArrow(_rewrite(least_words), schema))
+    return result.withColumnsRenamed(dict(zip(names, carry, strict=True)))
