@@ -49,14 +49,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[None]:
-    """Whatever is written to shared folders within the block is removed after it."""
-    path = shared_dir(spark, name)
+def writing_to(path: str) -> Iterator[None]:
+    """Within the block, shared folders are made under ``path``."""
     token = _scratch.set(path)
     try:
         yield
     finally:
         _scratch.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Whatever is written to shared folders within the block is removed after it."""
+    path = shared_dir(spark, name)
+    try:
+        with writing_to(path):
+            yield
+    finally:
         remove(spark, path)
 
 
