@@ -7,6 +7,8 @@ share ``doc_id`` and text are one document.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from stintwise.llm.pieces import encode_decode
 from stintwise.llm.queries import PIECE_MODEL
 from stintwise.llm.rows import without
 from stintwise.llm.toxicity import score, train_on_labels
-from stintwise.session import written
+from stintwise.session import remove, shared_dir, writing_to, written
 
 TOXIC_FROM = 0.3
 SIMILAR_PERCENT = 80
@@ -59,12 +61,38 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+_left_behind: list[str] = []
+
+
+def _clear(spark: SparkSession) -> None:
+    while _left_behind:
+        remove(spark, _left_behind.pop())
+
+
+def _stage(step):
+    """``step`` with a folder of its own for what it writes on the way.
+
+    Its result is a plan over that folder, so the folder can go only when the
+    result has been written: the next stage, which starts from the written
+    table, removes it.
+    """
+
+    @wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _clear(spark)
+        _left_behind.append(shared_dir(spark, step.__name__))
+        with writing_to(_left_behind[-1]):
+            return step(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("piece_coding", encode),
+    ("toxicity", _stage(drop_toxic)),
+    ("line_dedup", _stage(drop_repeated_lines)),
+    ("near_dedup", _stage(drop_near_duplicates)),
+    ("decontamination", _stage(drop_leaks)),
+    ("piece_coding", _stage(encode)),
 ]
 
 #: Training, edit distances and token ids are beyond SQL; tests compare each stage with a brute-force version.
@@ -72,7 +100,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded corpus; runs one at a time in a driver."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    _clear(spark)
     return docs
