@@ -101,7 +101,7 @@ class Lines:
         return line, place, self._of(total, self.n[line] - 1)
 
 
-_LINE_ROW = "doc long, record long, number int, line long"
+_LINE_ROW = "doc long, record long, number int, line long, lines int"
 _VARIANT_ROW = "key long, at int, n int, line long, doc long, record long, number int, words binary"
 
 
@@ -117,8 +117,9 @@ def _lines(least_words: int):
                 lines = Lines(texts)
                 keep = lines.n >= least_words
                 doc, record = _ids(batch, texts, lines.row)
-                columns = [doc, record, lines.number.astype(np.int32), lines.whole().view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["doc", "record", "number", "line"])
+                of_row = np.bincount(lines.row[keep], minlength=texts.rows).astype(np.int32)[lines.row]
+                columns = [doc, record, lines.number.astype(np.int32), lines.whole().view(np.int64), of_row]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["doc", "record", "number", "line", "lines"])
 
     return run
 
@@ -270,8 +271,8 @@ def dedup_lines(docs: DataFrame, near_words: int = 8, least_words: int = 3, carr
         .agg(F.collect_list("number").alias("stay")),  # of one document's own lines
         "kept-lines",
     )
-    every = lines.distinct().groupBy("doc", "record").agg(F.count("*").alias("all"))
-    losing = every.join(kept, ["doc", "record"], "left").filter(F.coalesce(F.size("stay"), F.lit(0)) < F.col("all"))
+    every = lines.select("doc", "record", "lines").distinct()  # a row per document already within a task
+    losing = every.join(kept, ["doc", "record"], "left").filter(F.coalesce(F.size("stay"), F.lit(0)) < F.col("lines"))
     bits = share(bit_filter(losing.select(F.xxhash64("doc", "record").alias("hashed")), "hashed"))
 
     @F.pandas_udf("boolean")
