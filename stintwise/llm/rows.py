@@ -18,6 +18,18 @@ def record(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def sample_rows(df: DataFrame, draw: Column, most: int) -> DataFrame:
+    """All rows if there are ``most`` at most, else those with the smallest draws: ``most`` give or take its square root.
+
+    ``draw`` is a 64-bit hash of the row, so a task run again draws the same.
+    No rows are ordered, and none move.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.shiftrightunsigned(draw, 11) < F.lit(int(most / n * (1 << 53))))
+
+
 def _keyed(df: DataFrame, record_column: Column) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keyed = df.withColumns({"__doc": doc, "__record": record_column})
