@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintwise.llm.rows import sample_rows
 from stintwise.llm.words import LOWER, NOT_LETTERS, Hasher, Texts, mix, slices, spans
 from stintwise.session import written
 
@@ -29,7 +30,7 @@ BEGINNINGS = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of the training; ``max_rows`` labelled texts are learnt from at most."""
+    """Bounds and settings of the training; about ``max_rows`` labelled texts are learnt from at most."""
 
     max_rows: int = 12_000
     terms: int = 512
@@ -199,8 +200,8 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, training: Training = Tra
     """
     marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct().join(marks, "doc_id")
-    chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.max_rows), "labelled-ids")
-    # `max_rows` ids at most.
+    chosen = sample_rows(written(known, "labelled-ids"), F.xxhash64("doc_id"), training.max_rows)
+    # About `max_rows` ids at most.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return train(texts, training)
 
