@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from stintwise.llm.bits import bit_filter, may_hold
 from stintwise.llm.graph import components
-from stintwise.llm.rows import record
+from stintwise.llm.rows import record, sample_rows
 from stintwise.llm.words import mix, shingle_sets, slices
 from stintwise.session import written
 
@@ -221,12 +221,12 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _common_windows(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that a sample of sets shares, sorted, and how often; ``SAMPLE`` sets and ``COMMON`` windows at most.
+    """Windows that a sample of sets shares, sorted, and how often; about ``SAMPLE`` sets and ``COMMON`` windows at most.
 
     They only decide which windows count as rare.  Any choice gives the same
     links, a good one fewer pairs to confirm.
     """
-    sample = sets.orderBy(F.xxhash64("class")).limit(SAMPLE).select("shingles")
+    sample = sample_rows(sets, F.xxhash64("class"), SAMPLE).select("shingles")
     counted = sample.mapInArrow(_sampled_windows, "window long").groupBy("window").count().filter("count > 1")
     found = counted.orderBy(F.desc("count"), "window").limit(COMMON).toPandas()
     windows = found["window"].to_numpy(np.int64).view(np.uint64)
