@@ -2,7 +2,8 @@
 
 Two lines are duplicates if at most one word has to be inserted, deleted or
 replaced to turn one into the other; lines under ``near_words`` words must be
-equal.  The earliest line stays.
+equal.  The earliest line stays.  The query takes equal lines of every length
+but blank ones, and one word of four or more.
 
 1. Every line becomes a hash of its word sequence.  Equal lines keep their
    earliest place.

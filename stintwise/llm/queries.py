@@ -37,7 +37,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents"))
+    return dedup_lines(_table(spark, sf_dir, "documents"), near_words=4, least_words=1)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from stintwise.llm.line_dedup import dedup_lines, within_one_edit
+from stintwise.llm.queries import op2_line_dedup
 
 
 def fold(line):
@@ -87,3 +88,16 @@ def test_edit_check_is_the_edit_distance():
     for _ in range(3000):
         a, b = ([rng.randrange(3) for _ in range(rng.randrange(7))] for _ in range(2))
         assert within_one_edit(np.array(a), np.array(b)) == (distance(a, b) <= 1)
+
+
+def test_query_removes_short_lines_too(spark, documents, odd_pairs, tmp_path):
+    pairs = [
+        *corpus(),
+        *[(100_000 + i if i else i, t) for i, t in odd_pairs],
+        (200_000, "Erheed. titionly.\n\nalone\nfour words are here\nso three words"),
+        (200_001, "erheed. titionly.\n\nALONE\nfour words were here\nso four words"),
+    ]
+    documents(pairs, 5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op2_line_dedup(spark, str(tmp_path)).select("doc_id", "text", "n_lines", "n_dropped").collect()]
+    assert order(got) == order(brute(pairs, near_words=4, least_words=1))
+    assert next(t for i, t, _, _ in got if i == 200_001) == "\nso four words"
