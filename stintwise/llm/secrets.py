@@ -2,7 +2,10 @@
 
 Each text is searched for assignments, access keys and hex runs.  A worklist
 then unwraps every layer found inside: percent escapes, Unicode escapes,
-base64, and what compressed data in base64 holds.  Each decoded layer is
+base64, and what compressed data in base64 holds.  Base64 is decoded at all
+four alignments, over line breaks, and its bytes are searched as they are, so
+nothing around or between readable parts hides them; compressed data is looked
+for at every place of decoded or decompressed bytes.  Each decoded layer is
 searched again and unwrapped in turn until nothing new appears; layers met
 before on the same way are not entered again.  What is found inside is mapped
 back to the characters of the text that encode it.
@@ -10,15 +13,14 @@ back to the characters of the text that encode it.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -34,26 +36,40 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Any run that can be base64, an access key or hex.
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Any run that can be base64, an access key or hex; base64 goes on over single line breaks.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
+_STANDARD = str.maketrans("-_", "+/")
+#: Whatever can be found in a layer, or inside it, takes so many ASCII characters in a row.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"((?:\\u[0-9a-fA-F]{4})+)|\\U([0-9a-fA-F]{8})|\\u\{([0-9a-fA-F]{1,6})\}|((?:\\x[0-9a-fA-F]{2})+)"
     r"|&#([0-9]{1,7});|&#[xX]([0-9a-fA-F]{1,6});"
 )
-#: Decompressed data is searched in windows of so many bytes, which overlap; a secret longer than the overlap may be cut.
-WINDOW, OVERLAP = 4 << 20, 64 << 10
+#: Decompressed data is searched in windows of so many bytes, which overlap.
+WINDOW, OVERLAP, PIECE = 4 << 20, 64 << 10, 16 << 10
 
 
 @dataclass(frozen=True)
 class Layer:
-    """A decoded text, and the span of the whole text behind each of its characters."""
+    """A decoded text, and the span of the whole text behind each of its characters, or one for all of them.
+
+    Decoded bytes are one character each: whatever is searched for is ASCII.
+    ``inside`` yields the layers of compressed data in it; ``last`` says that the
+    layer around it has no more.
+    """
 
     text: str
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | int
+    ends: np.ndarray | int
     via: str
     above: tuple[bytes, ...]
+    inside: Iterator[Layer] | None = None
+    last: bool = False
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -72,137 +88,217 @@ def _character(code: int) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _escaped(m: re.Match) -> str | None:
-    """The characters that an escape stands for; None if it stands for none."""
+def _bytes_of(m: str, mark: str) -> tuple[str, list[int]]:
+    """The text of escaped bytes, and how many characters encode each of its; a byte that is not UTF-8 stands alone."""
+    now = bytes.fromhex(m.replace(mark, "")).decode("utf-8", "surrogateescape")
+    return now, [len(c.encode("utf-8", "surrogateescape")) * (2 + len(mark)) for c in now]
+
+
+def _escaped(m: re.Match) -> tuple[str, list[int]] | None:
+    """The characters that an escape stands for, and how many encode each; None if it stands for none."""
     units, wide, braced, raw, decimal, hexadecimal = m.groups()
-    try:
-        if units:
-            return bytes.fromhex(units.replace("\\u", "")).decode("utf-16-be")
-        if raw:
-            return bytes.fromhex(raw.replace("\\x", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return _character(int(decimal) if decimal else int(wide or braced or hexadecimal, 16))
+    if units:
+        now = bytes.fromhex(units.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+        return now, [6 * len(c.encode("utf-16-be", "surrogatepass")) // 2 for c in now]
+    if raw:
+        return _bytes_of(raw, "\\x")
+    now = _character(int(decimal) if decimal else int(wide or braced or hexadecimal, 16))
+    return now and (now, [m.end() - m.start()])
 
 
-def _percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> tuple[str, list[int]]:
+    return _bytes_of(m[0], "%")
 
 
-def _rewritten(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """The text with all escapes of one sort decoded, and where each character came from."""
+def _rewritten(text: str, pattern: re.Pattern, decode, places: bool) -> tuple[str, np.ndarray, np.ndarray] | None:
+    """The text with all escapes of one sort decoded, and, if wanted, where each character came from."""
     parts: list[str] = []
     starts: list[np.ndarray] = []
     ends: list[np.ndarray] = []
     at = 0
     for m in pattern.finditer(text):
-        now = decode(m)
-        if now is None:
+        found = decode(m)
+        if found is None:
             continue
-        plain = np.arange(at, m.start())
-        # An escape run is as long per character as its share: exact where all its characters need as many escapes.
-        edges = m.start() + np.arange(len(now) + 1) * (m.end() - m.start()) // max(1, len(now))
+        now, widths = found
         parts += [text[at : m.start()], now]
-        starts += [plain, edges[:-1]]
-        ends += [plain + 1, edges[1:]]
+        if places:
+            plain = np.arange(at, m.start())
+            edges = m.start() + np.cumsum([0, *widths])
+            starts += [plain, edges[:-1]]
+            ends += [plain + 1, edges[1:]]
         at = m.end()
     if not parts:
         return None
-    plain = np.arange(at, len(text))
+    plain = np.arange(at, len(text) if places else at)
     return "".join([*parts, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
-def _windows(raw: bytes) -> Iterator[bytes]:
-    """What compressed data holds, in overlapping windows; nothing if it is not compressed."""
-    if raw[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif raw[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        opened = zlib.decompressobj()
-    else:
-        return
-    tail, given = b"", raw
-    while True:
-        try:
-            out = opened.decompress(given, WINDOW)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError):
-            return
-        if out:
-            yield tail + out
-            tail = (tail + out)[-OVERLAP:]
-        given = getattr(opened, "unconsumed_tail", b"")
-        if opened.eof or not out and not given:
-            return
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 4 and sum(c.isprintable() or c in "\n\r\t" for c in text) == len(text) else None
+def _from(chunks: Iterator[bytes], at: int) -> Iterator[bytes]:
+    """The bytes from a place on, in small pieces."""
+    for chunk in chunks:
+        view = memoryview(chunk)[at:]
+        at = max(0, at - len(chunk))
+        for k in range(0, len(view), PIECE):
+            yield bytes(view[k : k + PIECE])
 
 
-def _unwrapped(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, str]]:
-    """Every layer directly inside a text: its characters, their spans in the text, and the encoding."""
-    for mark, pattern, decode, via in (("%", _PERCENT, _percent, "url"), ("\\", _ESCAPE, _escaped, "unicode"), ("&#", _ESCAPE, _escaped, "unicode")):
-        if mark in text and (found := _rewritten(text, pattern, decode)):
-            yield *found, via
-            if mark == "\\":
-                break
-    for m in _RUN.finditer(text):
-        run, at = m[0], m.start()
-        for skip in (0, 1, 2, 3) if len(run) % 4 else (0,):
-            body = run[skip:]
-            if len(body) % 4 == 1:
-                body = body[:-1]
+_BROKEN = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
+
+
+def _opener(head: bytes):
+    if head[:1] == b"B":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:1] == b"\xfd" else zlib.decompressobj(31 if head[:1] == b"\x1f" else 15)
+
+
+def _decompressed(pieces: Iterator[bytes], used: list[int]) -> Iterator[bytes]:
+    """What compressed data holds, member after member; ``used`` says how many bytes its whole members take."""
+    opened, given, fed = None, b"", 0
+    for piece in pieces:
+        given, fed = given + piece, fed + len(piece)
+        while given or opened and not getattr(opened, "needs_input", True):
+            if not opened:
+                if len(given) < 6:
+                    break
+                if not _MAGIC.match(given):
+                    return
+                opened = _opener(given)
+            spare = opened.copy() if hasattr(opened, "copy") else None
             try:
-                raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            begin, end = at + skip, at + skip + len(body)
-            opened = False
-            for part in _windows(raw):
-                opened = True
-                inner = part.decode("utf-8", "replace")
-                yield inner, np.full(len(inner), begin), np.full(len(inner), end), "compressed"
-            if not opened and (inner := _readable(raw)):
-                sizes = np.array([len(c.encode()) for c in inner])
-                stop = np.cumsum(sizes)
-                yield inner, begin + (stop - sizes) * 4 // 3, np.minimum(begin + -(-stop * 4 // 3), end), "base64"
-                break
-            if opened:
+                out = opened.decompress(given, WINDOW)
+            except _BROKEN:
+                # What stands before the broken byte counts.
+                try:
+                    for k in range(len(given) if spare else 0):
+                        yield spare.decompress(given[k : k + 1])
+                except _BROKEN:
+                    pass
+                return
+            if out:
+                yield out
+            given = getattr(opened, "unconsumed_tail", b"")
+            if opened.eof:
+                given, opened = opened.unused_data, None
+                used[0] = fed - len(given)
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """Overlapping windows: the place of the first byte, how many bytes were in the window before, and the bytes."""
+    tail, parts, size, at = b"", [], 0, 0
+    for chunk in chunks:
+        parts.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW:
+            now = b"".join([tail, *parts])
+            yield at, len(tail), now
+            at, tail, parts, size = at + max(0, len(now) - OVERLAP), now[-OVERLAP:], [], 0
+    if size:
+        yield at, len(tail), b"".join([tail, *parts])
+
+
+def _compressed(raw: bytes, first: int, at: int, source, until: list[int], span, via: str, above: tuple[bytes, ...]) -> Iterator[Layer]:
+    """The windows of all compressed data that begins in ``raw`` from ``first`` on; ``raw`` stands at ``at`` of ``source()``."""
+    for m in _MAGIC.finditer(raw, max(0, first - 5)):
+        begin = at + m.start()
+        if begin < until[0]:
+            continue
+        used = [0]
+        inner = partial(lambda begin, used: _decompressed(_from(source(), begin), used), begin, used)
+        lo = hi = None
+        below, met = [0], set()
+        for place, known, window in _windows(inner()):
+            if lo is None:
+                lo, hi = span(m.start(), inner, used)
+            key = blake2b(window, digest_size=16).digest()
+            if key in met or key in above:
+                continue  # equal windows of one span hold the same
+            met.add(key)
+            chain = (*above, key)
+            deeper = _compressed(window, known, place, inner, below, lambda *_, lo=lo, hi=hi: (lo, hi), f"{via}>compressed", chain)
+            yield Layer(window.decode("latin-1"), lo, hi, via, chain, deeper)
+        until[0] = max(until[0], begin + used[0])
+
+
+def _base64_layers(layer: Layer, via: str) -> Iterator[Layer]:
+    """Each run of base64 at its four alignments: text before or after it does not hide a layer."""
+    for m in _RUN.finditer(layer.text):
+        run, places = m[0], np.arange(m.start(), m.end())
+        if "\n" in run:
+            places = places[[c not in "\x20\t\r\n" for c in run]]
+            run = "".join(run.split())
+        flat = run.translate(_STANDARD).encode()
+        for skip in range(4):
+            body = flat[skip : len(flat) - ((len(flat) - skip) % 4 == 1)]
+            raw = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
+            last = skip + len(body) - 1
+
+            def span(j: int, inner, used: list[int], skip=skip, last=last, places=places) -> tuple[int, int]:
+                for _ in inner():
+                    pass
+                end = min(skip - (-(j + used[0]) * 4 // 3) - 1, last) if used[0] else last
+                return layer.span(int(places[skip + j * 4 // 3]), int(places[end]) + 1)
+
+            inside = None
+            if _MAGIC.search(raw):
+                inside = _compressed(raw, 0, 0, partial(lambda raw: iter([raw]), raw), [0], span, f"{via}compressed", layer.above)
+            if _STRETCH.search(raw):
+                key = blake2b(raw, digest_size=16).digest()
+                if key not in layer.above:
+                    if isinstance(layer.starts, int):
+                        starts, ends = layer.starts, layer.ends
+                    else:
+                        j = np.arange(len(raw))
+                        starts = layer.starts[places[skip + j * 4 // 3]]
+                        ends = layer.ends[places[np.minimum(skip - (-(j + 1) * 4 // 3) - 1, last)]]
+                    yield Layer(raw.decode("latin-1"), starts, ends, f"{via}base64", (*layer.above, key))
+            if inside:
+                yield Layer("", 0, 0, "", (), inside)
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
+    """Every layer directly inside another, rewritten ones at the end: the layer around a chain of them need not stay."""
+    rewritten = []
+    text, via, places = layer.text, layer.via and f"{layer.via}>", not isinstance(layer.starts, int)
+    for mark, pattern, decode, name in (("%", _PERCENT, _percent, "url"), ("\\", _ESCAPE, _escaped, "unicode"), ("&#", _ESCAPE, _escaped, "unicode")):
+        if mark in text and (found := _rewritten(text, pattern, decode, places)):
+            inner, starts, ends = found
+            key = blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if inner and key not in layer.above:
+                span = (layer.starts[starts], layer.ends[np.maximum(ends, starts + 1) - 1]) if places else (layer.starts, layer.ends)
+                rewritten.append((inner, *span, f"{via}{name}", (*layer.above, key)))
+            if mark == "\\":
                 break
+    yield from _base64_layers(layer, via)
+    for k, found in enumerate(rewritten):
+        yield Layer(*found, last=k == len(rewritten) - 1)
 
 
 def nested_spans(text: str) -> list[tuple[str, int, int, str]]:
-    """``(kind, start, end, via)`` of secrets inside encoded layers, with the encodings from outside inwards."""
-    found: list[tuple[str, int, int, str]] = []
-    work: deque[Layer] = deque()
+    """``(kind, start, end, via)`` of secrets inside encoded layers, with the encodings from outside inwards.
 
-    def enter(above: Layer | None, layers: Iterator[tuple[str, np.ndarray, np.ndarray, str]]) -> None:
-        for inner, starts, ends, via in layers:
-            key = blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if not inner or above and key in above.above:
-                continue
-            if above:
-                starts, ends = above.starts[starts], above.ends[np.maximum(ends, starts + 1) - 1]
-            chain = above.above if above else ()
-            work.append(Layer(inner, starts, ends, f"{above.via}>{via}" if above else via, (*chain, key)))
-
-    enter(None, _unwrapped(text))
+    A window of compressed data is searched with all that is inside it before
+    the next one is made.
+    """
+    if not (_RUN.search(text) or "%" in text or "\\" in text or "&#" in text):
+        return []
+    found: dict[tuple[str, int, int, str], None] = {}
+    place = np.arange(len(text) + 1)
+    work: list[Iterator[Layer]] = [_unwrapped(Layer(text, place[:-1], place[1:], "", ()))]
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         for kind, a, b in base_spans(layer.text):
-            found.append((kind, int(layer.starts[a]), int(layer.ends[b - 1]), layer.via))
-        enter(layer, _unwrapped(layer.text))
-    return found
+            found[kind, *layer.span(a, b), layer.via] = None
+        if layer.last:
+            work.pop()
+        if layer.inside:
+            work.append(layer.inside)
+        if layer.text:
+            work.append(_unwrapped(layer))
+    return sorted(found, key=lambda s: s[3].count(">"))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:

@@ -75,6 +75,22 @@ def test_plain_prose_adds_nothing():
     assert scan("internationalization counterrevolutionaries uncharacteristically 100% sure \\o/ &# ") == ([], [])
 
 
+def spans_of(wrapped, kind="assign"):
+    text = f"see {wrapped} end"
+    return [text[a:b] for k, a, b, _ in nested_spans(text) if k == kind]
+
+
+def test_layers_glued_to_other_characters():
+    plain = b"password = Sup3rSecretValue99 and more"
+    alone = spans_of(b64(plain))
+    assert len(alone) == 1
+    for before in ("https://h.example/cb/", "key_", "x", "ab/", "abc-", "a_b/c_d/"):
+        assert spans_of(before + b64(plain)) == alone, before
+        assert spans_of(before + b64(plain) + "/tail") == alone, before
+        for packed in (gzip.compress(plain), zlib.compress(plain), bz2.compress(plain)):
+            assert len(spans_of(before + b64(packed) + "_tail")) == 1, before
+
+
 def test_table(documents, odd_pairs):
     pairs = [*odd_pairs, (8, f"x {SECRET} " + b64(SECRET))]
     got = find_secrets(documents(pairs)).collect()
