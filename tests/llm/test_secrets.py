@@ -91,6 +91,27 @@ def test_layers_glued_to_other_characters():
             assert len(spans_of(before + b64(packed) + "_tail")) == 1, before
 
 
+def test_layers_are_unwrapped_to_the_end():
+    plain = b"password = Sup3rSecretValue99 and more"
+    for name, wrapped in {
+        "byte order mark": b64(b"\xef\xbb\xbf" + plain),
+        "no-break space": b64("a\u00a0 ".encode() + plain),
+        "NUL": b64(plain + b"\0"),
+        "compressed twice": b64(gzip.compress(gzip.compress(plain))),
+        "compressed three ways": b64(bz2.compress(zlib.compress(gzip.compress(plain)))),
+        "second member": b64(gzip.compress(b"nothing") + gzip.compress(plain)),
+        "across members": b64(gzip.compress(plain[:15]) + gzip.compress(plain[15:])),
+        "bytes before a file": b64(b"\0\1\2\3" + gzip.compress(plain)),
+        "over lines": base64.encodebytes(b"x" * 50 + plain).decode(),
+        "compressed over lines": base64.encodebytes(gzip.compress(" ".join(map(str, range(300))).encode() + b" " + plain)).decode(),
+        "not UTF-8, percent": "%E9" + urllib.parse.quote(plain, safe=""),
+        "not UTF-8, escapes": "\\xff" + "".join(f"\\x{c:02x}" for c in plain),
+    }.items():
+        assert len(spans_of(wrapped)) == 1, name
+    (found,) = spans_of("%E9" + "".join(f"%{c:02x}" for c in b"password=Sup3rSecretValue99"))
+    assert found == "".join(f"%{c:02x}" for c in b"password=Sup3rSecretValue99")
+
+
 def test_table(documents, odd_pairs):
     pairs = [*odd_pairs, (8, f"x {SECRET} " + b64(SECRET))]
     got = find_secrets(documents(pairs)).collect()
