@@ -3,6 +3,8 @@ import bz2
 import gzip
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 
@@ -112,6 +114,16 @@ def test_layers_are_unwrapped_to_the_end():
     assert found == "".join(f"%{c:02x}" for c in b"password=Sup3rSecretValue99")
 
 
+def test_a_bomb_needs_no_memory():
+    start = "import resource, sys; from stintwise.llm.secrets import nested_spans"
+    show = "print(len(nested_spans(sys.stdin.read())), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)"
+    packing = zlib.compressobj(9)
+    bomb = b"".join(packing.compress(bytes([97 + k % 20]) * (4 << 20)) for k in range(25)) + packing.compress(b" " + SECRET.encode()) + packing.flush()
+    done = subprocess.run([sys.executable, "-c", f"{start}; {show}"], input="see " + b64(bomb), capture_output=True, text=True, check=True)
+    found, megabytes = map(int, done.stdout.split())
+    assert found and megabytes < 900
+
+
 def test_table(documents, odd_pairs):
     pairs = [*odd_pairs, (8, f"x {SECRET} " + b64(SECRET))]
     got = find_secrets(documents(pairs)).collect()
