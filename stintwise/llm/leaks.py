@@ -3,9 +3,12 @@
 Documents and benchmark items become sequences of template tokens: numbers,
 names and units turn into typed placeholders, other words stay.  Windows of
 template tokens are hash-joined, so a question asked anew with other numbers or
-names still meets its original.  Matches that lie on one alignment of document
-and item are counted together, and the values behind the placeholders must
-agree: wherever the item repeats a value, the document must repeat one too.
+names still meets its original.  Texts are read in three ways: capitals that
+open a sentence as words, the same as names, and all tokens as they are.
+Matches that lie on one alignment of document and item, or on neighbouring ones
+(a word more or less shifts what follows), are counted together, and the values
+behind the placeholders must agree: wherever the item repeats a value, the
+document must repeat one too.
 
 Tasks that read documents pass on only windows that a bit filter of fixed size,
 made of the benchmark's windows, lets through.
@@ -51,16 +54,24 @@ def _unit_hashes() -> np.ndarray:
 
 _UNIT_HASHES = _unit_hashes()
 
+#: The ways to read a text.
+WORDS, OPENING_NAMES, LITERAL = range(3)
+#: Alignments that differ by half as many tokens, or less, are counted together too.
+NEIGHBOURS = 16
+
 
 class Templates:
     """Template tokens of some texts: row, canonical hash, hash of the value itself, and whether it is a placeholder."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, way: int = WORDS):
         raw, buf = texts.buf, LOWER[texts.buf]
         starts, ends, row = spans(texts, raw, _NOT_ALNUM)
         hashed = Hasher(buf)
         value = hashed(starts, ends)
         n = len(starts)
+        if way == LITERAL:
+            self.row, self.value, self.token, self.slot = row, value, value, np.zeros(n, bool)
+            return
         first = np.ones(n, bool)
         first[1:] = row[1:] != row[:-1]
         gap_from = np.zeros(n, np.int64)
@@ -72,17 +83,23 @@ class Templates:
         second = raw[np.minimum(starts + 1, max(len(raw) - 1, 0))] if n else head
         capital = (head >= 0x41) & (head <= 0x5A) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
         number = _DIGIT[head]
-        name = capital & ~opens & ~number
+        name = capital & ~number if way == OPENING_NAMES else capital & ~opens & ~number
         follows = np.zeros(n, bool)
         follows[1:] = number[:-1] & ~first[1:]
         unit = follows & ~number & np.isin(value, _UNIT_HASHES)
         name &= ~unit
-        # Parts of one number ("1,250.5") and of one name ("Ada Lovelace") are one token.
+        # Parts of one number ("1,250.5", "1 000", "3/4", "12:30") and of one name ("Ada Lovelace", "Ada-Marie", "O'Neil") are one token.
         joined = np.zeros(n, bool)
         near = ~first & (starts - gap_from == 1)
         between = raw[np.maximum(starts - 1, 0)] if n else head
-        point = (between == ord(".")) | (between == ord(","))
-        joined[1:] = near[1:] & (number[1:] & number[:-1] & point[1:] | name[1:] & name[:-1] & (between[1:] == 0x20))
+        point = np.isin(between, [ord(c) for c in ".,/:"])
+        # A space parts thousands: up to three digits, then three.
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
+        size = np.where(digits[ends] - digits[starts] == ends - starts, ends - starts, 0)
+        group = (between == 0x20) & (size == 3)
+        group[1:] &= (size[:-1] > 0) & (size[:-1] <= 3)
+        mark = np.isin(between, [ord(c) for c in " -'"])
+        joined[1:] = near[1:] & (number[1:] & number[:-1] & (point | group)[1:] | name[1:] & name[:-1] & mark[1:])
         lead = np.flatnonzero(~joined)
         stop = np.append(lead[1:], n) - 1
         self.row = row[lead]
@@ -92,7 +109,7 @@ class Templates:
         self.slot = (number | name | unit)[lead]
 
 
-_WINDOW = "doc long, record long, at int, window long, plain long, slots array<long>"
+_WINDOW = "doc long, record long, way int, at int, window long, plain long, slots array<long>"
 
 
 def _emit(sizes: list[int], least_plain: float, wanted=None):
@@ -101,28 +118,33 @@ def _emit(sizes: list[int], least_plain: float, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column(2)):
-                t = Templates(texts)
                 own = [batch.column(k).slice(texts.start, texts.rows).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)]
-                begin = np.searchsorted(t.row, np.arange(texts.rows + 1))
-                count, place = np.diff(begin)[t.row], np.arange(len(t.row)) - begin[t.row]
-                literal = np.concatenate([[0], np.cumsum(~t.slot)])
-                for size in sizes:
-                    n = len(t.row) - size + 1
-                    if n <= 0:
-                        continue
-                    key = mix(windows(t.token, size) + np.uint64(size)).view(np.int64)
-                    plain = windows(t.value, size).view(np.int64)
-                    inside = (t.row[:n] == t.row[size - 1 :]) & (literal[size:] - literal[:n] >= least_plain * size)
-                    inside &= may_hold(wanted.value, key) if wanted else np.minimum(count[:n], sizes[-1]) == size
-                    at = np.flatnonzero(inside)
-                    slots = [t.value[a : a + size][t.slot[a : a + size]].view(np.int64) for a in at]
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in slots], dtype=np.int64)]).astype(np.int32)
-                    flat = np.concatenate(slots) if slots else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[0][t.row[at]]), pa.array(own[1][t.row[at]]), pa.array(place[at].astype(np.int32)),
-                         pa.array(key[at]), pa.array(plain[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                        ["doc", "record", "at", "window", "plain", "slots"],
-                    )
+                for way in (WORDS, OPENING_NAMES, LITERAL):
+                    t = Templates(texts, way)
+                    begin = np.searchsorted(t.row, np.arange(texts.rows + 1))
+                    count, place = np.diff(begin)[t.row], np.arange(len(t.row)) - begin[t.row]
+                    literal = np.concatenate([[0], np.cumsum(~t.slot)])
+                    for size in sizes:
+                        n = len(t.row) - size + 1
+                        if n <= 0:
+                            continue
+                        key = mix(windows(t.token, size) + np.uint64(size + (way << 32))).view(np.int64)
+                        plain = windows(t.value, size).view(np.int64)
+                        inside = t.row[:n] == t.row[size - 1 :]
+                        if way != LITERAL:
+                            # A short template needs as many words as a long one, or it fits any text.
+                            inside &= literal[size:] - literal[:n] >= least_plain * sizes[-1]
+                        inside &= may_hold(wanted.value, key) if wanted else np.minimum(count[:n], sizes[-1]) == size
+                        at = np.flatnonzero(inside)
+                        slots = [t.value[a : a + size][t.slot[a : a + size]].view(np.int64) for a in at]
+                        ends = np.concatenate([[0], np.cumsum([len(s) for s in slots], dtype=np.int64)]).astype(np.int32)
+                        flat = np.concatenate(slots) if slots else np.empty(0, np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(own[0][t.row[at]]), pa.array(own[1][t.row[at]]), pa.array(np.full(len(at), way, np.int32)),
+                             pa.array(place[at].astype(np.int32)), pa.array(key[at]), pa.array(plain[at]),
+                             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                            ["doc", "record", "way", "at", "window", "plain", "slots"],
+                        )
 
     return run
 
@@ -130,8 +152,9 @@ def _emit(sizes: list[int], least_plain: float, wanted=None):
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in slices(batch.column(2)):
-            counts = np.bincount(Templates(texts).row, minlength=texts.rows)
-            yield pa.RecordBatch.from_arrays([pa.array(counts.astype(np.int32))], ["tokens"])
+            for way in (WORDS, OPENING_NAMES, LITERAL):
+                counts = np.bincount(Templates(texts, way).row, minlength=texts.rows)
+                yield pa.RecordBatch.from_arrays([pa.array(counts.astype(np.int32))], ["tokens"])
 
 
 def decontaminate(
@@ -145,12 +168,13 @@ def decontaminate(
     """``doc_id, record, contaminated, item_id, coverage, consistency, verbatim, n_items`` per row of ``docs(doc_id, text)``.
 
     ``record`` is the text's hash, which tells rows of one ``doc_id`` apart.
-    A document is contaminated if, on one alignment with a benchmark item
-    ``(item_id, text)``, it holds at least ``coverage`` of the item's windows of
-    ``window`` template tokens, and at least ``consistency`` of the item's slot
-    values there stand for one value each.  Windows in which fewer than
-    ``least_plain`` of the tokens are words do not count; an item shorter than
-    ``window`` tokens is one window of its own length.  ``item_id`` is the best
+    A document is contaminated if, read in one way, on one alignment with a
+    benchmark item ``(item_id, text)`` or on neighbouring ones, it holds at
+    least ``coverage`` of the item's windows of ``window`` tokens, and at least
+    ``consistency`` of the item's slot values there stand for one value each.
+    Of template windows, those with fewer words than ``least_plain`` of
+    ``window`` do not count; windows of tokens as they are count always.  An
+    item shorter than ``window`` tokens is one window of its own length.  ``item_id`` is the best
     such item (the smaller of equals), ``verbatim`` the share of its matched
     windows that are the same word by word, and ``n_items`` how many items
     match.  Clean rows have ``n_items`` 0 and nulls.  Null and empty texts are
@@ -169,22 +193,26 @@ def decontaminate(
     of_items = items.mapInArrow(_emit(sizes, least_plain), _WINDOW)
     asked = written(
         of_items.select(
-            F.col("doc").alias("item_id"), F.col("record").alias("item_record"), "at", "window", "plain", "slots"
-        ).dropDuplicates(["item_id", "item_record", "at"]),
+            F.col("doc").alias("item_id"), F.col("record").alias("item_record"), "way", "at", "window", "plain", "slots"
+        ).dropDuplicates(["item_id", "item_record", "way", "at"]),
         "benchmark-windows",
     )
-    sizes_of = asked.groupBy("item_id", "item_record").agg(F.countDistinct("at").alias("windows"))
+    sizes_of = asked.groupBy("item_id", "item_record", "way").agg(F.countDistinct("at").alias("windows"))
     wanted = spark.sparkContext.broadcast(bit_filter(asked, "window"))
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc"), record().alias("record"), "text")
     met = rows.mapInArrow(_emit(sizes, least_plain, wanted), _WINDOW).dropDuplicates(["doc", "record", "at", "window"])
     pairs = met.alias("d").join(asked.alias("i"), "window").select(
-        "doc", "record", "item_id", "item_record", (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
+        "doc", "record", "item_id", "item_record", "d.way", (F.col("d.at") - F.col("i.at")).alias("shift"), F.col("i.at").alias("at"),
         (F.col("d.plain") == F.col("i.plain")).alias("plain"),
         F.arrays_zip(F.col("i.slots").alias("asked"), F.col("d.slots").alias("found")).alias("slots"),
     )
     pairs = written(pairs, "template-matches")
-    aligned = ["doc", "record", "item_id", "item_record", "shift"]
+    # Each shift by itself, and two overlapping ranges of shifts.
+    near = [F.struct(F.lit(k).alias("of"), F.floor((F.col("shift") + k * NEIGHBOURS // 2) / NEIGHBOURS).cast("int").alias("at")) for k in (0, 1)]
+    alone = F.struct(F.lit(-1).alias("of"), F.col("shift").alias("at"))
+    pairs = pairs.withColumn("shift", F.explode(F.array(alone, *near)))
+    aligned = ["doc", "record", "item_id", "item_record", "way", "shift"]
     matched = pairs.groupBy(*aligned).agg(F.countDistinct("at").alias("matched"), F.count_if("plain").alias("same"), F.count("*").alias("all"))
     slots = pairs.select(*aligned, F.explode("slots").alias("slot")).select(*aligned, "slot.asked", "slot.found").distinct()
     agreeing = (
@@ -194,7 +222,7 @@ def decontaminate(
         .agg(F.avg((F.col("values") == 1).cast("double")).alias("consistency"))
     )
     judged = (
-        matched.join(sizes_of, ["item_id", "item_record"])
+        matched.join(sizes_of, ["item_id", "item_record", "way"])
         .join(agreeing, aligned, "left")
         .select(
             "doc", "record", "item_id", (F.col("matched") / F.col("windows")).alias("coverage"),

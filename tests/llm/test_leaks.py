@@ -86,3 +86,24 @@ def test_odd_rows(spark, documents, odd_pairs, items):
     assert len(got) == len(odd_pairs) and not any(r.contaminated for r in got)
     assert decontaminate(documents(odd_pairs), items.limit(0)).filter("contaminated").count() == 0
     assert decontaminate(documents(odd_pairs).limit(0), items).count() == 0
+
+
+def found_in(spark, documents, item, texts):
+    got = decontaminate(documents(list(enumerate(texts))), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    return [r.contaminated for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_new_parameters_in_other_forms(spark, documents):
+    item = "Tom has 5 apples and buys some more pears. Tom gives his sister 3 apples and keeps all of the rest. Tom eats 2 apples in the evening."
+    forms = [
+        item.replace("Tom", "Ann").replace("5", "9").replace("3", "4"),
+        item.replace("Tom", "Ada-Marie").replace("5", "1 000").replace("3", "3/4").replace("2", "12:30"),
+        item.replace("Tom", "O'Neil").replace("5", "12"),
+        item.replace("gives his", "gladly gives his"),
+    ]
+    assert found_in(spark, documents, item, [around(t) for t in forms]) == [True] * len(forms)
+    words = [f"word{k}" for k in range(40)]
+    longer = " ".join([*words[:13], "new", *words[13:27], "more", *words[27:]])
+    assert found_in(spark, documents, " ".join(words), [around(longer), around(" ".join(words[:18]))]) == [True, False]
+    other = item.replace("Tom has", "Ann has").replace("Tom gives", "Bob gives").replace("Tom eats", "Eve eats")
+    assert found_in(spark, documents, item, [around(other), around("Ann has apples.")]) == [False, False]
