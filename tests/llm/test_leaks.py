@@ -107,3 +107,11 @@ def test_new_parameters_in_other_forms(spark, documents):
     assert found_in(spark, documents, " ".join(words), [around(longer), around(" ".join(words[:18]))]) == [True, False]
     other = item.replace("Tom has", "Ann has").replace("Tom gives", "Bob gives").replace("Tom eats", "Eve eats")
     assert found_in(spark, documents, item, [around(other), around("Ann has apples.")]) == [False, False]
+
+
+def test_figures_and_short_items(spark, documents):
+    figures = "3 + 4 = 7, 5 + 9 = 14, 8 + 8 = 16, 21 + 4 = 25, 6 + 7 = 13"
+    assert found_in(spark, documents, figures, [around(figures), around(figures.replace("4", "5"))]) == [True, False]
+    capital = "What is the capital of France?"
+    assert found_in(spark, documents, capital, [around("Question 5 " + capital), "Question 5 What is the road to France?"]) == [True, False]
+    assert found_in(spark, documents, "Who wrote Hamlet", [around("Who wrote Hamlet?"), "They asked who wrote Faust.", "She knows who wrote Hamlet."]) == [True, False, True]
