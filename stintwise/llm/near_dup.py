@@ -18,8 +18,9 @@
    sketches allow a link.  A crowded region that has become one component by
    then costs nothing, and no region needs a cap.
 
-The number of trees makes a pair at the threshold fail to share a label in all
-trees with a chance below ``MISS``, and the sketch errs with a similar chance;
+No two trees share a signature place in their coarse labels, so their number
+makes a pair at the threshold fail to share a label in all trees with a chance
+below ``MISS``, and the sketch errs with a similar chance;
 every other step is exact.
 """
 
@@ -42,6 +43,7 @@ from stintwise.llm.words import mix, shingle_sets, slices
 from stintwise.session import written
 
 MISS = 1e-6
+#: Signature places of the sketch; the forest may take more.
 PLACES = 128
 #: How many sets tell which windows are common, and how many windows are told.
 SAMPLE, COMMON = 2000, 50_000
@@ -49,8 +51,8 @@ SAMPLE, COMMON = 2000, 50_000
 FINER = (2, 6)
 
 _draws = np.random.default_rng(6)
-_FACTORS = _draws.integers(1, 1 << 32, PLACES, dtype=np.uint32) | np.uint32(1)
-_TERMS = _draws.integers(0, 1 << 32, PLACES, dtype=np.uint32)
+_FACTORS = _draws.integers(1, 1 << 32, 1024, dtype=np.uint32) | np.uint32(1)
+_TERMS = _draws.integers(0, 1 << 32, 1024, dtype=np.uint32)
 _LABEL = _draws.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,6 +70,10 @@ class Forest:
     def trees(self) -> int:
         return math.ceil(math.log(MISS) / math.log(1 - (self.percent / 100) ** self.depth))
 
+    @property
+    def places(self) -> int:
+        return max(PLACES, self.trees * self.depth)
+
     @property
     def most_bits_apart(self) -> int:
         """Sketch bits (of 128) in which a pair at the threshold differs, plus six standard deviations."""
@@ -75,17 +81,19 @@ class Forest:
         return math.floor(PLACES * p + 6 * math.sqrt(PLACES * p * (1 - p)))
 
     def chosen(self) -> np.ndarray:
-        """The signature places of each tree, in the order of its labels."""
+        """The signature places of each tree, in the order of its labels; coarse labels have none in common."""
         draws = np.random.default_rng(60)
-        return np.stack([draws.permutation(PLACES)[: self.depth + FINER[1]] for _ in range(self.trees)])
+        coarse = draws.permutation(self.places)[: self.trees * self.depth].reshape(self.trees, self.depth)
+        finer = [draws.permutation(np.setdiff1d(np.arange(self.places), own))[: FINER[1]] for own in coarse]
+        return np.concatenate([coarse, np.stack(finer)], axis=1)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
+def _signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     """MinHash signatures of non-empty sets."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), PLACES), np.uint32)
-    for k in range(PLACES):
+    out = np.empty((len(sets), places), np.uint32)
+    for k in range(places):
         h = flat * _FACTORS[k] + _TERMS[k]
         out[:, k] = np.minimum.reduceat(h ^ (h >> np.uint32(15)), at)
     return out
@@ -119,8 +127,8 @@ def _fingerprints(forest: Forest, size: int):
                 if len(full):
                     some = [sets[i] for i in full]
                     set_hash[full] = [_class_of(s) for s in some]
-                    signature = _signatures(some)
-                    sketch[full] = np.packbits((signature >> np.uint32(7)).astype(np.uint8) & 1, axis=1).view(np.uint64)
+                    signature = _signatures(some, forest.places)
+                    sketch[full] = np.packbits((signature[:, :PLACES] >> np.uint32(7)).astype(np.uint8) & 1, axis=1).view(np.uint64)
                     weighted = signature[:, chosen].astype(np.uint64) * _LABEL[: chosen.shape[1]]
                     sums = np.cumsum(weighted, axis=2, dtype=np.uint64)
                     labels[full] = mix(sums[:, :, depth - 1])

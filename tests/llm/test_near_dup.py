@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stintwise.llm.graph import components
-from stintwise.llm.near_dup import near_duplicates
+from stintwise.llm.near_dup import MISS, Forest, near_duplicates
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,3 +97,21 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     linked = {k for a, b in links if a != b for k in (a, b)}
     assert sorted(tuple(r) for r in got) == sorted((k, root[k]) for k in linked)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_pairs_at_the_threshold_share_a_label(percent):
+    forest = Forest(percent)
+    coarse = forest.chosen()[:, : forest.depth]
+    assert len(np.unique(coarse)) == coarse.size and forest.chosen().max() < forest.places <= 1024
+    assert (1 - (percent / 100) ** forest.depth) ** forest.trees <= MISS
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_simulated_pairs_share_a_label(percent):
+    forest = Forest(percent)
+    chosen, draws, missed = forest.chosen()[:, : forest.depth], np.random.default_rng(3), 0
+    for _ in range(20):
+        same = draws.random((20_000, chosen.max() + 1), dtype=np.float32) < percent / 100
+        missed += np.count_nonzero(~same[:, chosen].all(axis=2).any(axis=1))
+    assert missed <= 4
