@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from stintwise.llm.leaks import decontaminate
 from stintwise.llm.line_dedup import dedup_lines
+from stintwise.llm.lm_score import lm_scores
+from stintwise.llm.manifest import manifest_sql, verification
 from stintwise.llm.near_dup import near_duplicates
 from stintwise.llm.pieces import encode_decode
 from stintwise.llm.pii import KINDS as PII_KINDS
 from stintwise.llm.pii import find_personal_data
+from stintwise.llm.ranked import RANK_SQL, rank
 from stintwise.llm.secrets import KINDS as SECRET_KINDS
 from stintwise.llm.secrets import find_secrets
 from stintwise.llm.shards import shard_by_bytes
@@ -114,6 +117,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(find_personal_data(_table(spark, sf_dir, "documents")), PII_KINDS, "added", by_start=False)
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    return lm_scores(_table(spark, sf_dir, "documents"), held_out)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_line_dedup": op2_line_dedup,
@@ -125,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_lm_scores": op11_lm_scores,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_manifest": op13_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -140,4 +159,6 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 5
     """,
+    "op12_ranked_search": RANK_SQL,
+    "op13_manifest": manifest_sql(),
 }

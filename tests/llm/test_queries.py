@@ -31,8 +31,8 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_all_ten_are_there():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+def test_all_are_there():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -84,7 +84,7 @@ def test_personal_data(spark, docs):
 
 
 def test_one_row_per_document(spark, docs):
-    for name in ("op2_line_dedup", "op3_token_counts", "op5_toxicity", "op9_decontamination"):
+    for name in ("op2_line_dedup", "op3_token_counts", "op5_toxicity", "op9_decontamination", "op11_lm_scores"):
         got = result(spark, name)
         assert len(got) == len(docs)
         assert name == "op3_token_counts" or sorted(got["doc_id"]) == sorted(docs["doc_id"])
