@@ -70,13 +70,7 @@ class Tables:
 
     @cached_property
     def base(self) -> DataFrame:
-        timed = series(
-            self.feed,
-            DRIVER,
-            ["event_time", "event_id"],
-            F.floor(F.unix_seconds(c("event_time").cast("timestamp")) / 600),
-            measure=self.feed.select(*DRIVER),
-        )
+        timed = series(self.feed, DRIVER, ["event_time", "event_id"], measure=self.feed.select(*DRIVER))
         return with_position(timed, "lap_number").withColumn("lap_number", c("lap_number").cast("int"))
 
     @cached_property

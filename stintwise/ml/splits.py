@@ -50,6 +50,6 @@ def temporal_split(df: DataFrame, order: list[str], train: float = 0.8) -> DataF
     here = c("_hour").eqNullSafe(c("_cut._hour")) & c("_cut").isNotNull()
     early = c("_cut").isNull() | F.coalesce(c("_hour") < c("_cut._hour"), c("_hour").isNotNull() & c("_cut._hour").isNull())
     outside = timed.where(~here).withColumn("split", F.when(early, "train").otherwise("validation"))
-    inside = with_position(series(timed.where(here), ["_hour"], order, seconds), "_place")
+    inside = with_position(series(timed.where(here), ["_hour"], order), "_place")
     ranked = inside.withColumn("split", F.when(c("_place") <= c("_cut._quota"), "train").otherwise("validation"))
     return outside.unionByName(ranked.drop("_place")).drop("_hour", "_cut")

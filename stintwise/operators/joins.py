@@ -198,12 +198,7 @@ def asof_weather(laps: DataFrame, weather: DataFrame) -> DataFrame:
     both = weather.select(
         "session_key", c("date").alias("event_time"), F.lit(0).alias("_kind"), "event_id", reading.alias("_reading")
     ).unionByName(plain.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    timed = series(
-        both,
-        ["session_key"],
-        ["event_time", "_kind", "event_id", "driver_number"],
-        F.floor(F.unix_seconds(c("event_time").cast("timestamp")) / 3600),
-    )
+    timed = series(both, ["session_key"], ["event_time", "_kind", "event_id", "driver_number"])
     carried = with_running(timed, lasts={"_weather": c("_reading")})
     return carried.where(c("_kind") == 1).select(
         *plain.columns,

@@ -58,7 +58,7 @@ def drop_empty_drivers(drivers: DataFrame, laps: DataFrame) -> DataFrame:
 def validate_feature_arrays(df: DataFrame, size: int = 7) -> tuple[DataFrame, DataFrame]:
     """Rows with exactly ``size`` features, and the others with the reason."""
     fits = F.coalesce(F.size("features"), F.lit(-1)) == size
-    reason = F.concat(F.lit("expected "), F.lit(size), F.lit(" feature values, got "), F.coalesce(F.size("features").cast("string"), F.lit("none")))
+    reason = F.concat(F.lit("expected exactly "), F.lit(size), F.lit(" feature values, got "), F.coalesce(F.size("features").cast("string"), F.lit("none")))
     return df.where(fits), df.where(~fits).withColumn("error", reason)
 
 

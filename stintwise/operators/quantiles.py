@@ -18,7 +18,7 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
     ranks come from running counts over value bins.
     """
     rows = df.where(c(value).isNotNull()).select(*keys, value)
-    found = series(rows, keys, [value], F.floor(value))
+    found = series(rows, keys, [value])
     if not found.split:
         return rows.groupBy(*keys).agg(F.percentile(value, p).alias(name))
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))

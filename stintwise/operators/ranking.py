@@ -13,7 +13,7 @@ CYCLE = ["session_key", "lap_number"]
 
 
 def _by_gap(df: DataFrame, cycle: list[str]) -> Series:
-    return series(df, cycle, ["gap_to_leader", "driver_number"], F.floor(c("gap_to_leader")))
+    return series(df, cycle, ["gap_to_leader", "driver_number"])
 
 
 def live_position(df: DataFrame, cycle: list[str] = CYCLE) -> DataFrame:
@@ -50,7 +50,7 @@ def win_probability(df: DataFrame, cycle: list[str] = CYCLE, places: int | None
 
 def win_from_position(df: DataFrame, cycle: list[str] = CYCLE, places: int | None = 4) -> DataFrame:
     """Win share from predicted finishing positions, which are shown to 1 decimal."""
-    cars = series(df, cycle, ["driver_number"], c("driver_number"))
+    cars = series(df, cycle, ["driver_number"])
     shared = _share(cars, F.greatest(F.lit(0.1), 23.0 - c("predicted_position")), "win_probability", places)
     return shared if places is None else shared.withColumn("predicted_position", F.round("predicted_position", 1))
 

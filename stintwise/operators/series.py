@@ -5,9 +5,10 @@ order.  A plain window puts a whole series into one task, which is right while
 series are short.  Where a single key may hold a large share of the table, the
 operators here split it:
 
-* the rows of a long series are cut into *bins*, a monotone function of the
-  order (an hour of time, a block of laps), and every window runs per bin; a bin
-  that is itself too long is cut again at quantiles of each order column in turn;
+* the rows of long series are dealt out by ranges of key and whole order, at
+  boundaries that Spark samples (``repartitionByRange``), so a range, or *bin*,
+  holds about as many rows as any other whatever the order consists of, and all
+  rows of a bin come before those of the next; every window runs per bin;
 * what a bin needs from earlier bins (row counts, running sums, last known
   values) is aggregated per bin first, so only those small totals are ordered
   in one place, and joined back on ``(key, bin)``;
@@ -32,17 +33,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from stintwise.session import written
 
 MAX_ROWS_CONF = "stintwise.series.maxRows"
 DEFAULT_MAX_ROWS = 1_000_000
 #: Long keys beyond this many are not listed; then every series is binned.
 MAX_LISTED_KEYS = 10_000
 
-#: Rows without an order value stand before all others.
-BEFORE_ALL = -(1 << 62)
-#: Into how many parts a bin is cut that is too long.
-CUTS = 64
+#: Ranges that long series are dealt out to, at most.
+MAX_RANGES_CONF = "stintwise.series.maxRanges"
+DEFAULT_MAX_RANGES = 20_000
 
 _remembered: ContextVar[dict[tuple, list | None] | None] = ContextVar("remembered", default=None)
 
@@ -93,16 +94,11 @@ def _join_on(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Series:
-    """Rows of ``df`` per ``keys`` in ``order``.
-
-    ``bins`` must never decrease along ``order``.  ``measure`` is a narrower or
-    cheaper frame with the same rows per key, used only to look for long series.
-    """
+    """Rows of ``df`` per ``keys`` in ``order``; ``hot`` lists the keys with more than ``max_rows``, or is None if they are too many."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
-    bins: Column
     max_rows: int
     hot: list | None
 
@@ -114,60 +110,51 @@ class Series:
         return Window.partitionBy(*self.keys, *extra).orderBy(*self.order)
 
     def binned(self) -> DataFrame:
-        """``df`` with ``_bin``, an array that sorts as the order does: bins of a long series, one bin for all others."""
-        bins = F.coalesce(self.bins.cast("long"), F.lit(BEFORE_ALL))
+        """``df`` with ``_bin``: the number of its range for each row of a long series, 0 for all others.
+
+        Ranges are written down, since a plan that runs twice may draw other boundaries.
+        """
         if self.hot is None:
-            rows = self.df.withColumn("_bin", F.array(bins))
+            long, short = self.df, None
         else:
             types = {f.name: f.dataType for f in self.df.schema.fields}
             ddl = ", ".join(f"`{k}` {types[k].simpleString()}" for k in self.keys)
             listed = self.df.sparkSession.createDataFrame(self.hot, ddl).withColumn("_long", F.lit(True))
             marked = _join_on(self.df, F.broadcast(listed), self.keys)
-            rows = marked.withColumn("_bin", F.array(F.when(F.col("_long"), bins).otherwise(F.lit(0)))).drop("_long")
-        for name in self.order:
-            rows = self._cut_again(rows, name)
-        return rows
-
-    def _cut_again(self, rows: DataFrame, name: str) -> DataFrame:
-        """Bins over the limit, cut at quantiles of one order column; a column without quantiles leaves them."""
-        kind = rows.schema[name].dataType
-        if not isinstance(kind, T.NumericType | T.TimestampType | T.DateType):
-            return rows
-        value = F.col(name).cast("timestamp").cast("double") if isinstance(kind, T.DateType) else F.col(name).cast("double")
-        cell = [*self.keys, "_bin"]
-        at = F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], 10 * CUTS)
-        long = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), at.alias("_at")).where(F.col("_n") > self.max_rows)
-        found = _join_on(rows, long.drop("_n"), cell)
-        part = F.when(value.isNull(), -1).otherwise(F.size(F.filter("_at", lambda x: x < value)))
-        return found.withColumn("_bin", F.concat("_bin", F.array(F.when(F.col("_at").isNotNull(), part).otherwise(0).cast("long")))).drop("_at")
+            long = marked.where("_long").drop("_long")
+            short = marked.where("_long IS NULL").drop("_long").withColumn("_bin", F.lit(0).cast("long"))
+        most = int(long.sparkSession.conf.get(MAX_RANGES_CONF, str(DEFAULT_MAX_RANGES)))
+        ranges = min(most, max(2, -(-2 * long.count() // self.max_rows)))
+        dealt = long.repartitionByRange(ranges, *self.keys, *self.order)
+        cut = written(dealt.withColumn("_bin", F.spark_partition_id().cast("long")), "long-series")
+        return cut if short is None else cut.unionByName(short)
 
     def replace(self, df: DataFrame) -> Series:
-        return Series(df, self.keys, self.order, self.bins, self.max_rows, self.hot)
+        return Series(df, self.keys, self.order, self.max_rows, self.hot)
 
 
 def series(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    bins: Column,
     max_rows: int | None = None,
     measure: DataFrame | None = None,
 ) -> Series:
+    """``measure`` is a narrower or cheaper frame with the same rows per key, used only to look for long series."""
     limit = max_rows or max_series_rows(df)
     hot = long_keys(measure if measure is not None else df, keys, limit)
-    return Series(df, list(keys), list(order), bins, limit, hot)
+    return Series(df, list(keys), list(order), limit, hot)
 
 
 def short_lap_series(df: DataFrame) -> Series:
     """Laps already cut to a few per driver, so there is nothing to measure."""
     keys = ["session_key", "driver_number"]
-    return Series(df, keys, ["lap_number"], F.lit(0), max_series_rows(df), [])
+    return Series(df, keys, ["lap_number"], max_series_rows(df), [])
 
 
-def lap_series(df: DataFrame, measure: DataFrame | None = None, block: int = 256) -> Series:
-    """Laps of a driver in a session; long ones are cut into blocks of laps."""
-    keys = ["session_key", "driver_number"]
-    return series(df, keys, ["lap_number"], F.floor(F.col("lap_number") / block), measure=measure)
+def lap_series(df: DataFrame, measure: DataFrame | None = None) -> Series:
+    """Laps of a driver in a session."""
+    return series(df, ["session_key", "driver_number"], ["lap_number"], measure=measure)
 
 
 def _earlier(keys: list[str]) -> WindowSpec:

@@ -1,5 +1,6 @@
 """Long series give the rows of plain windows: null keys, null orders and one-value bins included."""
 
+import datetime
 import random
 
 import pytest
@@ -32,7 +33,7 @@ def both(spark, run):
     df = spark.createDataFrame(rows(), SCHEMA)
     found = []
     for limit in (4, 10**6):
-        s = series(df, ["session_key", "driver_number"], ["lap_number", "at"], F.floor(F.col("lap_number") / 64), max_rows=limit)
+        s = series(df, ["session_key", "driver_number"], ["lap_number", "at"], max_rows=limit)
         assert s.split == (limit == 4)
         got = run(s)
         found.append(sorted([tuple(r) for r in got.select(sorted(got.columns)).collect()], key=repr))
@@ -58,14 +59,35 @@ def test_split_and_plain_give_the_same_rows(spark, run):
 
 def test_bins_are_bounded_by_rows(spark):
     df = spark.createDataFrame([(1, 1, 7, k, 0.0) for k in range(2000)], SCHEMA)
-    binned = series(df, ["session_key"], ["lap_number", "at"], F.lit(0), max_rows=100).binned()
+    binned = series(df, ["session_key"], ["lap_number", "at"], max_rows=100).binned()
     assert binned.groupBy("_bin").count().agg(F.max("count")).first()[0] <= 100
 
 
+def test_random_orders_and_types(spark, long_series):
+    """Orders of several columns of any type, ties broken by the last one, nulls among them."""
+    rng = random.Random(11)
+    schema = "k string, a int, b string, ts timestamp_ntz, d date, u long, x double"
+    start = datetime.datetime(2024, 1, 1)
+    data = []
+    for n in range(400):
+        at = start + datetime.timedelta(seconds=rng.randrange(50))
+        maybe = lambda v: None if rng.random() < 0.1 else v
+        data.append((maybe("hot") if n % 3 else f"k{n % 4}", maybe(rng.randrange(5)), maybe(rng.choice("pqr")), maybe(at), maybe(at.date()), n, rng.random()))
+    df = spark.createDataFrame(data, schema)
+    for order, limit in ((["a", "u"], 5), (["u", "a"], 7), (["ts", "b", "u"], 5), (["b", "d", "ts", "u"], 9)):
+        found = []
+        for most in (limit, 10**6):
+            s = series(df, ["k"], order, max_rows=most)
+            assert s.split == (most == limit)
+            placed = with_running(s.replace(with_position(s)), {"sum": F.col("u")}, {"last": F.when(F.col("x") < 0.3, F.col("u"))})
+            found.append(sorted(tuple(r) for r in placed.select("u", "position", "sum", F.coalesce("last", F.lit(-1))).collect()))
+        assert found[0] == found[1], order
+
+
 def test_new_rows_are_measured(spark, tmp_path):
     path = str(tmp_path / "laps")
     spark.createDataFrame([(1, 1, k, k, 0.0) for k in range(3)], SCHEMA).write.parquet(path)
-    read = lambda: lap_series(spark.read.schema(SCHEMA).parquet(path), block=4).hot
+    read = lambda: lap_series(spark.read.schema(SCHEMA).parquet(path)).hot
     spark.conf.set("stintwise.series.maxRows", "5")
     try:
         assert read() == []
