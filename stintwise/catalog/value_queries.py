@@ -49,7 +49,7 @@ def pit_alerts(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT {LAPS}, n_features, CASE WHEN n_features = 7 THEN NULL ELSE 'expected 7 feature values, got ' || COALESCE(CAST(n_features AS VARCHAR(12)), 'none') END AS error FROM f_nested"""
+    f"""SELECT {LAPS}, n_features, CASE WHEN n_features = 7 THEN NULL ELSE 'expected exactly 7 feature values, got ' || COALESCE(CAST(n_features AS VARCHAR(12)), 'none') END AS error FROM f_nested"""
 )
 def validate_feature_arrays(t: Tables) -> DataFrame:
     valid, rejected = Q.validate_feature_arrays(t.nested_predictions)

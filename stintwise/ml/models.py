@@ -1,4 +1,4 @@
-"""Training of the stop, position and safety-car models with pyspark.ml.
+"""Training of the stop, position and safety-car models with pyspark.ml, and leaf-wise trees of our own.
 
 The boosted trees of MLlib bin features into histograms and train on Spark
 partitions, so no step gathers rows.  Training sets that several fits read are
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stintwise.functions.scoring import StackParams, confidence, recommendation, stack_probability
 from stintwise.ml import metrics
+from stintwise.ml.leafwise import Growth, LeafwiseModel, train_leafwise
 from stintwise.ml.splits import assign_folds, stable_bucket, stratified_split
 from stintwise.operators.quality import fill_features, require_columns, validate_feature_arrays
 from stintwise.schemas import (
@@ -39,14 +40,16 @@ SEED = 42
 
 @dataclass(frozen=True)
 class TrainingSize:
-    """Rounds, depth and learning rate of the boosted models; trees and depth of the forest."""
+    """Rounds, depth and learning rate of the boosted models; trees and depth of the forest; leaves of a
+    leaf-wise tree, and after how many rounds without gain such a model stops."""
 
     rounds: int = 400
     depth: int = 6
     step: float = 0.05
     trees: int = 200
     tree_depth: int = 10
-    patience: float = 0.001
+    leaves: int = 63
+    patience: int = 50
 
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
@@ -86,14 +89,12 @@ def train_gbt(
 
 def train_second_base(
     df: DataFrame, label: str = TARGET, features: list[str] = MODEL_FEATURES, size: TrainingSize = TrainingSize()
-) -> PipelineModel:
-    """Second base model: finer boosted trees that stop once a held-out tenth no longer improves."""
+) -> LeafwiseModel:
+    """Second base model: leaf-wise boosted trees that stop once the AUC of a held-out tenth no longer rises."""
     held = stable_bucket([k for k in KEYS if k in df.columns], 10, SEED + 7) == 0
     rows = weighted(fill_features(df, features), label).withColumn("held_out", held)
-    model = _gbt(
-        label, size, validationIndicatorCol="held_out", validationTol=size.patience, minInstancesPerNode=20, maxBins=64
-    )
-    return Pipeline(stages=[_assembler(features), model]).fit(rows)
+    growth = Growth(rounds=size.rounds, leaves=size.leaves, depth=size.depth, step=size.step, patience=size.patience, seed=SEED)
+    return train_leafwise(rows, label, features, "held_out", "weight", growth)
 
 
 def train_forest_base(
@@ -114,8 +115,10 @@ def train_forest_base(
     return Pipeline(stages=[_assembler(features), forest]).fit(rows)
 
 
-def with_probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+def with_probability(model: PipelineModel | LeafwiseModel, df: DataFrame, name: str) -> DataFrame:
     """Rows with the model's probability of class 1; the model's own columns are dropped."""
+    if isinstance(model, LeafwiseModel):
+        return model.probability(df, name)
     scored = model.transform(df)
     return scored.withColumn(name, vector_to_array("_probability")[1]).drop(
         "_features", "_raw", "_probability", "_prediction"
@@ -231,7 +234,7 @@ def score_requests(requests: DataFrame, model: PipelineModel) -> DataFrame:
 @dataclass(frozen=True)
 class TrainedStack:
     first: PipelineModel
-    second: PipelineModel
+    second: LeafwiseModel
     params: StackParams
     evaluation: DataFrame
     validation: DataFrame

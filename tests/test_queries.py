@@ -15,9 +15,9 @@ SAMPLE = """build_pitstop_features engineer_features derive_stints join_stint_fo
 build_safety_car_features win_probability live_features safety_car_active stints_with_fallback format_prediction
 features_to_columns merge_live_and_catchup full_standings prob_timeline_top5 driver_strategy_table duration_p99
 parse_report_lines drift_alarm latency_alarm latest_snapshot podium temporal_split auc classification_metrics
-flatten_session load_training read_inference_log save_stint_cache feature_store_append car_state""".split()
+flatten_session load_training read_inference_log save_stint_cache feature_store_append car_state held_out_leafwise""".split()
 NAMES = [n for n, q in all_queries().items() if q.sql] if os.environ.get("ALL_QUERIES") else SAMPLE
-SPLIT = "build_pitstop_features asof_weather win_probability group_by_driver build_training_rows".split()
+SPLIT = "build_pitstop_features asof_weather win_probability live_position temporal_split group_by_driver build_training_rows".split()
 
 
 @pytest.fixture(scope="module")
