@@ -59,7 +59,7 @@ class Model:
     bits_per_key: int = 16
     weight: float = 1000.0
     most_bytes: int = 256 << 20
-    most_frequent: int = 1_000_000
+    most_frequent: int = 500_000
     buffered: int = 4_000_000
 
     def levels(self, counts: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LogFilter:
-    """The filter's words as a table ``segment, place, bits``, and how many segments are read at once."""
+    """The filter as a table ``segment, words`` (segments without bits may be missing), and how many segments are read at once."""
 
     table: DataFrame
     segments: int
@@ -170,17 +170,15 @@ class LogFilter:
         """The words of a group of segments on the driver."""
         first = nth * self.at_once
         last = min(first + self.at_once, self.segments) - 1
-        found = self.table.filter(F.col("segment").between(first, last)).toPandas()
-        out = np.zeros((last + 1 - first) * SEGMENT, np.uint64)
-        out[((found["segment"] - first) * SEGMENT + found["place"]).to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-        return out
+        found = self.table.filter(F.col("segment").between(first, last)).toArrow()
+        out = np.zeros((last + 1 - first, SEGMENT), np.uint64)
+        for segment, raw in zip(found.column("segment").to_pylist(), found.column("words"), strict=True):
+            out[segment - first] = np.frombuffer(raw.as_buffer(), np.uint64)
+        return out.reshape(-1)
 
 
-def build_filter(ngrams: DataFrame, model: Model) -> LogFilter:
-    """The filter of ``ngrams(key, n)``: as many segments as its keys need."""
-    steps = F.array(*[F.lit(float(s)) for s in model.steps()])
-    keys = ngrams.agg(F.sum(F.size(F.filter(steps, lambda s: s <= F.col("n"))))).first()[0] or 0
-    segments = max(1, -(-keys * model.bits_per_key // (64 * SEGMENT)))
+def _set_bits(model: Model, segments: int):
+    """The bits of each n-gram at its levels, as the place of a word in the whole filter, and bits of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +187,36 @@ def build_filter(ngrams: DataFrame, model: Model) -> LogFilter:
             for k in range(1, int(level.max(initial=0)) + 1):
                 own = level >= k
                 place, bits = _places(key[own], k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment[own], place, bits.view(np.int64))], ["segment", "place", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(segment[own] * SEGMENT + place), pa.array(bits.view(np.int64))], ["place", "bits"])
+
+    return run
+
 
-    set_bits = ngrams.select("key", "n").mapInArrow(run, "segment long, place long, bits long")
-    table = written(set_bits.groupBy("segment", "place").agg(F.bit_or("bits").alias("bits")), "log-filter")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the segments whose bits meet in this task."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        place, bits = (batch.column(k).to_numpy() for k in (0, 1))
+        order = np.argsort(place)
+        place, bits = place[order], bits[order].view(np.uint64)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        place, bits = place[first], np.bitwise_or.reduceat(bits, first) if len(first) else bits
+        segment = place // SEGMENT
+        for s in np.unique(segment).tolist():
+            a, b = np.searchsorted(segment, [s, s + 1])
+            found.setdefault(s, np.zeros(SEGMENT, np.uint64))[place[a:b] - s * SEGMENT] |= bits[a:b]
+    for s, words_ in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([words_.tobytes()], pa.binary())], ["segment", "words"])
+
+
+def build_filter(ngrams: DataFrame, model: Model) -> LogFilter:
+    """The filter of ``ngrams(key, n)``: as many segments as its keys need."""
+    steps = F.array(*[F.lit(float(s)) for s in model.steps()])
+    keys = ngrams.agg(F.sum(F.size(F.filter(steps, lambda s: s <= F.col("n"))))).first()[0] or 0
+    segments = max(1, -(-keys * model.bits_per_key // (64 * SEGMENT)))
+    bits = ngrams.select("key", "n").mapInArrow(_set_bits(model, segments), "place long, bits long")
+    by_segment = bits.repartition(F.floor(F.col("place") / SEGMENT))
+    table = written(by_segment.mapInArrow(_packed, "segment long, words binary"), "log-filter")
     return LogFilter(table, segments, max(1, model.most_bytes // (8 * SEGMENT)))
 
 
@@ -349,9 +373,10 @@ def lm_scores(docs: DataFrame, held_out: Column | str, model: Model = Model()) -
         if many + r["count"] > model.most_frequent:
             break
         least, many = r.step, many + r["count"]
-    frequent = seen.filter(F.floor(F.log2("n") * 8) >= least).toPandas()
-    order = np.argsort(frequent["key"].to_numpy(np.int64).view(np.uint64))
-    listed = frequent["key"].to_numpy(np.int64).view(np.uint64)[order], frequent["n"].to_numpy(np.float64)[order]
+    frequent = seen.filter(F.floor(F.log2("n") * 8) >= least).select("key", "n").toArrow()
+    keys = frequent.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    listed = keys[order], frequent.column("n").to_numpy().astype(np.float64)[order]
     shared = spark.sparkContext.broadcast(listed)
 
     held = build_filter(ngrams, model)

@@ -229,7 +229,7 @@ def _searched(items, weights, n_docs: int, n_terms: int, searching: Searching):
 def _rank_block(forward_of: DataFrame, asked: DataFrame, searching: Searching) -> DataFrame:
     """``item_id, doc, score``: the best of each task, for items with ``block_terms`` terms or so."""
     spark = forward_of.sparkSession
-    found = asked.toPandas()
+    found = asked.toArrow().to_pandas()
     names = sorted(found["term"].unique())
     number = {t: i for i, t in enumerate(names)}
     groups = found.assign(term=found["term"].map(number)).groupby(["item", "item_id"], dropna=False)["term"]
@@ -237,10 +237,10 @@ def _rank_block(forward_of: DataFrame, asked: DataFrame, searching: Searching) -
     vocabulary = spark.sparkContext.broadcast(Vocabulary(names))
     forward = written(forward_of.mapInArrow(_forward(vocabulary), _FORWARD), "ranked-forward")
     totals = forward.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    held = forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect()  # a row per term of the items
+    held = forward.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # a row per term of the items
     weight = np.zeros(len(names), np.int64)
-    for r in held:
-        weight[r.term] = math.floor(1000 * math.log((2 * totals.docs + 2) / (2 * r["count"] + 1)))
+    for term, df in zip(held.column("term").to_pylist(), held.column("count").to_pylist(), strict=True):
+        weight[term] = math.floor(1000 * math.log((2 * totals.docs + 2) / (2 * df + 1)))
     run = _searched(
         spark.sparkContext.broadcast([terms for _, terms in items]), spark.sparkContext.broadcast(weight), totals.docs, totals.terms, searching
     )

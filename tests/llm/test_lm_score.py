@@ -58,7 +58,7 @@ def check(df, pairs, model, score_too=True):
 ROOMY = {"bits_per_key": 4096, "weight": 20.0}
 
 
-@pytest.mark.parametrize("model", [Model(**ROOMY), Model(**ROOMY, most_frequent=3, buffered=50), Model(**ROOMY, most_bytes=1 << 18, most_frequent=0)])
+@pytest.mark.parametrize("model", [Model(**ROOMY), Model(**ROOMY, most_frequent=3, buffered=50), Model(**ROOMY, most_bytes=1 << 24, most_frequent=0)])
 def test_same_as_tables_of_counts(spark, documents, odd_pairs, model):
     check(lm_scores(documents(odd_pairs), HELD_OUT, model), odd_pairs, model)
 
