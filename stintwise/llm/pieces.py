@@ -6,6 +6,11 @@ pieces' characters anew leaves exactly these two, and positions from which no
 rest can be encoded are remembered in a bit field.  This gives what merging the
 whole text would give, without a merge queue.
 
+Whether merging would leave two pieces as they are is read off how each grows
+from its characters: only the parts that stand at the border at the same time
+could merge across it, and they do if that merge ranks before the next one on
+either side.  Parts at the border are listed once per piece.
+
 Merges never cross from a letter into a following space mark (the vocabulary is
 checked for it), so a text falls into words that are encoded on their own and
 remembered.
@@ -24,9 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stintwise.llm.words import give_back
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_WORDS = re.compile(f"{MARK}?[^{MARK}]+|{MARK}+(?={MARK})|{MARK}")
+#: Characters that are words of their own where no piece has them, as they can't merge with their neighbours.
+_APART = "\n\t\r"
 
 
 @dataclass(frozen=True)
@@ -62,13 +70,61 @@ def _one_mark_per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
 codecs.register_error("stintwise.piece_bytes", _one_mark_per_byte)
 
 
+NEVER = float("-inf")
+_ID = (1 << 20) - 1
+#: Pairs of pieces whose compatibility is looked up for many words at once, and the longest words so encoded.
+PAIR_BITS, LOCKSTEP = 20, 62
+
+
+@dataclass(frozen=True)
+class Growth:
+    """The parts at either end of a piece while it is merged, each with the score of the merge that ends it (last: never).
+
+    ``in_order`` says that merges come by falling score, so that scores tell the time.
+    """
+
+    first: list[tuple[str, float]]
+    last: list[tuple[str, float]]
+    in_order: bool
+
+
+class Words(dict):
+    """The ids of words met lately, encoded when first asked for."""
+
+    #: What Python takes for a word, its ids and their places, besides their contents.
+    FIXED, LONGEST = 250, 200
+
+    def __init__(self, coder: PieceCoder):
+        super().__init__()
+        self.coder, self.older, self.held = coder, {}, 0
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word)
+        if found is None:
+            found = tuple(self.coder.encode_word(word))
+        self.keep(word, found)
+        return found
+
+    def keep(self, word: str, found: tuple[int, ...]) -> None:
+        if len(word) <= self.LONGEST:
+            if self.held > self.coder.remembered:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self.held += self.FIXED + 2 * len(word) + 8 * len(found)
+            self[word] = found
+
+
 class PieceCoder:
-    """Encodes and decodes with one model.  ``remembered`` bounds the words kept; beyond it they are forgotten."""
+    """Encodes and decodes with one model.
 
-    def __init__(self, model: PieceModel, remembered: int = 300_000):
+    ``remembered`` bounds the bytes that words and their ids may take, twice:
+    when the newer half is full the older one is forgotten.
+    """
+
+    def __init__(self, model: PieceModel, remembered: int = 32 << 20):
         self.pieces, self.remembered = model.pieces, remembered
         self.ids = {p: i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == NORMAL}
-        self.scores = model.scores
+        self.scores, self.kinds = model.scores, model.kinds
         self.bytes = [0] * 256
         for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)):
             if kind == BYTE:
@@ -78,10 +134,23 @@ class PieceCoder:
         self._check_marks()
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i))
+            if len(p) > 1:
+                self.automaton.add_word(p, len(p) << 20 | i)
         self.automaton.make_automaton()
+        self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
+        self.single_ids = np.full(0x110000, -1, np.int32)
+        self.single_ids[[ord(p) for p in self.single]] = list(self.single.values())
+        apart = "".join(x for x in _APART if x not in self.single)
+        words = f"{MARK}?[^{MARK}{apart}]+|{MARK}+(?={MARK})|{MARK}"
+        self.in_words = re.compile(f"{words}|[{apart}]" if apart else words)
+        self.between = next(chr(k) for k in range(1 << 16) if chr(k) not in self.single)
+        self.length = np.array([len(p) for p in model.pieces], np.int64)
+        self.prefix: np.ndarray | None = None
+        self.pairs, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.shorter: dict[int, int] = {}
         self.fitting: dict[int, bool] = {}
+        self.grown: dict[int, Growth | None] = {}
+        self.score_of = {p: model.scores[i] for p, i in self.ids.items()}
         self.raw = [b""] * len(model.pieces)
         for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)):
             if kind == BYTE:
@@ -90,16 +159,7 @@ class PieceCoder:
                 self.raw[i] = " ⁇ ".encode()
             elif kind == NORMAL:
                 self.raw[i] = p.replace(MARK, " ").encode()
-        coder = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) >= coder.remembered:
-                    self.clear()
-                self[word] = found = tuple(coder.encode_word(word))
-                return found
-
-        self.words = Words()
+        self.words = Words(self)
 
     def _check_marks(self) -> None:
         runs = sorted(len(p) for p in self.ids if set(p) == {MARK} and len(p) > 1)
@@ -130,16 +190,57 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def growth(self, this: int) -> Growth | None:
+        """How merging makes a piece from its characters; None if it makes something else of them."""
+        if this not in self.grown:
+            parts = list(self.pieces[this])
+            first, last = [(parts[0], NEVER)], [(parts[-1], NEVER)]
+            before, in_order = -NEVER, True
+            while len(parts) > 1:
+                scores = [self.score_of.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+                best = max(scores)
+                if best == NEVER:
+                    break
+                at = scores.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                in_order &= best <= before
+                before = best
+                if at == 0:
+                    first[-1:] = [(first[-1][0], best), (parts[0], NEVER)]
+                if at == len(parts) - 1:
+                    last[-1:] = [(last[-1][0], best), (parts[-1], NEVER)]
+            self.grown[this] = Growth(first, last, in_order) if len(parts) == 1 else None
+        return self.grown[this]
+
     def fits(self, last: int, this: int) -> bool:
         """Whether ``this`` may follow ``last`` (-1: nothing before)."""
         key = last << 20 | this if last >= 0 else -1 - this
         found = self.fitting.get(key)
         if found is None:
-            a = self.pieces[last] if last >= 0 else ""
-            b = self.pieces[this]
-            found = self.fitting[key] = self.merged(a + b) == ([a, b] if a else [b])
+            found = self.fitting[key] = self.growth(this) is not None if last < 0 else self._stay_apart(last, this)
         return found
 
+    def _stay_apart(self, last: int, this: int) -> bool:
+        left, right = self.growth(last), self.growth(this)
+        if left is None or right is None:
+            return False
+        if not (left.in_order and right.in_order):
+            a, b = self.pieces[last], self.pieces[this]
+            return self.merged(a + b) == [a, b]
+        i = j = 0
+        while True:
+            (a, next_a), (b, next_b) = left.last[i], right.first[j]
+            across = self.score_of.get(a + b)
+            # Of equal scores the leftmost merge comes first: one inside the left piece, then the one across, then one inside the right.
+            if across is not None and across > next_a and across >= next_b:
+                return False
+            if next_a == next_b == NEVER:
+                return True
+            if next_a >= next_b:
+                i += 1
+            else:
+                j += 1
+
     def next_shorter(self, this: int) -> int:
         """The longest proper prefix of a piece that is a piece, or -1."""
         found = self.shorter.get(this)
@@ -151,10 +252,11 @@ class PieceCoder:
     def _known(self, text: str) -> list[int]:
         """Backtracking over a text whose characters are all pieces."""
         n = len(text)
-        longest, reach = [-1] * n, [0] * n
-        for end, (size, i) in self.automaton.iter(text):
+        longest, reach = list(map(self.single.__getitem__, text)), [1] * n
+        for end, found in self.automaton.iter(text):
+            size = found >> 20
             if size > reach[end - size + 1]:
-                longest[end - size + 1], reach[end - size + 1] = i, size
+                longest[end - size + 1], reach[end - size + 1] = found & _ID, size
         pieces, out, at, failed = self.pieces, [], 0, 0
         this = longest[0]
         while True:
@@ -173,8 +275,89 @@ class PieceCoder:
                 at -= len(pieces[back])
                 this = self.next_shorter(back)
 
+    def _all_fit(self, last: np.ndarray, this: np.ndarray) -> np.ndarray:
+        """:meth:`fits` of many pairs: known ones by a table, the others once each."""
+        key = last << 20 | this
+        place = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        unknown = np.flatnonzero(self.pairs[place] != key)
+        out = self.pair_fits[place]
+        if len(unknown):
+            some, nth = np.unique(key[unknown], return_inverse=True)
+            found = np.array([self.fits(k >> 20, k & _ID) for k in some.tolist()], bool)
+            out[unknown] = found[nth]
+            self.pairs[place[unknown]], self.pair_fits[place[unknown]] = key[unknown], out[unknown]
+        return out
+
+    def _of_known_characters(self, words: list[str]) -> list[str]:
+        """The words whose characters are all pieces."""
+        joined = self.between.join([*words, ""])
+        unknown = self.single_ids[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)] < 0
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        unknown[ends] = False
+        known = np.ones(len(words), bool)
+        known[np.searchsorted(ends, np.flatnonzero(unknown))] = False
+        return [w for w, k in zip(words, known.tolist(), strict=True) if k]
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """:meth:`_known` of many words of up to ``LOCKSTEP`` characters, all pieces: one step of each at a time."""
+        if self.prefix is None:
+            self.prefix = np.array([self.next_shorter(i) if kind == NORMAL else -1 for i, kind in enumerate(self.kinds)], np.int64)
+        joined = self.between.join(words)
+        end, hit = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2).T
+        longest = self.single_ids[np.frombuffer((joined + self.between).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        longest[end - (hit >> 20) + 1] = hit & _ID  # of one start the longest comes last
+        n = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(n + 1) - n - 1
+        out = np.full((len(words), int(n.max(initial=0)) + 1), -1, np.int32)
+        depth, at, failed = (np.zeros(len(words), np.int64) for _ in range(3))
+        this = longest[first]
+        alive = np.arange(len(words))
+        while len(alive):
+            stuck = this[alive] < 0
+            back = alive[stuck]  # nothing fits there: the position fails, the piece before gives way to a shorter one
+            if len(back):
+                failed[back] |= np.int64(1) << at[back]
+                depth[back] -= 1
+                piece = out[back, depth[back]].astype(np.int64)
+                at[back] -= self.length[piece]
+                this[back] = self.prefix[piece]
+            tried = alive[~stuck]
+            piece = this[tried]
+            end = at[tried] + self.length[piece]
+            last = np.where(depth[tried] > 0, out[tried, np.maximum(depth[tried] - 1, 0)], -1).astype(np.int64)
+            ok = (failed[tried] >> end & 1 == 0) & self._all_fit(last, piece)
+            this[tried[~ok]] = self.prefix[piece[~ok]]
+            on = tried[ok]
+            out[on, depth[on]] = piece[ok]
+            depth[on] += 1
+            at[on] = end[ok]
+            more = at[on] < n[on]
+            this[on[more]] = longest[first[on[more]] + at[on[more]]]
+            done = np.zeros(len(words), bool)
+            done[on[~more]] = True
+            alive = alive[~done[alive]]
+        return [tuple(row[:d]) for row, d in zip(out.tolist(), depth.tolist(), strict=True)]
+
+    def prepare(self, splits: Iterable[list[str]]) -> None:
+        """Encodes the words of some texts that are not remembered, together."""
+        words, new = self.words, []
+        for word in set(chain.from_iterable(splits)):
+            if word not in words:
+                known = words.older.get(word)
+                if known is not None:
+                    words.keep(word, known)
+                elif len(word) <= LOCKSTEP and word[-1] != MARK:
+                    new.append(word)
+        for start in range(0, len(new), 50_000):
+            part = self._of_known_characters(new[start : start + 50_000])
+            for word, found in zip(part, self.encode_words(part), strict=True):
+                words.keep(word, found)
+
     def encode_word(self, word: str) -> list[int]:
         """A word with at most one space mark, which leads it; unknown characters become bytes."""
+        whole = self.ids.get(word)
+        if whole is not None and self.fits(-1, whole):
+            return [whole]
         out: list[int] = []
         start = 0
         for k, c in enumerate(word):
@@ -203,10 +386,14 @@ class PieceCoder:
                 run = 0
             yield ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def split(self, text: str | None) -> list[str]:
+        """The words of a text, each with the space mark before it."""
+        return self.in_words.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def encode(self, text: str | None, words: list[str] | None = None) -> list[int]:
         if not text:
             return []
-        words = _WORDS.findall(MARK + text.replace(" ", MARK))
+        words = self.split(text) if words is None else words
         marked = MARK + MARK in text or "  " in text or text[0] in f" {MARK}" or f" {MARK}" in text or f"{MARK} " in text
         return list(chain.from_iterable(self._spaced(words) if marked else map(self.words.__getitem__, words)))
 
@@ -223,7 +410,7 @@ _coders: dict[int, PieceCoder] = {}
 
 
 def _coder(model) -> PieceCoder:
-    """The coder of this Python worker: later tasks find words already encoded."""
+    """The coder of this Python worker: later tasks need not build it."""
     key = hash(model.value)
     if key not in _coders:
         _coders.clear()
@@ -247,13 +434,18 @@ def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = [coder.encode(t) for t in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                splits = [coder.split(t) for t in texts]
+                coder.prepare(splits)
+                ids = list(map(coder.encode, texts, splits))
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 decoded = pa.array([coder.decode(x) for x in ids], pa.string())
                 columns = [part.column(0), lists, decoded, *([part.column(1)] if keep_text else [])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "text"][: len(columns)])
+        coder.words = Words(coder)  # the worker outlives the task; most of its words are rare
+        give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + ", text string" * keep_text)

@@ -5,6 +5,7 @@ Hashes depend on bytes alone, so every task and every run agrees on them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,6 +68,16 @@ class Texts:
         return self.stop - self.start
 
 
+def give_back() -> None:
+    """Returns memory that is free but kept to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """Whole texts of a string column, about ``limit`` bytes at a time; a null text is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -84,6 +95,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         stop = min(stop, n)
         yield Texts(start, stop, buf[at[start] : at[stop]], at[start : stop + 1] - at[start])
         start = stop
+    give_back()
 
 
 @dataclass

@@ -11,7 +11,7 @@ PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def coders():
-    return PieceCoder(PieceModel.read(PATH), remembered=500), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    return PieceCoder(PieceModel.read(PATH), remembered=50_000), sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
 def texts(seed, n):
@@ -31,6 +31,27 @@ def test_encodes_and_decodes_as_the_library(coders):
         assert ours.decode(ids) == library.decode(ids), repr(text)
 
 
+def test_words_encoded_together(coders):
+    _, library = coders
+    ours = PieceCoder(PieceModel.read(PATH))
+    many = [*texts(5, 3000), "x" * 70, "a\nb \n c", "\n\n", "\t▁\n ", "line one\nline two\r\n"]
+    splits = [ours.split(t) for t in many]
+    ours.prepare(splits)
+    assert sum(len(w) <= 62 and w not in ours.words for s in splits for w in s) < len(many)
+    for text, words in zip(many, splits, strict=True):
+        assert ours.encode(text, words) == library.encode(text), repr(text)
+
+
+def test_pieces_that_may_follow_each_other(coders):
+    ours, _ = coders
+    rng = random.Random(4)
+    known = sorted(ours.ids.values())
+    for _ in range(4000):
+        a, b = rng.choice(known[:4000]), rng.choice(known)
+        first, second = ours.pieces[a], ours.pieces[b]
+        assert ours.fits(a, b) == (ours.merged(first + second) == [first, second]), (first, second)
+
+
 def test_decodes_any_ids_as_the_library(coders):
     ours, library = coders
     rng = random.Random(2)
