@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -115,3 +116,99 @@ def test_figures_and_short_items(spark, documents):
     capital = "What is the capital of France?"
     assert found_in(spark, documents, capital, [around("Question 5 " + capital), "Question 5 What is the road to France?"]) == [True, False]
     assert found_in(spark, documents, "Who wrote Hamlet", [around("Who wrote Hamlet?"), "They asked who wrote Faust.", "She knows who wrote Hamlet."]) == [True, False, True]
+
+
+def test_one_form_of_many_items(spark, documents):
+    """Every document of the form meets every item of it; they are matched as one class, not pair by pair."""
+    text = lambda a, b, who: f"At the market {who} bought {a} red apples and later sold {b} of them again. How many red apples are left there?"
+    names = ["Ada", "Ben", "Cleo", "Dan"]
+    items = [(k, text(k + 3, 2 * k + 1000, names[k % 4])) for k in range(300)]
+    docs = [(i, around(text(5000 + i, 7000 + i, "Zoe"), i)) for i in range(600)] + [(9000, around(items[123][1])), (9001, around("no apples here"))]
+    got = {r.doc_id: r for r in decontaminate(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got[i].contaminated and got[i].n_items == 300 and got[i].item_id == 0 for i in range(600))
+    assert (got[9000].item_id, got[9000].verbatim, got[9000].n_items) == (123, 1.0, 300)
+    assert not got[9001].contaminated
+
+
+def test_a_phrase_of_all_items_brings_nothing_together(spark, documents):
+    phrase = "Answer with one number and nothing else at all, please, on one single line."
+    rng = random.Random(6)
+    items = [(k, " ".join(f"word{rng.randrange(9000)}" for _ in range(24)) + ". " + phrase) for k in range(200)]
+    docs = [(i, " ".join(rng.choices(FILL, k=30)) + ". " + phrase) for i in range(300)] + [(9000, around(items[77][1]))]
+    got = {r.doc_id: r for r in decontaminate(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not any(got[i].contaminated for i in range(300))
+    assert (got[9000].item_id, got[9000].n_items, got[9000].verbatim) == (77, 1, 1.0)
+
+
+def plain_tokens(text):
+    """Template tokens one by one: (canonical, value, is_slot), read with opening capitals as words."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9]+", text):
+        w = m[0]
+        gap = text[out[-1][3] if out else 0 : m.start()]
+        opens = not out or any(ch in '.!?:;"\n' for ch in gap)
+        if w[0].isdigit():
+            out.append(("NUMBER", w.lower(), True, m.end()))
+        elif w[0].isupper() and not opens:
+            out.append(("NAME", w.lower(), True, m.end()))
+        else:
+            out.append((w.lower(), w.lower(), False, m.end()))
+    return [t[:3] for t in out]
+
+
+def test_same_as_brute_force_on_templates(spark, documents):
+    """Numbers and names apart from each other: coverage and consistency, on one shift or on neighbouring ones, by plain loops."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "abcdef" for b in "uvwxyz"]
+    fill = lambda: rng.choice([str(rng.randrange(3)), rng.choice(["Ada", "Ben"]), *[rng.choice(words) for _ in range(4)]])
+
+    def sentence(n):
+        out = ["start"]
+        while len(out) < n:
+            w = fill()
+            out.append(w if not (out[-1][0].isdigit() or out[-1][0].isupper()) else rng.choice(words))
+        return out
+
+    items = [(k, sentence(rng.randrange(10, 26))) for k in range(12)]
+    docs = []
+    for i in range(150):
+        base = list(rng.choice(items)[1])
+        swap = {str(d): str(rng.randrange(3, 9)) for d in range(3)} | {"Ada": rng.choice(["Eve", "Max"]), "Ben": rng.choice(["Eve", "Max"])}
+        base = [swap.get(w, w) if rng.random() < 0.95 else w for w in base]
+        for _ in range(rng.randrange(3)):
+            base.insert(rng.randrange(1, len(base)), rng.choice(words))
+        cut = rng.randrange(len(base))
+        docs.append((i, " ".join(["lead", *rng.choices(words, k=rng.randrange(5)), *base[cut // 3 :]])))
+
+    def judged(doc, item):
+        d, t = plain_tokens(doc), plain_tokens(item)
+        best = None
+        own = {b for b in range(len(t) - 7) if sum(not x[2] for x in t[b : b + 8]) >= 4}
+        pairs = [(a, b) for b in own for a in range(len(d) - 7) if [x[0] for x in d[a : a + 8]] == [x[0] for x in t[b : b + 8]]]
+        ranges = {}
+        for a, b in pairs:
+            for r in (("one", a - b), (0, (a - b) // 16), (1, (a - b + 8) // 16)):
+                ranges.setdefault(r, []).append((a, b))
+        for found in ranges.values():
+            coverage = len({b for _, b in found}) / max(len(own), 1)
+            stands = {}
+            for a, b in found:
+                for x, y in zip(t[b : b + 8], d[a : a + 8], strict=True):
+                    if x[2]:
+                        stands.setdefault(x[1], set()).add(y[1])
+            consistency = sum(len(v) == 1 for v in stands.values()) / len(stands) if stands else 1.0
+            if coverage >= 0.5 and consistency >= 0.9:
+                best = max(best or (0, 0), (coverage, consistency))
+        return best
+
+    got = decontaminate(documents(docs), spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")).collect()
+    found = {r.doc_id: r for r in got}
+    hits = 0
+    for i, text in docs:
+        want = [(s, k) for k, t in items if (s := judged(text, " ".join(t)))]
+        hits += bool(want)
+        # Other ways to read the same texts may find more, never less.
+        if want:
+            assert found[i].contaminated and (found[i].coverage, found[i].consistency) >= max(s for s, _ in want), (i, want, found[i])
+            assert found[i].n_items >= len(want)
+    assert 20 < hits < 145
