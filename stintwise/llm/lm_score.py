@@ -59,7 +59,7 @@ class Model:
     bits_per_key: int = 16
     weight: float = 1000.0
     most_bytes: int = 256 << 20
-    most_frequent: int = 500_000
+    most_frequent: int = 300_000
     buffered: int = 4_000_000
 
     def levels(self, counts: np.ndarray) -> np.ndarray:
