@@ -20,7 +20,7 @@ from stintwise.operators.quality import format_prediction
 from stintwise.session import shared_dir, written
 from stintwise.sources import readers as R
 from stintwise.sources import writers as W
-from stintwise.streaming import enrichment
+from stintwise.streaming import enrichment, rollups, state
 from stintwise.streaming import feeds
 
 c = F.col
@@ -387,3 +387,94 @@ def enrichment_log(t: Tables) -> DataFrame:
     enrichment.run_enrichment(feed, _tables_of(t), _base_scores, root, seconds=None).awaitTermination()
     rows = t.spark.read.parquet(enrichment.EnrichmentPaths(root).cycles)
     return rows.select("session_key", "drivers", "alerts", "current_lap", "status", "safety_car_active", "race_finished")
+
+
+# streams with state ---------------------------------------------------------
+
+
+def _streamed(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    path = _dir(t, name)
+    feeds.state_table(df, path, f"{path}-checkpoint", mode="append").awaitTermination()
+    return t.spark.read.parquet(path).drop("batch")
+
+
+@query(
+    """SELECT l.session_key, l.driver_number, l.event_id, w.air_temperature, w.track_temperature FROM (SELECT * FROM f_base WHERE event_type = 'purchase') l
+    ASOF LEFT JOIN f_weather w ON l.session_key = w.session_key AND l.event_time >= w.date
+    WHERE l.event_time < (SELECT MAX(event_time) FROM f_base WHERE event_type IN ('purchase', 'view')) - INTERVAL 1 DAY"""
+)
+def asof_weather_stream(t: Tables) -> DataFrame:
+    """Purchases as laps and the weather as two streams; what the watermark, a day behind, has closed."""
+    state.with_keyed_state(t.spark)
+    live = _stream(t)
+    laps = live.feed.where("event_type = 'purchase'").select(*DRIVER, "event_id", "event_time")
+    values = ["air_temperature", "track_temperature"]
+    joined = state.asof_stream(laps, _stream(t).weather, "session_key", "date", "event_id", values, "1 day")
+    return _streamed(t, joined, "asof").select(*DRIVER, "event_id", *values)
+
+
+_QUARTERS = """SELECT function_name, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS p, AVG(metric_value) AS value FROM f_metric_points
+    WHERE metric_name = 'Duration' GROUP BY 1, 2"""
+
+
+@query(
+    f"""WITH near AS (SELECT *, LAG(p) OVER w AS bp, LAG(alarm) OVER w AS was, LEAD(p) OVER w AS np FROM (SELECT a.function_name, a.p, ANY_VALUE(a.value) AS value,
+      SUM(CASE WHEN b.value > 50 THEN 1 ELSE 0 END) = 2 AS alarm FROM ({_QUARTERS}) a JOIN ({_QUARTERS}) b ON a.function_name = b.function_name AND b.p BETWEEN a.p - 1 AND a.p
+      GROUP BY a.function_name, a.p) x WINDOW w AS (PARTITION BY function_name ORDER BY p)),
+    turned AS (SELECT function_name, p, CASE WHEN alarm THEN 'ALARM' ELSE 'OK' END AS state, value FROM near
+      WHERE alarm <> COALESCE(was AND bp = p - 1, FALSE)
+      UNION ALL SELECT function_name, p + 1, 'OK', NULL FROM near WHERE alarm AND (np IS NULL OR np <> p + 1))
+    SELECT function_name, TIMESTAMP '1970-01-01' + to_seconds(p * 21600) AS period_start, state, value FROM turned
+    WHERE (p + 1) * 21600 <= (SELECT epoch(MAX(ts)) FROM f_metric_points WHERE metric_name = 'Duration') - 86400""",
+    digits="value",
+    places=6,
+)
+def alarm_transitions(t: Tables) -> DataFrame:
+    """Mean duration above 50 in two quarters of a day in a row: when the alarm goes on and off, as a stream."""
+    state.with_keyed_state(t.spark)
+    turned = state.alarm_stream(_stream(t).metric_points, "Duration", "avg", 21600, ">", 50.0, 2, delay="1 day")
+    return _plain(_streamed(t, turned, "alarms"), "period_start").select("function_name", "period_start", "state", "value")
+
+
+def _rollup(t: Tables) -> DataFrame:
+    path = _dir(t, "rollup")
+    rollups.keep_rollup(_stream(t).metric_points, rollups.point_partials, path, f"{path}-checkpoint").awaitTermination()
+    return rollups.read_rollup(t.spark, path)
+
+
+@query(
+    """SELECT date_trunc('hour', ts) AS bucket, function_name, SUM(metric_value) AS invocations FROM f_metric_points WHERE metric_name = 'Invocations' GROUP BY 1, 2""",
+    digits="invocations",
+    places=6,
+)
+def rollup_invocations(t: Tables) -> DataFrame:
+    """Hourly sums from minute partials."""
+    return _plain(rollups.metric_totals(_rollup(t), "Invocations", "invocations"), "bucket")
+
+
+@query(
+    """SELECT date_trunc('day', ts) AS bucket, function_name, COUNT(metric_value) AS n, TRUE AS near FROM f_metric_points WHERE metric_name = 'Duration' GROUP BY 1, 2"""
+)
+def rollup_p99(t: Tables) -> DataFrame:
+    """Daily p99 from merged sketches; ``near``: its rank among the day's values is within 3 % of 0.99."""
+    found = rollups.metric_percentile(_rollup(t), "Duration", 0.99, "p99", "day")
+    points = t.metric_points.where("metric_name = 'Duration'").withColumn("bucket", F.date_trunc("day", c("ts").cast("timestamp")))
+    upto, below = F.count_if(c("metric_value") <= c("p99")), F.count_if(c("metric_value") < c("p99"))
+    ranked = points.join(found, ["bucket", "function_name"]).groupBy("bucket", "function_name").agg(F.count("metric_value").alias("n"), upto.alias("upto"), below.alias("below"))
+    near = (c("upto") / c("n") >= 0.96) & (c("below") <= c("n") * 0.99 + c("n") * 0.03)
+    return _plain(ranked.select("bucket", "function_name", "n", near.alias("near")), "bucket")
+
+
+_DAY = "SELECT DISTINCT driver_number FROM f_base WHERE date_trunc('minute', event_time) >= TIMESTAMP '{0}' AND date_trunc('minute', event_time) < TIMESTAMP '{1}'"
+_LATER, _SOONER = _DAY.format("2024-01-21", "2024-01-22"), _DAY.format("2024-01-20", "2024-01-21")
+
+
+@query(
+    f"""SELECT (SELECT COUNT(*) FROM ({_LATER}) a) AS seen, (SELECT COUNT(*) FROM ({_SOONER}) b) AS before, (SELECT COUNT(*) FROM ({_SOONER} EXCEPT {_LATER}) x) AS lost"""
+)
+def drivers_lost(t: Tables) -> DataFrame:
+    """Drivers of one day, of the day before, and those who did not come back, from sketches by minute."""
+    path = _dir(t, "drivers")
+    rows = _stream(t).feed.select(c("event_time").alias("ts"), "driver_number", (c("k") / 100.0).alias("pitstop_probability"))
+    rollups.keep_rollup(rows, rollups.driver_partials, path, f"{path}-checkpoint").awaitTermination()
+    return rollups.drivers_lost(rollups.read_rollup(t.spark, path), 1440, F.lit("2024-01-22").cast("timestamp"))
