@@ -1,14 +1,17 @@
 """Secret scans that look through nested encodings.
 
 Each text is searched for assignments, access keys and hex runs.  A worklist
-then unwraps every layer found inside: percent escapes, Unicode escapes,
-base64, and what compressed data in base64 holds.  Base64 is decoded at all
-four alignments, over line breaks, and its bytes are searched as they are, so
-nothing around or between readable parts hides them; compressed data is looked
-for at every place of decoded or decompressed bytes.  Each decoded layer is
-searched again and unwrapped in turn until nothing new appears; layers met
-before on the same way are not entered again.  What is found inside is mapped
-back to the characters of the text that encode it.
+then unwraps every layer found inside: percent, Unicode and character escapes,
+base64, UTF-16, and what compressed data holds.  All escapes of a layer are
+decoded in one pass, and an escape that stands for the beginning of another one
+is followed to its end at once, so neither many sorts of escapes nor long chains
+of them make many layers.  Base64 is decoded at all four alignments, over line
+breaks, and its bytes are searched as they are, so nothing around or between
+readable parts hides them; compressed data is looked for at every place of
+every decoded layer.  Each layer is searched again and unwrapped in turn until
+nothing new appears; a layer whose characters and places are those of one met
+before is not entered again, whatever way led to it.  What is found inside is
+mapped back to the characters of the text that encode it.
 """
 
 from __future__ import annotations
@@ -36,19 +39,25 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Any run that can be base64, an access key or hex; base64 goes on over single line breaks.
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
+#: Any run that can be base64; it goes on over single line breaks.  Whatever can be found takes 16 characters of it or more.
+LEAST_RUN = 16
+_RUN = re.compile(
+    r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+"
+)
 _STANDARD = str.maketrans("-_", "+/")
 #: Whatever can be found in a layer, or inside it, takes so many ASCII characters in a row.
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_WIDE = re.compile("(?:[\t\n\r\x20-\x7e]\x00){16,}|(?:\x00[\t\n\r\x20-\x7e]){16,}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
-    r"((?:\\u[0-9a-fA-F]{4})+)|\\U([0-9a-fA-F]{8})|\\u\{([0-9a-fA-F]{1,6})\}|((?:\\x[0-9a-fA-F]{2})+)"
+    r"%([0-9A-Fa-f]{2})|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\U([0-9a-fA-F]{8})|\\u\{([0-9a-fA-F]{1,6})\}"
     r"|&#([0-9]{1,7});|&#[xX]([0-9a-fA-F]{1,6});"
 )
-#: Decompressed data is searched in windows of so many bytes, which overlap.
-WINDOW, OVERLAP, PIECE = 4 << 20, 64 << 10, 16 << 10
+#: The longest escape, and the characters that one can begin with.
+_LONGEST, _BEGINS = 10, "%\\&"
+#: Decompressed data is searched in windows of so many bytes; a run that crosses the edge goes on into the next, up to ``LONGEST_RUN``.
+WINDOW, PIECE, LONGEST_RUN = 4 << 20, 16 << 10, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -56,21 +65,28 @@ class Layer:
     """A decoded text, and the span of the whole text behind each of its characters, or one for all of them.
 
     Decoded bytes are one character each: whatever is searched for is ASCII.
-    ``inside`` yields the layers of compressed data in it; ``last`` says that the
-    layer around it has no more.
+    ``inside`` yields the layers of compressed data in it.
     """
 
     text: str
     starts: np.ndarray | int
     ends: np.ndarray | int
     via: str
-    above: tuple[bytes, ...]
     inside: Iterator[Layer] | None = None
-    last: bool = False
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (self.starts, self.ends) if isinstance(self.starts, int) else (int(self.starts[a]), int(self.ends[b - 1]))
 
+    def part(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray | int, np.ndarray | int]:
+        """The spans behind characters that stand for ``starts`` to ``ends`` of this layer each."""
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (self.starts[starts], self.ends[ends - 1])
+
+    def key(self) -> bytes:
+        found = blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for places in (self.starts, self.ends):
+            found.update(str(places).encode() if isinstance(places, int) else places.tobytes())
+        return found.digest()
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of the secrets that stand in a text as they are."""
@@ -84,54 +100,63 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _character(code: int) -> str | None:
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
-
-
-def _bytes_of(m: str, mark: str) -> tuple[str, list[int]]:
-    """The text of escaped bytes, and how many characters encode each of its; a byte that is not UTF-8 stands alone."""
-    now = bytes.fromhex(m.replace(mark, "")).decode("utf-8", "surrogateescape")
-    return now, [len(c.encode("utf-8", "surrogateescape")) * (2 + len(mark)) for c in now]
-
-
-def _escaped(m: re.Match) -> tuple[str, list[int]] | None:
-    """The characters that an escape stands for, and how many encode each; None if it stands for none."""
-    units, wide, braced, raw, decimal, hexadecimal = m.groups()
-    if units:
-        now = bytes.fromhex(units.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
-        return now, [6 * len(c.encode("utf-16-be", "surrogatepass")) // 2 for c in now]
-    if raw:
-        return _bytes_of(raw, "\\x")
-    now = _character(int(decimal) if decimal else int(wide or braced or hexadecimal, 16))
-    return now and (now, [m.end() - m.start()])
-
+def _meant(m: re.Match) -> str | None:
+    """The character that an escape stands for; bytes are one each, half of a pair is no character that matters."""
+    percent, unit, raw, *numbers = m.groups()
+    digits = percent or unit or raw or numbers[0] or numbers[1] or numbers[3]
+    code = int(digits, 16) if digits else int(numbers[2])
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
-def _percent(m: re.Match) -> tuple[str, list[int]]:
-    return _bytes_of(m[0], "%")
 
+def decoded(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
+    """The text with its escapes decoded until none is left, and where each character came from; None without escapes.
 
-def _rewritten(text: str, pattern: re.Pattern, decode, places: bool) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """The text with all escapes of one sort decoded, and, if wanted, where each character came from."""
-    parts: list[str] = []
-    starts: list[np.ndarray] = []
-    ends: list[np.ndarray] = []
-    at = 0
-    for m in pattern.finditer(text):
-        found = decode(m)
-        if found is None:
-            continue
-        now, widths = found
-        parts += [text[at : m.start()], now]
-        if places:
-            plain = np.arange(at, m.start())
-            edges = m.start() + np.cumsum([0, *widths])
-            starts += [plain, edges[:-1]]
-            ends += [plain + 1, edges[1:]]
-        at = m.end()
-    if not parts:
+    What an escape stands for may be part of another one, with characters
+    before it, behind it, or both: after each step only the few characters
+    around it are looked at, and each step leaves fewer, so the time grows with
+    the text.
+    """
+    first = _ESCAPE.search(text)
+    if not first:
         return None
-    plain = np.arange(at, len(text) if places else at)
-    return "".join([*parts, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    at = 0
+
+    def copy(until: int) -> None:
+        out.extend(text[at:until])
+        starts.extend(range(at, until))
+        ends.extend(range(at + 1, until + 1))
+
+    m = first
+    while m:
+        copy(m.start())
+        char, begin, at = _meant(m), m.start(), m.end()
+        while True:
+            # The character and its neighbours may be an escape of their own.
+            left = "".join(out[max(0, len(out) - _LONGEST + 1) :])
+            near = left + char + text[at : at + _LONGEST - 1]
+            again = None
+            place = near.rfind("%", 0, len(left) + 1), near.rfind("\\", 0, len(left) + 1), near.rfind("&", 0, len(left) + 1)
+            for k in sorted(place, reverse=True):
+                found = _ESCAPE.match(near, k) if k >= 0 else None
+                if found and found.end() > len(left):
+                    again = found
+                    break
+            if not again:
+                break
+            taken = len(left) - again.start()
+            if taken > 0:
+                begin = starts[-taken]
+                del out[-taken:], starts[-taken:], ends[-taken:]
+            char, at = _meant(again), at + max(0, again.end() - len(left) - 1)
+        out.append(char)
+        starts.append(begin)
+        ends.append(at)
+        m = _ESCAPE.search(text, at)
+    copy(len(text))
+    return "".join(out), np.array(starts), np.array(ends)
 
 
 def _from(chunks: Iterator[bytes], at: int) -> Iterator[bytes]:
@@ -183,40 +208,54 @@ def _decompressed(pieces: Iterator[bytes], used: list[int]) -> Iterator[bytes]:
                 used[0] = fed - len(given)
 
 
-def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """Overlapping windows: the place of the first byte, how many bytes were in the window before, and the bytes."""
-    tail, parts, size, at = b"", [], 0, 0
+#: A line without anything that can be found, or be part of it, ends here.
+_GAP = re.compile(rb"[^A-Za-z0-9+/_.=\-\"':\x20\t\r\n%\\&#;{}\x00]|\n[\x20\t]*\r?\n")
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Windows of decompressed data, each with the place of its first byte.
+
+    They are cut behind bytes that nothing runs across; without one, the window
+    grows up to ``LONGEST_RUN``.
+    """
+    kept, at = b"", 0
+    parts: list[bytes] = []
+    size = 0
     for chunk in chunks:
         parts.append(chunk)
         size += len(chunk)
         if size >= WINDOW:
-            now = b"".join([tail, *parts])
-            yield at, len(tail), now
-            at, tail, parts, size = at + max(0, len(now) - OVERLAP), now[-OVERLAP:], [], 0
-    if size:
-        yield at, len(tail), b"".join([tail, *parts])
-
-
-def _compressed(raw: bytes, first: int, at: int, source, until: list[int], span, via: str, above: tuple[bytes, ...]) -> Iterator[Layer]:
-    """The windows of all compressed data that begins in ``raw`` from ``first`` on; ``raw`` stands at ``at`` of ``source()``."""
-    for m in _MAGIC.finditer(raw, max(0, first - 5)):
+            now = b"".join([kept, *parts])
+            parts, size = [], 0
+            gaps = [m.end() for m in _GAP.finditer(now, max(0, len(now) - WINDOW // 2))]
+            cut = gaps[-1] if gaps else len(now) if len(now) >= LONGEST_RUN else 0
+            if cut:
+                yield at, now[:cut]
+            at, kept = at + cut, now[cut:]
+    if kept or parts:
+        yield at, b"".join([kept, *parts])
+
+
+def _compressed(raw: bytes, at: int, source, until: list[int], span, via: str) -> Iterator[Layer]:
+    """The windows of all compressed data that begins in ``raw``, which stands at ``at`` of ``source()``."""
+    for m in _MAGIC.finditer(raw):
         begin = at + m.start()
         if begin < until[0]:
             continue
         used = [0]
         inner = partial(lambda begin, used: _decompressed(_from(source(), begin), used), begin, used)
         lo = hi = None
-        below, met = [0], set()
-        for place, known, window in _windows(inner()):
+        below = [0]
+        met: set[bytes] = set()
+        for place, window in _windows(inner()):
             if lo is None:
                 lo, hi = span(m.start(), inner, used)
             key = blake2b(window, digest_size=16).digest()
-            if key in met or key in above:
+            if key in met:
                 continue  # equal windows of one span hold the same
             met.add(key)
-            chain = (*above, key)
-            deeper = _compressed(window, known, place, inner, below, lambda *_, lo=lo, hi=hi: (lo, hi), f"{via}>compressed", chain)
-            yield Layer(window.decode("latin-1"), lo, hi, via, chain, deeper)
+            deeper = _compressed(window, place, inner, below, lambda *_, lo=lo, hi=hi: (lo, hi), f"{via}>compressed")
+            yield Layer(window.decode("latin-1"), lo, hi, via, deeper)
         until[0] = max(until[0], begin + used[0])
 
 
@@ -227,6 +266,8 @@ def _base64_layers(layer: Layer, via: str) -> Iterator[Layer]:
         if "\n" in run:
             places = places[[c not in "\x20\t\r\n" for c in run]]
             run = "".join(run.split())
+        if len(run) < LEAST_RUN:
+            continue
         flat = run.translate(_STANDARD).encode()
         for skip in range(4):
             body = flat[skip : len(flat) - ((len(flat) - skip) % 4 == 1)]
@@ -239,39 +280,53 @@ def _base64_layers(layer: Layer, via: str) -> Iterator[Layer]:
                 end = min(skip - (-(j + used[0]) * 4 // 3) - 1, last) if used[0] else last
                 return layer.span(int(places[skip + j * 4 // 3]), int(places[end]) + 1)
 
-            inside = None
             if _MAGIC.search(raw):
-                inside = _compressed(raw, 0, 0, partial(lambda raw: iter([raw]), raw), [0], span, f"{via}compressed", layer.above)
-            if _STRETCH.search(raw):
-                key = blake2b(raw, digest_size=16).digest()
-                if key not in layer.above:
-                    if isinstance(layer.starts, int):
-                        starts, ends = layer.starts, layer.ends
-                    else:
-                        j = np.arange(len(raw))
-                        starts = layer.starts[places[skip + j * 4 // 3]]
-                        ends = layer.ends[places[np.minimum(skip - (-(j + 1) * 4 // 3) - 1, last)]]
-                    yield Layer(raw.decode("latin-1"), starts, ends, f"{via}base64", (*layer.above, key))
-            if inside:
-                yield Layer("", 0, 0, "", (), inside)
+                yield Layer("", 0, 0, "", _compressed(raw, 0, partial(lambda raw: iter([raw]), raw), [0], span, f"{via}compressed"))
+            text = raw.decode("latin-1")
+            if _STRETCH.search(raw) or _WIDE.search(text):
+                j = np.arange(len(raw))
+                spans = layer.part(places[skip + j * 4 // 3], places[np.minimum(skip - (-(j + 1) * 4 // 3) - 1, last)] + 1)
+                yield Layer(text, *spans, f"{via}base64")
+
+
+def _escape_layers(layer: Layer, via: str) -> Iterator[Layer]:
+    """The layer with its escapes decoded, the same with ``+`` read as a space, and what its bytes hold compressed."""
+    found = decoded(layer.text) if any(c in layer.text for c in _BEGINS) else None
+    if not found:
+        return
+    text, starts, ends = found
+    name = f"{via}{'url' if '%' in layer.text and re.search('%[0-9A-Fa-f]{2}', layer.text) else 'unicode'}"
+    inner = Layer(text, *layer.part(starts, ends), name)
+    raw = text.encode("latin-1", "replace")
+    if _MAGIC.search(raw):
+
+        def span(j: int, scan_, used: list[int]) -> tuple[int, int]:
+            for _ in scan_():
+                pass
+            return inner.span(j, j + used[0] if used[0] else len(raw))
+
+        yield Layer("", 0, 0, "", _compressed(raw, 0, lambda: iter([raw]), [0], span, f"{name}>compressed"))
+    if "+" in text and "%" in layer.text:
+        yield Layer(text.replace("+", " "), inner.starts, inner.ends, name)
+    yield inner
+
+
+def _wide_layers(layer: Layer, via: str) -> Iterator[Layer]:
+    """Stretches of UTF-16, read one byte of two."""
+    for m in _WIDE.finditer(layer.text):
+        first = 1 if m[0][0] == "\x00" else 0
+        at = np.arange(m.start() + first, m.end(), 2)
+        starts = at - first
+        yield Layer(m[0][first::2], *layer.part(starts, starts + 2), f"{via}utf16")
 
 
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
-    """Every layer directly inside another, rewritten ones at the end: the layer around a chain of them need not stay."""
-    rewritten = []
-    text, via, places = layer.text, layer.via and f"{layer.via}>", not isinstance(layer.starts, int)
-    for mark, pattern, decode, name in (("%", _PERCENT, _percent, "url"), ("\\", _ESCAPE, _escaped, "unicode"), ("&#", _ESCAPE, _escaped, "unicode")):
-        if mark in text and (found := _rewritten(text, pattern, decode, places)):
-            inner, starts, ends = found
-            key = blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if inner and key not in layer.above:
-                span = (layer.starts[starts], layer.ends[np.maximum(ends, starts + 1) - 1]) if places else (layer.starts, layer.ends)
-                rewritten.append((inner, *span, f"{via}{name}", (*layer.above, key)))
-            if mark == "\\":
-                break
+    """Every layer directly inside another."""
+    via = layer.via and f"{layer.via}>"
+    if "\x00" in layer.text:
+        yield from _wide_layers(layer, via)
     yield from _base64_layers(layer, via)
-    for k, found in enumerate(rewritten):
-        yield Layer(*found, last=k == len(rewritten) - 1)
+    yield from _escape_layers(layer, via)
 
 
 def nested_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -280,24 +335,27 @@ def nested_spans(text: str) -> list[tuple[str, int, int, str]]:
     A window of compressed data is searched with all that is inside it before
     the next one is made.
     """
-    if not (_RUN.search(text) or "%" in text or "\\" in text or "&#" in text):
+    if not (any(c in text for c in _BEGINS) or _RUN.search(text)):
         return []
     found: dict[tuple[str, int, int, str], None] = {}
     place = np.arange(len(text) + 1)
-    work: list[Iterator[Layer]] = [_unwrapped(Layer(text, place[:-1], place[1:], "", ()))]
+    met: set[bytes] = set()
+    work: list[Iterator[Layer]] = [_unwrapped(Layer(text, place[:-1], place[1:], ""))]
     while work:
         layer = next(work[-1], None)
         if layer is None:
             work.pop()
             continue
-        for kind, a, b in base_spans(layer.text):
-            found[kind, *layer.span(a, b), layer.via] = None
-        if layer.last:
-            work.pop()
-        if layer.inside:
-            work.append(layer.inside)
         if layer.text:
+            key = layer.key()
+            if key in met:
+                continue
+            met.add(key)
+            for kind, a, b in base_spans(layer.text):
+                found[kind, *layer.span(a, b), layer.via] = None
             work.append(_unwrapped(layer))
+        if layer.inside:
+            work.append(layer.inside)
     return sorted(found, key=lambda s: s[3].count(">"))
 
 
