@@ -7,7 +7,8 @@ share.  The order is never produced in one place:
 1. a size-weighted sample of keys gives quantile splitters, hence key ranges of
    about equal size;
 2. ranges beyond ``rows_per_task`` records are subdivided by key; a key that
-   alone holds more than ``tolerance`` of a shard is subdivided by ``doc_id``;
+   alone holds more than ``tolerance`` of a shard, or more than
+   ``rows_per_task`` records, is a range of its own, subdivided by ``doc_id``;
 3. sizes are summed within each range, and only the range totals are summed
    over all ranges.
 """
@@ -68,47 +69,60 @@ def shard_by_bytes(
     hot = (
         rows.groupBy("key")
         .agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"))
-        .filter((F.col("bytes") > limit) & (F.col("copies") > 1))
-        .select("key", F.lit(True).alias("hot"))
+        .filter(((F.col("bytes") > limit) & (F.col("copies") > 1)) | (F.col("copies") > rows_per_task))
+        # Copies that fill less than `limit` stay together, however many they are.
+        .select("key", F.lit(True).alias("hot"), (F.col("bytes") <= limit).alias("together"))
+    )
+    # A hot key holds over `limit` bytes or `rows_per_task` records: there are shards / tolerance + rows / rows_per_task of them at most.
+    marked = rows.join(F.broadcast(hot), "key", "left").withColumns(
+        {"hot": F.coalesce("hot", F.lit(False)), "together": F.coalesce("together", F.lit(True))}
     )
-    # Each hot key holds over `limit` bytes, so there are shards / tolerance of them at most.
-    marked = rows.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     at = F.array(*[F.lit(x) for x in splitters]) if splitters else F.array().cast("array<long>")
-    ranged = marked.withColumn("range", F.size(F.filter(at, lambda x: x <= F.col("key"))))
+    ranged = marked.withColumns(
+        {"range": F.size(F.filter(at, lambda x: x <= F.col("key"))), "own": F.when(F.col("hot"), F.col("key"))}
+    )
 
-    counts = ranged.groupBy("range", "hot").agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
-    # A row for each range and kind: 2 * shards * ranges_per_shard at most.
-    cut = counts.withColumn("parts", F.ceil(F.col("rows") / rows_per_task))
+    span = ["range", "hot", "own"]
+    counts = ranged.groupBy(*span).agg(F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
+    # A row for each range, and for each hot key.
+    cut = counts.withColumn("parts", F.ceil(F.col("rows") / rows_per_task)).drop("rows")
     width = F.col("high").cast("double") - F.col("low") + 1
     place = F.when(F.col("hot"), _unit("doc_id")).otherwise((F.col("key").cast("double") - F.col("low")) / width)
-    cells = ranged.join(F.broadcast(cut), ["range", "hot"]).withColumn(
-        "part", F.least(F.floor(place * F.col("parts")), F.col("parts") - 1)
-    )
+    cut = cut.withColumnsRenamed({"range": "in_range", "hot": "is_hot", "own": "of_key"})
+    same = (F.col("range") == F.col("in_range")) & (F.col("hot") == F.col("is_hot")) & F.col("own").eqNullSafe(F.col("of_key"))
+    cells = ranged.join(F.broadcast(cut), same).withColumn("part", F.least(F.floor(place * F.col("parts")), F.col("parts") - 1))
 
-    cell = ["range", "hot", "part"]
+    cell = [*span, "part"]
     order = Window.partitionBy(*cell).orderBy("key", "doc_id")
     within = cells.select(
-        "doc_id", "size", "text_crc32", "key", *cell,
+        "doc_id", "size", "text_crc32", "key", "together", *cell,
         (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"),
         (F.row_number().over(order) - 1).cast("long").alias("nth"),
     )
     copies = Window.partitionBy(*cell, "key")
-    middle = F.when(F.col("hot"), F.col("before") + F.col("size") / 2).otherwise(
-        F.min("before").over(copies) + F.sum("size").over(copies) / 2
-    )
+    middle_of_key = F.min("before").over(copies) + F.sum("size").over(copies) / 2
     totals = cells.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     earlier = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *cell,
+        "bytes",
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_at"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_at"),
     )
+    # The parts of a hot key follow each other: its middle comes from their totals.
+    parts = Window.partitionBy(*span)
+    offsets = offsets.withColumn("key_middle", F.min("bytes_at").over(parts) + F.sum("bytes").over(parts) / 2)
+    offsets = offsets.drop("bytes").withColumnsRenamed({"own": "of_key"})
+    same = [F.col(f"w.{n}") == F.col(f"o.{n}") for n in ("range", "hot", "part")]
+    joined = within.withColumn("middle", middle_of_key).alias("w").join(offsets.alias("o"), [*same, F.col("own").eqNullSafe(F.col("of_key"))])
+    middle = (
+        F.when(F.col("w.hot") & F.col("together"), F.col("key_middle"))
+        .when(F.col("w.hot"), F.col("bytes_at") + F.col("before") + F.col("size") / 2)
+        .otherwise(F.col("bytes_at") + F.col("middle"))
+    )
     placed = written(
-        within.withColumn("middle", middle)
-        .join(offsets, cell)
-        .select(
-            "doc_id", "size", "text_crc32",
-            F.least(F.floor((F.col("bytes_at") + F.col("middle")) * shards / total), F.lit(shards - 1)).cast("int").alias("shard"),
+        joined.select(
+            "doc_id", "size", "text_crc32", F.least(F.floor(middle * shards / total), F.lit(shards - 1)).cast("int").alias("shard"),
             (F.col("rows_at") + F.col("nth")).alias("nth"),
         ),
         "shard-placed",

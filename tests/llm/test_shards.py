@@ -32,6 +32,15 @@ def test_even_shards_with_a_hot_text(documents, rows_per_task):
     assert sum(len(s) > 1 for t, s in where.items() if not t.startswith("the same")) == 0
 
 
+def test_many_tiny_copies_are_cut_but_stay_together(documents):
+    """Copies that fill little of a shard are many rows: no task gets them all, yet they share a shard."""
+    pairs = [(i, "long text " * 300 + str(i)) for i in range(400)] + [(10_000 + i, None if i % 2 else "") for i in range(1500)]
+    found = shard_by_bytes(documents(pairs), shards=4, rows_per_task=200, tolerance=0.5)
+    rows = found.collect()
+    check(rows, pairs, 4, slack=4000)
+    assert len({r["shard"] for r in rows if r["doc_id"] >= 10_000}) == 1
+
+
 def test_odd_rows(documents, odd_pairs):
     rows = shard_by_bytes(documents(odd_pairs), shards=3).collect()
     check(rows, odd_pairs, 3, slack=10**6)
