@@ -20,8 +20,8 @@
 
 No two trees share a signature place in their coarse labels, so their number
 makes a pair at the threshold fail to share a label in all trees with a chance
-below ``MISS``, and the sketch errs with a similar chance;
-every other step is exact.
+below ``MISS``; the sketch turns down a pair at the threshold with a chance of
+about 1e-9 (six standard deviations).  Every other step is exact.
 """
 
 from __future__ import annotations
@@ -38,15 +38,13 @@ from pyspark.sql import functions as F
 
 from stintwise.llm.bits import bit_filter, may_hold
 from stintwise.llm.graph import components
-from stintwise.llm.rows import record, sample_rows
+from stintwise.llm.rows import record
 from stintwise.llm.words import mix, shingle_sets, slices
 from stintwise.session import written
 
 MISS = 1e-6
 #: Signature places of the sketch; the forest may take more.
 PLACES = 128
-#: How many sets tell which windows are common, and how many windows are told.
-SAMPLE, COMMON = 2000, 50_000
 #: Signature places of the coarse label, and those added by the two finer ones.
 FINER = (2, 6)
 
@@ -222,46 +220,43 @@ def _sets_of(filter_bits, size: int):
     return run
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of each set, with the set's class, component and size."""
     for batch in batches:
-        for x in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["window"])
+        for node, root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = np.frombuffer(x.as_buffer(), np.int64)
+            n = len(own)
+            columns = [pa.array(own), pa.array(np.full(n, node)), pa.array(np.full(n, root)), pa.array(np.full(n, n, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["window", "class", "root", "n"])
 
 
-def _common_windows(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that a sample of sets shares, sorted, and how often; about ``SAMPLE`` sets and ``COMMON`` windows at most.
+def _rare_windows(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``window, class, root, place, n``: the rarest windows of each set that sets of other components have too.
 
-    They only decide which windows count as rare.  Any choice gives the same
-    links, a good one fewer pairs to confirm.
+    A set's windows are ordered from those of its own component, which bring no
+    two components together, to the others by how many classes have them; a pair
+    at the threshold shares one of the first windows of both, as many as
+    ``percent`` leaves.  ``place`` is a window's place in that order.
     """
-    sample = sample_rows(sets, F.xxhash64("class"), SAMPLE).select("shingles")
-    counted = sample.mapInArrow(_sampled_windows, "window long").groupBy("window").count().filter("count > 1")
-    found = counted.orderBy(F.desc("count"), "window").limit(COMMON).toPandas()
-    windows = found["window"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(windows)
-    return windows[order], found["count"].to_numpy(np.int64)[order]
-
-
-def _rare_windows(common, percent: int):
-    """The rarest windows of each set, with their place in the order from rare to common, and the set's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, counts = common.value
-        for batch in batches:
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(x.as_buffer(), np.uint64)
-                count = np.zeros(len(own), np.int64)
-                if len(windows):
-                    at = np.minimum(np.searchsorted(windows, own), len(windows) - 1)
-                    count = np.where(windows[at] == own, counts[at], 0)
-                n = len(own)
-                rare = own[np.lexsort((own, count))[: n - -(-percent * n // 100) + 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rare), pa.array(np.full(len(rare), node)), pa.array(np.arange(len(rare), dtype=np.int32)), pa.array(np.full(len(rare), n, np.int32))],
-                    ["window", "class", "place", "n"],
-                )
-
-    return run
+    marked = sets.dropDuplicates(["class"]).join(roots, "class").select("class", "root", "shingles")
+    windows = written(marked.mapInArrow(_windows_of, "window long, class long, root long, n int"), "set-windows")
+    mixed = (
+        windows.groupBy("window")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("classes"))
+        .filter("low < high")
+        .select("window", "classes")
+    )
+    own = (
+        windows.join(mixed, "window")
+        .groupBy("class", "root", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("classes", "window"))).alias("shared"))  # of one set
+    )
+    alone = F.col("n") - F.size("shared")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int"))
+    return own.select("class", "root", "n", alone.alias("alone"), F.posexplode(prefix).alias("nth", "at")).select(
+        F.col("at.window").alias("window"), "class", "root", (F.col("alone") + F.col("nth")).cast("int").alias("place"), "n"
+    )
 
 
 def _confirm(percent: int):
@@ -353,9 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     links = links.unionByName(more.filter("linked").select("a", "b"))
 
     roots = placed(links)
-    common = spark.sparkContext.broadcast(_common_windows(sets))
-    rare = sets.mapInArrow(_rare_windows(common, percent), "window long, class long, place int, n int").distinct()
-    rare = rare.join(roots, "class")
+    rare = written(_rare_windows(sets, roots, percent), "rare-windows")
     mixed = rare.groupBy("window").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     meeting = rare.join(mixed.select("window"), "window", "left_semi").join(sketches, "class")
     x, y = meeting.alias("x"), meeting.alias("y")
