@@ -2,8 +2,8 @@
 
 Two lines are duplicates if at most one word has to be inserted, deleted or
 replaced to turn one into the other; lines under ``near_words`` words must be
-equal.  The earliest line stays.  The query takes equal lines of every length
-but blank ones, and one word of four or more.
+equal.  The earliest line stays.  Unless told otherwise, equal lines of every
+length but blank ones go, and one word may differ in lines of four or more.
 
 1. Every line becomes a hash of its word sequence.  Equal lines keep their
    earliest place.
@@ -26,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.bits import bit_filter, may_hold
+from stintwise.llm.bits import bit_filter, bit_table, may_hold, with_flag
 from stintwise.llm.rows import NO_ID, record
 from stintwise.llm.words import Texts, mix, slices, words
 from stintwise.session import written
@@ -227,7 +226,7 @@ def _rewrite(least_words: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, near_words: int = 8, least_words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = 4, least_words: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped`` and the columns ``carry`` of each row, without lines that occur earlier.
 
     Lines end with a newline and are compared as sequences of words, A-Z
@@ -274,18 +273,13 @@ def dedup_lines(docs: DataFrame, near_words: int = 8, least_words: int = 3, carr
     )
     every = lines.select("doc", "record", "lines").distinct()  # a row per document already within a task
     losing = every.join(kept, ["doc", "record"], "left").filter(F.coalesce(F.size("stay"), F.lit(0)) < F.col("lines"))
-    bits = share(bit_filter(losing.select(F.xxhash64("doc", "record").alias("hashed")), "hashed"))
-
-    @F.pandas_udf("boolean")
-    def may_lose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashed in parts:
-            yield pd.Series(may_hold(bits.value, hashed.to_numpy()))
-
+    losing = written(bit_table(losing.select(F.xxhash64("doc", "record").alias("hashed")), "hashed"), "losing-bits")
     names = [f"__{c}" for c in carry]
     marked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", doc.alias("doc"), own_record.alias("record"),
         *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)],
-    ).withColumn("loses", may_lose(F.xxhash64("doc", "record")))
+    ).withColumn("hashed", F.xxhash64("doc", "record"))
+    marked = with_flag(marked, losing, "hashed", "loses")
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     untouched = marked.filter("NOT loses").select("doc_id", "text", n_lines.alias("n_lines"), F.lit(0).alias("n_dropped"), *names)
     cut = marked.filter("loses").join(kept, ["doc", "record"], "left").select("doc_id", "text", "stay", *names)

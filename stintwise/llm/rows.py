@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.bits import bit_filter, may_hold
+from stintwise.llm.bits import bit_table, with_flag
+from stintwise.session import written
 
 NO_ID = (1 << 63) - 1
 
@@ -45,15 +43,7 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) ->
     """
     keys = [_keyed(x.select("doc_id", "record"), F.col("record")).select("__doc", "__record", "__key") for x in (gone, once) if x is not None]
     listed = keys[0] if once is None else keys[0].unionByName(keys[1])
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(listed, "__key"))
-
-    @F.pandas_udf("boolean")
-    def may_be_listed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashed in parts:
-            yield pd.Series(may_hold(bits.value, hashed.to_numpy()))
-
-    keyed = _keyed(docs, record())
-    marked = keyed.withColumn("__listed", may_be_listed("__key"))
+    marked = with_flag(_keyed(docs, record()), written(bit_table(listed, "__key"), "listed-bits"), "__key", "__listed")
     rest = marked.filter("__listed").join(keys[0].select("__doc", "__record"), ["__doc", "__record"], "left_anti")
     if once is not None:
         rest = rest.dropDuplicates(["__doc", "__record"])

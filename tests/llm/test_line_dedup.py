@@ -19,7 +19,7 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(pairs, near_words=8, least_words=3):
+def brute(pairs, near_words=4, least_words=1):
     """Documents with ids only; a row equal to another is the same record."""
     records = sorted({(1 << 63 if i is None else i, t or "") for i, t in pairs})
     places = [(i, t, k, fold(x)) for i, t in records for k, x in enumerate(t.split("\n"))]
