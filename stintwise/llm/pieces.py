@@ -72,8 +72,10 @@ codecs.register_error("stintwise.piece_bytes", _one_mark_per_byte)
 
 NEVER = float("-inf")
 _ID = (1 << 20) - 1
-#: Pairs of pieces whose compatibility is looked up for many words at once, and the longest words so encoded.
-PAIR_BITS, LOCKSTEP = 20, 62
+#: Pairs of pieces whose compatibility is looked up for many words at once, the longest words so encoded, and how many together.
+PAIR_BITS, LOCKSTEP, TOGETHER = 18, 62, 8_000
+#: Judged pairs, and grown pieces, that are remembered besides.
+MOST_PAIRS, MOST_GROWN = 100_000, 8_000
 
 
 @dataclass(frozen=True)
@@ -121,7 +123,7 @@ class PieceCoder:
     when the newer half is full the older one is forgotten.
     """
 
-    def __init__(self, model: PieceModel, remembered: int = 32 << 20):
+    def __init__(self, model: PieceModel, remembered: int = 16 << 20):
         self.pieces, self.remembered = model.pieces, remembered
         self.ids = {p: i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == NORMAL}
         self.scores, self.kinds = model.scores, model.kinds
@@ -193,6 +195,8 @@ class PieceCoder:
     def growth(self, this: int) -> Growth | None:
         """How merging makes a piece from its characters; None if it makes something else of them."""
         if this not in self.grown:
+            if len(self.grown) >= MOST_GROWN:
+                self.grown.clear()
             parts = list(self.pieces[this])
             first, last = [(parts[0], NEVER)], [(parts[-1], NEVER)]
             before, in_order = -NEVER, True
@@ -217,6 +221,8 @@ class PieceCoder:
         key = last << 20 | this if last >= 0 else -1 - this
         found = self.fitting.get(key)
         if found is None:
+            if len(self.fitting) >= MOST_PAIRS:
+                self.fitting.clear()
             found = self.fitting[key] = self.growth(this) is not None if last < 0 else self._stay_apart(last, this)
         return found
 
@@ -336,7 +342,9 @@ class PieceCoder:
             done = np.zeros(len(words), bool)
             done[on[~more]] = True
             alive = alive[~done[alive]]
-        return [tuple(row[:d]) for row, d in zip(out.tolist(), depth.tolist(), strict=True)]
+        flat = out[np.arange(out.shape[1]) < depth[:, None]].tolist()
+        stop = np.cumsum(depth).tolist()
+        return [tuple(flat[b - d : b]) for b, d in zip(stop, depth.tolist(), strict=True)]
 
     def prepare(self, splits: Iterable[list[str]]) -> None:
         """Encodes the words of some texts that are not remembered, together."""
@@ -348,8 +356,8 @@ class PieceCoder:
                     words.keep(word, known)
                 elif len(word) <= LOCKSTEP and word[-1] != MARK:
                     new.append(word)
-        for start in range(0, len(new), 50_000):
-            part = self._of_known_characters(new[start : start + 50_000])
+        for start in range(0, len(new), TOGETHER):
+            part = self._of_known_characters(new[start : start + TOGETHER])
             for word, found in zip(part, self.encode_words(part), strict=True):
                 words.keep(word, found)
 
@@ -386,6 +394,12 @@ class PieceCoder:
                 run = 0
             yield ids
 
+    def forget(self) -> None:
+        """Drops what was met on the way: the worker outlives its task, and most words are rare."""
+        self.words = Words(self)
+        self.fitting.clear()
+        self.grown.clear()
+
     def split(self, text: str | None) -> list[str]:
         """The words of a text, each with the space mark before it."""
         return self.in_words.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -444,7 +458,7 @@ def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) ->
                 decoded = pa.array([coder.decode(x) for x in ids], pa.string())
                 columns = [part.column(0), lists, decoded, *([part.column(1)] if keep_text else [])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "text"][: len(columns)])
-        coder.words = Words(coder)  # the worker outlives the task; most of its words are rare
+        coder.forget()
         give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) AS doc_id", "text")

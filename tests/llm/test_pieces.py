@@ -37,7 +37,8 @@ def test_words_encoded_together(coders):
     many = [*texts(5, 3000), "x" * 70, "a\nb \n c", "\n\n", "\t▁\n ", "line one\nline two\r\n"]
     splits = [ours.split(t) for t in many]
     ours.prepare(splits)
-    assert sum(len(w) <= 62 and w not in ours.words for s in splits for w in s) < len(many)
+    together = [w for s in splits for w in s if len(w) <= 62 and w[-1] != "▁" and set(w) <= set(ours.single)]
+    assert len(together) > 10_000 and all(w in ours.words for w in together)
     for text, words in zip(many, splits, strict=True):
         assert ours.encode(text, words) == library.encode(text), repr(text)
 
