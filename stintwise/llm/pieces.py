@@ -73,9 +73,9 @@ codecs.register_error("stintwise.piece_bytes", _one_mark_per_byte)
 NEVER = float("-inf")
 _ID = (1 << 20) - 1
 #: Pairs of pieces whose compatibility is looked up for many words at once, the longest words so encoded, and how many together.
-PAIR_BITS, LOCKSTEP, TOGETHER = 18, 62, 8_000
-#: Judged pairs, and grown pieces, that are remembered besides.
-MOST_PAIRS, MOST_GROWN = 100_000, 8_000
+PAIR_BITS, LOCKSTEP, TOGETHER = 20, 62, 20_000
+#: Judged pairs that are remembered besides.
+MOST_PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ class PieceCoder:
     when the newer half is full the older one is forgotten.
     """
 
-    def __init__(self, model: PieceModel, remembered: int = 16 << 20):
+    def __init__(self, model: PieceModel, remembered: int = 32 << 20):
         self.pieces, self.remembered = model.pieces, remembered
         self.ids = {p: i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == NORMAL}
         self.scores, self.kinds = model.scores, model.kinds
@@ -195,8 +195,6 @@ class PieceCoder:
     def growth(self, this: int) -> Growth | None:
         """How merging makes a piece from its characters; None if it makes something else of them."""
         if this not in self.grown:
-            if len(self.grown) >= MOST_GROWN:
-                self.grown.clear()
             parts = list(self.pieces[this])
             first, last = [(parts[0], NEVER)], [(parts[-1], NEVER)]
             before, in_order = -NEVER, True
@@ -395,10 +393,8 @@ class PieceCoder:
             yield ids
 
     def forget(self) -> None:
-        """Drops what was met on the way: the worker outlives its task, and most words are rare."""
+        """Drops the words met on the way: the worker outlives its task, and most words are rare."""
         self.words = Words(self)
-        self.fitting.clear()
-        self.grown.clear()
 
     def split(self, text: str | None) -> list[str]:
         """The words of a text, each with the space mark before it."""
