@@ -34,18 +34,20 @@ def with_keyed_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _value(v, kind: T.DataType):
-    """A pandas value as a state value: nulls as None, times as Python's, whole numbers whole."""
-    if v is None or v is pd.NaT or v != v:
-        return None
+def _values(column: pd.Series, kind: T.DataType) -> list:
+    """Pandas values as state values: nulls as None, times as Python's, whole numbers whole."""
+    known = column[column.notna()]
     if isinstance(kind, T.IntegralType):
-        return int(v)
-    return v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
+        known = known.astype("int64")
+    found = [v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in known.tolist()]
+    if len(found) == len(column):
+        return found
+    rest = iter(found)
+    return [next(rest) if there else None for there in column.notna()]
 
 
 def _rows(part: pd.DataFrame, schema: T.StructType) -> list[tuple]:
-    kinds = [f.dataType for f in schema.fields]
-    return [tuple(map(_value, row, kinds)) for row in part[schema.names].itertuples(index=False, name=None)]
+    return list(zip(*[_values(part[f.name], f.dataType) for f in schema.fields], strict=True))
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
@@ -127,24 +129,40 @@ class _AsOf(StatefulProcessor):
         self.handle = handle
         self.laps = handle.getListState("laps", self.laps_schema)
         self.readings = handle.getListState("readings", self.readings_schema)
+        self.timer = handle.getValueState("timer", "at long")
+        self.at = self.laps_schema.names.index("event_time")
+
+    def _wake(self, first_ms: int) -> None:
+        """One timer a key: it goes off with the first lap that waits, and all that are due come out with it."""
+        if self.timer.exists():
+            (set_for,) = self.timer.get()
+            if set_for <= first_ms + 1:
+                return
+            self.handle.deleteTimer(set_for)
+        self.timer.update((first_ms + 1,))
+        self.handle.registerTimer(first_ms + 1)
 
     def _closed(self, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        at = self.laps_schema.names.index("event_time")
-        waiting = [tuple(x) for x in self.laps.get()] if self.laps.exists() else []
-        due = [x for x in waiting if _millis(x[at]) < watermark_ms]
+        waiting = [(_utc(x[self.at]), tuple(x)) for x in self.laps.get()] if self.laps.exists() else []
+        timed = [(_millis(t), t, x) for t, x in waiting]
+        due = sorted(((t, x) for ms, t, x in timed if ms < watermark_ms), key=lambda x: x[0])
+        later = [(ms, x) for ms, _, x in timed if ms >= watermark_ms]
         readings = [tuple(x) for x in self.readings.get()] if self.readings.exists() else []
         readings.sort(key=lambda r: (_utc(r[0]), r[1]))
-        rows = []
-        for lap in sorted(due, key=lambda x: _utc(x[at])):
-            known = [r for r in readings if _utc(r[0]) <= _utc(lap[at])]
-            found = known[-1][2:] if known else (None,) * len(self.values)
-            rows.append((*lap, *found))
+        times = [_utc(r[0]) for r in readings]
+        rows, known = [], 0
+        for t, lap in due:
+            while known < len(times) and times[known] <= t:
+                known += 1
+            rows.append((*lap, *(readings[known - 1][2:] if known else (None,) * len(self.values))))
         if due:
-            self._put(self.laps, [x for x in waiting if _millis(x[at]) >= watermark_ms])
+            self._put(self.laps, [x for _, x in later])
+        if later:
+            self._wake(min(ms for ms, _ in later))
         # Of the readings that no lap before the watermark needs any more, only the newest may serve a later one.
-        old = [r for r in readings if _millis(r[0]) < watermark_ms]
-        if len(old) > 1:
-            self._put(self.readings, readings[len(old) - 1 :])
+        old = sum(_millis(t) < watermark_ms for t in times)
+        if old > 1:
+            self._put(self.readings, readings[old - 1 :])
         if rows:
             yield _frame(rows, self.out)
 
@@ -156,7 +174,7 @@ class _AsOf(StatefulProcessor):
             state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        first = None
         for part in rows:
             if part.empty:
                 continue
@@ -167,12 +185,14 @@ class _AsOf(StatefulProcessor):
             if len(laps):
                 new = _rows(laps, self.laps_schema)
                 self.laps.appendList(new)
-                times |= {_millis(r[self.laps_schema.names.index("event_time")]) + 1 for r in new}
-        for t in times:
-            self.handle.registerTimer(t)
+                earliest = min(_millis(r[self.at]) for r in new)
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
         return self._closed(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:

@@ -3,8 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stintwise.operators.alarms import threshold_alarm
 from stintwise.operators.joins import asof_weather
@@ -122,3 +124,81 @@ def test_alarm_transitions_are_those_of_the_batch(keyed, tmp_path, stat, limit,
     got = sorted(map(key, out.collect()), key=str)
     assert got == sorted(map(key, want.collect()), key=str)
     assert {r[2] for r in got} == {"ALARM", "OK"} and any(r[3] is None for r in got)
+
+
+class Held:
+    """State of one key in memory, with what was asked of it."""
+
+    def __init__(self):
+        self.kept, self.timers, self.reads = {}, set(), 0
+
+    def variable(self, name, schema):
+        return Variable(self, name)
+
+    getListState = getValueState = variable
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Variable:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return self.name in self.held.kept
+
+    def get(self):
+        self.held.reads += 1
+        return self.held.kept[self.name]
+
+    def put(self, rows):
+        self.held.kept[self.name] = rows
+
+    update = put
+
+    def appendList(self, rows):
+        self.put([*self.held.kept.get(self.name, []), *rows])
+
+    def clear(self):
+        self.held.kept.pop(self.name, None)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_asof_wakes_once_for_all_laps_that_are_due():
+    laps = T._parse_datatype_string("session_key bigint, event_time timestamp, event_id bigint")
+    readings = T._parse_datatype_string("event_time timestamp, asof_order bigint, asof_air double")
+    joined = state._AsOf(laps, readings, ["air"], T._parse_datatype_string("session_key bigint, event_time timestamp, event_id bigint, air double"))
+    held = Held()
+    joined.init(held)
+    at = [T0 + timedelta(seconds=k) for k in range(400)]
+    rows = pd.DataFrame({"session_key": 1, "event_time": at * 2, "event_id": [float(k) for k in range(400)] * 2})
+    rows["asof_is_reading"] = [False] * 400 + [True] * 400
+    rows["asof_order"] = [None] * 400 + [*range(400)]
+    rows["asof_air"] = [None] * 400 + [None if k % 3 == 0 else float(k) for k in range(400)]
+    joined.handleInputRows((1,), iter([rows.sample(frac=1, random_state=1)]), None)
+    joined.handleInputRows((1,), iter([rows[:0]]), None)
+    first = state._millis(T0)
+    assert held.timers == {first + 1}
+    out, reads = [], held.reads
+    for upto in (first + 300_500, first + 500_000):
+        (timer,) = held.timers
+        held.timers.clear()
+        out += [row for part in joined.handleExpiredTimer((1,), Clock(upto), None) for row in part.itertuples(index=False)]
+        held.timers = {t for t in held.timers if t > timer}
+    assert [(r.event_id, r.air) for r in out] == [(k, None if k % 3 == 0 else float(k)) for k in range(400)]
+    assert not held.timers and held.reads - reads <= 8 and len(held.kept["readings"]) == 1
+    # An earlier lap moves the timer.
+    for k in (700, 600):
+        joined.handleInputRows((1,), iter([rows[:1].assign(event_time=T0 + timedelta(seconds=k))]), None)
+    assert held.timers == {first + 600_001}
