@@ -10,9 +10,12 @@ folders of that batch, which a repeated job replaces instead of doubling them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.session import remove
+
 c = F.col
 
 
@@ -66,8 +69,46 @@ def feature_store_append(df: DataFrame, path: str, batch: str | int | None = Non
     return _added(df.select(*typed), path, "parquet", [], batch)
 
 
-def save_stint_cache(stints: DataFrame, path: str) -> str:
-    """Replace the cached stints of the sessions present; sessions without stints keep theirs."""
+def newest_sessions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The rows that :func:`keep_sessions` last wrote of each session, by batches ``before`` one, or nothing before the first."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return _newest(rows if before is None else rows.where(c("batch") < before)).drop("batch")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("session_key").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["session_key", "batch"], "left_semi")
+
+
+def keep_sessions(rows: DataFrame, path: str, batch: int, compact_every: int = 50) -> str:
+    """Replace the rows of the sessions present; other sessions keep theirs.
+
+    Each batch has one folder, however many sessions it holds; a repeated batch
+    replaces it.  Every ``compact_every``-th holds the newest rows of all
+    sessions, and what lies before the last such folder but one is removed.
+    """
+    spark, own = rows.sparkSession, f"{path}/batch={batch}"
+    whole = batch > 0 and batch % compact_every == 0
+    earlier = spark.read.parquet(path).where(c("batch") < batch) if whole else None
+    if earlier is not None:
+        rows = _newest(earlier.unionByName(rows.withColumn("batch", F.lit(batch)))).drop("batch")
+    rows.hint("rebalance").write.mode("overwrite").parquet(own)
+    if earlier is not None:
+        for r in earlier.where(c("batch") < batch - compact_every).select("batch").distinct().collect():  # two generations at most
+            remove(spark, f"{path}/batch={r.batch}")
+    return path
+
+
+def save_stint_cache(stints: DataFrame, path: str, batch: int | None = None) -> str:
+    """Replace the cached stints of the sessions present; sessions without stints keep theirs.
+
+    With ``batch`` they are kept by :func:`keep_sessions`, else in a folder per session.
+    """
+    if batch is not None:
+        return keep_sessions(stints, path, batch)
     (
         _folders(stints, "session_key")
         .write.mode("overwrite")

@@ -1,11 +1,12 @@
 """The scoring cycle: every micro-batch updates its sessions and scores their drivers.
 
 A batch is first added to the feed table.  Then only the sessions it touches are
-read back (the feed is stored by session, so other folders are not opened),
-turned into live features, scored, ranked and written out.  A session whose
-stint feed is empty is served from the cached stints.  Every output folder is
-named after the batch and replaced as a whole, so a repeated batch changes
-nothing; what a cycle writes for itself is removed with its end.
+read back (the feed is stored by groups of sessions, so the folders of other
+groups are not opened), turned into live features, scored, ranked and written
+out.  A session whose stint feed is empty is served from the cached stints.
+Every folder is named after the batch and replaced as a whole, so a repeated
+batch changes nothing; how many a batch makes does not depend on its sessions.
+What a cycle writes for itself is removed with its end.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,11 +31,13 @@ from stintwise.operators.state import (
     stop_on_finish,
 )
 from stintwise.session import scratch, written
-from stintwise.sources.writers import save_stint_cache
+from stintwise.sources.writers import keep_sessions, newest_sessions, save_stint_cache
 
 c = F.col
 log = logging.getLogger(__name__)
 FEEDS = ("laps", "stints", "intervals", "weather", "pit", "car_data", "race_control")
+#: Folders of a feed batch at most; those of an existing feed can't be changed.
+SESSION_GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -125,18 +127,21 @@ def run_enrichment(
             run(batch, batch_id)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("session_key", "batch").parquet(paths.feed)
-        feed = spark.read.schema(f"{_ddl(batch)}, batch int").parquet(paths.feed)
-        touched = feed.where(c("batch") == batch_id).select("session_key").distinct()
-        tables = to_tables(feed.drop("batch").join(touched, "session_key", "left_semi"))
+        group = F.pmod(F.xxhash64("session_key"), F.lit(SESSION_GROUPS)).cast("int")
+        grouped = batch.withColumn("session_group", group).hint("rebalance", c("session_group"))
+        grouped.write.mode("overwrite").partitionBy("session_group").parquet(f"{paths.feed}/batch={batch_id}")
+        feed = spark.read.schema(f"{_ddl(batch)}, batch int, session_group int").parquet(paths.feed)
+        own = feed.where(c("batch") == batch_id)
+        touched = written(own.select("session_key").distinct(), "touched")
+        groups = [r.session_group for r in own.select("session_group").distinct().collect()]  # SESSION_GROUPS at most
+        near = feed.where(c("session_group").isin(groups)).drop("batch", "session_group")
+        tables = to_tables(near.join(touched, "session_key", "left_semi"))
         now = written(tables["stints"], "stints")
-        cached = _stored(spark, paths.stints)
+        cached = newest_sessions(spark, paths.stints, batch_id)
         if cached is not None:
             known = cached.join(touched, "session_key", "left_semi").select(*now.columns)
             tables["stints"] = written(stints_with_fallback(now, known), "stints")
-        save_stint_cache(now, paths.stints)
+        save_stint_cache(now, paths.stints, batch_id)
         if stop_finished:
             tables["laps"] = stop_on_finish(tables["laps"], tables["race_control"])
         out = f"{paths.predictions}/batch={batch_id}"
@@ -145,15 +150,13 @@ def run_enrichment(
             shares = win_probability(scored, ["session_key"])
             shares.withColumn("stale", F.lit(False)).write.mode("overwrite").parquet(out)
         else:
-            good = _stored(spark, paths.last_good)
+            good = newest_sessions(spark, paths.last_good)
             if good is None:
                 raise RuntimeError(f"scoring failed in batch {batch_id}, and no earlier predictions can be served")
             served = good.join(touched, "session_key", "left_semi").drop("stale")
             last_good_predictions(served.limit(0), served).write.mode("overwrite").parquet(out)
         done = spark.read.parquet(out)
-        done.where("NOT stale").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "session_key"
-        ).parquet(paths.last_good)
+        keep_sessions(done.where("NOT stale"), paths.last_good, batch_id)
         pit_alerts(done.withColumn("commentary", F.lit("")), threshold).write.mode("overwrite").json(
             f"{paths.alerts}/batch={batch_id}"
         )
@@ -189,11 +192,3 @@ def _cycle_log(touched: DataFrame, done: DataFrame, race_control: DataFrame, thr
         .fillna({"drivers": 0, "alerts": 0, "status": "missing", "safety_car_active": False, "race_finished": False})
         .withColumn("logged_at", F.current_timestamp())
     )
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table of earlier cycles, or nothing before the first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None

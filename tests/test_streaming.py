@@ -1,12 +1,14 @@
 """Streams over files that arrive in steps."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from stintwise import schemas
 from stintwise.catalog.source_queries import _base_scores, _tables_of
 from stintwise.catalog.tables import Tables
+from stintwise.sources.writers import keep_sessions, newest_sessions
 from stintwise.streaming import enrichment, feeds
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +83,34 @@ def test_cycles_add_up_and_failures_serve_the_last_good(spark, tmp_path):
     assert log.where("batch = 1").agg(F.sum("drivers")).first()[0] == drivers
     cached = spark.read.parquet(enrichment.EnrichmentPaths(root).stints)
     assert cached.select("session_key").distinct().count() == feed.select("session_key").distinct().count()
+
+
+def test_a_cycle_makes_folders_for_groups_not_sessions(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    events = _events(spark).where("user_id < 22").withColumn("user_id", F.expr("user_id % 2 + 22 * (event_id % 90)"))
+    Tables.to_feed(events).coalesce(1).write.parquet(source)
+    feed = spark.read.parquet(source)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feed.schema.fields)
+    stream = feeds.incremental_files(spark, source, schema, "parquet", "*.parquet")
+    enrichment.run_enrichment(stream, _tables_of(Tables(spark, SF)), _base_scores, root, seconds=None).awaitTermination()
+    sessions = feed.select("session_key").distinct().count()
+    paths = enrichment.EnrichmentPaths(root)
+    assert sessions > enrichment.SESSION_GROUPS
+    assert spark.read.parquet(paths.last_good).select("session_key").distinct().count() == sessions
+    for path, most in ((paths.feed, enrichment.SESSION_GROUPS + 1), (paths.stints, 1), (paths.last_good, 1)):
+        assert sum(p.is_dir() for p in Path(path).rglob("*=*")) <= most, path
+
+
+def test_sessions_are_kept_over_batches(spark, tmp_path):
+    path, want = str(tmp_path / "kept"), {}
+    assert newest_sessions(spark, path) is None
+    for batch in range(8):
+        rows = [(s, f"{batch}-{n}") for s in (batch % 3, 10 + batch) for n in range(batch % 2 + 1)]
+        for _ in range(2 if batch in (3, 6) else 1):  # some batches are repeated
+            keep_sessions(spark.createDataFrame(rows, "session_key bigint, v string"), path, batch, compact_every=3)
+        want |= {s: sorted(v for k, v in rows if k == s) for s, _ in rows}
+        got = {}
+        for r in newest_sessions(spark, path).collect():
+            got[r.session_key] = sorted([*got.get(r.session_key, []), r.v])
+        assert got == want
+    assert sorted(int(p.name.split("=")[1]) for p in Path(path).glob("batch=*")) == [3, 4, 5, 6, 7]
