@@ -14,7 +14,8 @@ Boosted trees judge each candidate by its format and by the words and digits
 around it; they learn from the base spans which formats and contexts personal
 data has.  The marks by which the base patterns decide (an at sign, a plus) are
 withheld from them, so they must go by the rest.  For each kind a threshold is
-calibrated on candidates they have not seen.  Of candidates beyond it that
+calibrated on candidates they have not seen.  All candidates of all texts take
+part: three quarters teach the trees, the others calibrate.  Of candidates beyond it that
 overlap, the better one stays; they are added to the base spans, which always
 stay.
 """
@@ -29,7 +30,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.rows import sample_rows
 from stintwise.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -59,9 +59,8 @@ NEAR = 24
 
 @dataclass(frozen=True)
 class Boosting:
-    """About ``max_rows`` candidates are learnt from at most, and a third as many calibrate the thresholds."""
+    """Settings of the trees, and the precision that the thresholds keep."""
 
-    max_rows: int = 15_000
     rounds: int = 10
     depth: int = 3
     precision: float = 0.98
@@ -257,20 +256,19 @@ class Judge:
 
 
 def train_judge(candidates: DataFrame, boosting: Boosting) -> Judge | None:
-    """A judge learnt from a bounded sample of candidates; None unless it has base spans and others to learn from."""
+    """A judge learnt from three quarters of all candidates and calibrated on the others; None unless it has base spans and others to learn from."""
     names = [c for c in candidates.columns if c.startswith("f_")]
     draw = F.xxhash64("row", "start", "end", "kind", F.lit(boosting.seed))
     # What overlaps a base span without being one says nothing, and neither does a sound card number that
     # only its neighbours keep from being one: both are left out.
     unclear = F.col("touches") | (F.col("kind") == "card") & F.col("sound")
     clear = candidates.filter((F.col("label") == 1) | ~unclear).withColumn("draw", draw)
-    sample = written(sample_rows(clear, F.col("draw"), boosting.max_rows * 4 // 3), "candidate-sample")
-    learning = sample.filter(F.pmod("draw", F.lit(4)) != 0)
+    learning = clear.filter(F.pmod("draw", F.lit(4)) != 0)
     if learning.select("label").distinct().count() < 2:
         return None
     judged = VectorAssembler(inputCols=names, outputCol="features")
     model = GBTClassifier(maxIter=boosting.rounds, maxDepth=boosting.depth, seed=boosting.seed).fit(judged.transform(learning))
-    untold = Judge(model, names, {}).scored(sample.filter(F.pmod("draw", F.lit(4)) == 0))
+    untold = Judge(model, names, {}).scored(clear.filter(F.pmod("draw", F.lit(4)) == 0))
     steps = untold.groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()
     thresholds = {}
     for kind in KINDS:

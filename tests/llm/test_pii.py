@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from stintwise.llm import pii
 from stintwise.llm.pii import Boosting, _judged_by, _proposed, base_spans, find_personal_data, resolved, train_judge
 
 PATTERNS = {
@@ -167,3 +168,19 @@ def test_odd_rows(documents, odd_pairs):
 def test_plan_has_no_python(documents):
     plan = find_personal_data(documents([(1, "a@b.co")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_candidates_take_part(documents, monkeypatch):
+    seen, scored = [], []
+    fit, score = pii.GBTClassifier.fit, pii.Judge.scored
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(pii.Judge, "scored", lambda self, rows: scored.append(rows.count()) or score(self, rows))
+    rng = random.Random(9)
+    bits = [f"mail u{i}@host.example.org" for i in range(3)] + ["build 123 456 7890"]
+    pairs = [(i, " ; ".join(rng.choice(bits) for _ in range(60))) for i in range(400)]
+    rows = documents(pairs).select("text", base_spans(F.col("text")).alias("base"), _proposed(F.col("text")).alias("p"))
+    candidates = _judged_by(rows.selectExpr("monotonically_increasing_id() AS row", "base", "explode(p) AS c")).cache()
+    judge = train_judge(candidates, Boosting(rounds=1))
+    clear = candidates.filter("label = 1 OR NOT touches AND NOT (kind = 'card' AND sound)").count()
+    assert clear > 22_000  # beyond what was learnt from before
+    assert judge is not None and seen[0] + scored[0] == clear and seen[0] > 2 * scored[0]
