@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stintwise.llm.words import give_back
+from stintwise.llm.words import give_back, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -78,6 +78,69 @@ PAIR_BITS, LOCKSTEP, TOGETHER = 20, 62, 20_000
 MOST_PAIRS = 200_000
 
 
+class Trie:
+    """Beginnings of pieces by number; steps from one to the next are looked up for many places at once."""
+
+    BITS, FREE = 19, -1
+
+    def __init__(self, ids: dict[str, int]):
+        steps: dict[int, int] = {}
+        piece = [-1]
+        for p, i in ids.items():
+            node = 0
+            for char in p:
+                key = node << 21 | ord(char)
+                node = steps.get(key, -1)
+                if node < 0:
+                    node = steps[key] = len(piece)
+                    piece.append(-1)
+            piece[node] = i
+        if len(steps) > 1 << self.BITS - 1:
+            raise ValueError("pieces with fewer beginnings are needed")
+        self.piece = np.array(piece, np.int32)
+        self.keys, self.nodes = np.full(1 << self.BITS, self.FREE, np.int64), np.full(1 << self.BITS, -1, np.int32)
+        key, node = (np.fromiter(x, np.int64, len(steps)) for x in (steps.keys(), steps.values()))
+        place = self._place(key)
+        while len(key):
+            free = self.keys[place] == self.FREE
+            self.keys[place[free]] = key[free]  # of several keys for one place the last stays
+            own = self.keys[place] == key
+            self.nodes[place[own]] = node[own]
+            key, node, place = key[~own], node[~own], self._next(place[~own])
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _next(self, place: np.ndarray) -> np.ndarray:
+        return place + 1 & (1 << self.BITS) - 1
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        place = self._place(key)
+        found = self.keys[place]
+        out = np.where(found == key, self.nodes[place], -1)
+        rest = np.flatnonzero((found != key) & (found != self.FREE))
+        while len(rest):
+            place[rest] = self._next(place[rest])
+            found = self.keys[place[rest]]
+            same = found == key[rest]
+            out[rest[same]] = self.nodes[place[rest[same]]]
+            rest = rest[~same & (found != self.FREE)]
+        return out
+
+    def longest(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest piece that begins at each of some places, or -1; ``chars`` ends with one that no piece has."""
+        out = np.full(len(at), -1, np.int64)
+        nth, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(nth):
+            node = self._step(node << 21 | chars[at])
+            on = node >= 0
+            nth, node, at = nth[on], node[on].astype(np.int64), at[on] + 1
+            piece = self.piece[node]
+            whole = piece >= 0
+            out[nth[whole]] = piece[whole]
+        return out
+
+
 @dataclass(frozen=True)
 class Growth:
     """The parts at either end of a piece while it is merged, each with the score of the merge that ends it (last: never).
@@ -109,18 +172,26 @@ class Words(dict):
 
     def keep(self, word: str, found: tuple[int, ...]) -> None:
         if len(word) <= self.LONGEST:
-            if self.held > self.coder.remembered:
-                self.older, self.held = dict(self), 0
-                self.clear()
-            self.held += self.FIXED + 2 * len(word) + 8 * len(found)
-            self[word] = found
+            self.make_room(2 * self.coder.remembered)
+            self.keep_all([word], [found])
+
+    def keep_all(self, words: list[str], found: list[tuple[int, ...]]) -> None:
+        self.held += self.FIXED * len(words) + 2 * sum(map(len, words)) + 8 * sum(map(len, found))
+        self.update(zip(words, found, strict=True))
+
+    def make_room(self, most: int) -> None:
+        """With more than ``most`` bytes in the newer half, forgets the older one."""
+        if self.held > most:
+            self.older, self.held = dict(self), 0
+            self.clear()
 
 
 class PieceCoder:
     """Encodes and decodes with one model.
 
-    ``remembered`` bounds the bytes that words and their ids may take, twice:
-    when the newer half is full the older one is forgotten.
+    ``remembered`` bounds the bytes that words and their ids may take before
+    some texts are read, twice: when the newer half is full the older one is
+    forgotten.  While one text is read, each half takes twice as much at most.
     """
 
     def __init__(self, model: PieceModel, remembered: int = 32 << 20):
@@ -306,15 +377,13 @@ class PieceCoder:
         """:meth:`_known` of many words of up to ``LOCKSTEP`` characters, all pieces: one step of each at a time."""
         if self.prefix is None:
             self.prefix = np.array([self.next_shorter(i) if kind == NORMAL else -1 for i, kind in enumerate(self.kinds)], np.int64)
-        joined = self.between.join(words)
-        end, hit = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2).T
-        longest = self.single_ids[np.frombuffer((joined + self.between).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        longest[end - (hit >> 20) + 1] = hit & _ID  # of one start the longest comes last
+            self.trie = Trie(self.ids)
+        chars = np.frombuffer(self.between.join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = np.array([len(w) for w in words], np.int64)
         first = np.cumsum(n + 1) - n - 1
         out = np.full((len(words), int(n.max(initial=0)) + 1), -1, np.int32)
         depth, at, failed = (np.zeros(len(words), np.int64) for _ in range(3))
-        this = longest[first]
+        this = self.trie.longest(chars, first)
         alive = np.arange(len(words))
         while len(alive):
             stuck = this[alive] < 0
@@ -336,7 +405,7 @@ class PieceCoder:
             depth[on] += 1
             at[on] = end[ok]
             more = at[on] < n[on]
-            this[on[more]] = longest[first[on[more]] + at[on[more]]]
+            this[on[more]] = self.trie.longest(chars, first[on[more]] + at[on[more]])
             done = np.zeros(len(words), bool)
             done[on[~more]] = True
             alive = alive[~done[alive]]
@@ -346,18 +415,17 @@ class PieceCoder:
 
     def prepare(self, splits: Iterable[list[str]]) -> None:
         """Encodes the words of some texts that are not remembered, together."""
-        words, new = self.words, []
-        for word in set(chain.from_iterable(splits)):
-            if word not in words:
-                known = words.older.get(word)
-                if known is not None:
-                    words.keep(word, known)
-                elif len(word) <= LOCKSTEP and word[-1] != MARK:
-                    new.append(word)
+        words = self.words
+        # What these texts add leaves room for the words that are encoded one by one: nothing they need is forgotten among them.
+        words.make_room(self.remembered * 3 // 4)
+        missing = set(chain.from_iterable(splits)).difference(words)
+        known = list(missing.intersection(words.older))
+        words.keep_all(known, list(map(words.older.__getitem__, known)))
+        new = [w for w in missing.difference(known) if len(w) <= LOCKSTEP and w[-1] != MARK]
         for start in range(0, len(new), TOGETHER):
+            words.make_room(2 * self.remembered)  # a very long text
             part = self._of_known_characters(new[start : start + TOGETHER])
-            for word, found in zip(part, self.encode_words(part), strict=True):
-                words.keep(word, found)
+            words.keep_all(part, self.encode_words(part))
 
     def encode_word(self, word: str) -> list[int]:
         """A word with at most one space mark, which leads it; unknown characters become bytes."""
@@ -442,8 +510,8 @@ def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for some in slices(batch.column(1)):
+                part = batch.slice(some.start, some.rows)
                 texts = part.column(1).to_pylist()
                 splits = [coder.split(t) for t in texts]
                 coder.prepare(splits)

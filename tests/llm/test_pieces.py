@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from stintwise.llm.pieces import PieceCoder, PieceModel, encode_decode
+from stintwise.llm.pieces import PieceCoder, PieceModel, Trie, encode_decode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -69,3 +70,30 @@ def test_table(spark, documents, odd_pairs):
     want = sorted(((i, library.encode(t or ""), library.decode(library.encode(t or ""))) for i, t in odd_pairs), key=key)
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=key) == want
     assert encode_decode(documents(odd_pairs).limit(0), PATH).count() == 0
+
+
+def test_words_of_one_part_are_not_forgotten_within_it(coders):
+    _, library = coders
+    ours, calls = PieceCoder(PieceModel.read(PATH), remembered=100_000), []
+    alone = ours.encode_word
+    ours.encode_word = lambda word: calls.append(word) or alone(word)
+    rng = random.Random(6)
+    for _ in range(4):
+        many = [" ".join("".join(rng.choices("etaoin", k=5)) for _ in range(12)) for _ in range(150)]
+        splits = [ours.split(t) for t in many]
+        ours.prepare(splits)
+        for text, words in zip(many, splits, strict=True):
+            assert ours.encode(text, words) == library.encode(text), repr(text)
+    assert not calls and ours.words.older
+
+
+def test_longest_pieces_as_by_plain_search(coders):
+    ours, _ = coders
+    rng, trie = random.Random(8), Trie(coders[0].ids)
+    for text in texts(9, 300):
+        text = "".join(c for c in text if c in ours.single)
+        if text:
+            chars = np.array([*map(ord, text), ord(ours.between)], np.int64)
+            at = np.array([rng.randrange(len(text)) for _ in range(20)], np.int64)
+            want = [next(ours.ids[text[a:b]] for b in range(min(len(text), a + 80), a, -1) if text[a:b] in ours.ids) for a in at.tolist()]
+            assert trie.longest(chars, at).tolist() == want
