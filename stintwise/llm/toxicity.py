@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.llm.rows import sample_rows
-from stintwise.llm.words import LOWER, NOT_LETTERS, Hasher, Texts, mix, slices, spans
+from stintwise.llm.words import LOWER, NOT_LETTERS, Hasher, Texts, give_back, mix, slices, spans
 from stintwise.session import written
 
 BUCKET_BITS = 22
@@ -98,14 +98,18 @@ def fit(labels: np.ndarray, lists: list[np.ndarray], training: Training) -> Mach
     if not 0 < positive < n:
         rate = (positive + 0.5) / (n + 1)
         return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, training.factors)), float(np.log(rate / (1 - rate))))
-    size = 1 << BUCKET_BITS
-    inside = [np.bincount(np.concatenate([x for x, y in zip(lists, labels, strict=True) if y == k]), minlength=size) for k in (0, 1)]
-    total = inside[0] + inside[1]
+    inside = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    for own, y in zip(lists, labels, strict=True):
+        if y in (0, 1):
+            inside[y, own] += 1  # a text's buckets are distinct
+    total = inside.sum(0, dtype=np.int32)
+    some = np.flatnonzero((total >= training.least_texts) & (total != n))
+    total, toxic = total[some], inside[1, some]
+    del inside
     expected = total * (positive / n)
-    apart = (inside[1] - expected) ** 2 / np.maximum(expected * (1 - total / n), 1e-9)
-    apart[(total < training.least_texts) | (total == n)] = 0
-    buckets = np.sort(np.argsort(-apart, kind="stable")[: training.terms])
-    buckets = buckets[apart[buckets] > 0]
+    apart = (toxic - expected) ** 2 / np.maximum(expected * (1 - total / n), 1e-9)
+    best = np.sort(np.argsort(-apart, kind="stable")[: training.terms])
+    buckets = some[best[apart[best] > 0]]
     x = np.zeros((n, len(buckets)), np.float32)
     for k, own in enumerate(lists):
         at = np.searchsorted(buckets, own)
@@ -142,6 +146,7 @@ def train(labelled: DataFrame, training: Training = Training()) -> Machine:  # n
         own = [np.frombuffer(b, np.int32) for b in given["buckets"]]
         model = fit(given["label"].to_numpy(), own, training)
         parts = [model.buckets.astype(np.int64), model.weights, model.factors]
+        give_back()
         return pd.DataFrame([[*(v.tobytes() for v in parts), model.bias]], columns=["buckets", "weights", "factors", "bias"])
 
     schema = "buckets binary, weights binary, factors binary, bias double"

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -64,3 +65,14 @@ def test_fit_needs_both_labels():
 def test_held_out_is_by_crc(spark):
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_training_takes_little_memory():
+    rng = np.random.default_rng(1)
+    labels = np.arange(2000) % 2
+    lists = [np.unique(np.append(rng.integers(0, 1 << 22, 700), 5 + y)).astype(np.int32) for y in labels]
+    tracemalloc.start()
+    machine = fit(labels, lists, Training())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {5, 6} <= set(machine.buckets.tolist()) and most < 100 << 20
