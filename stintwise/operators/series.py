@@ -101,6 +101,8 @@ class Series:
     order: list[str]
     max_rows: int
     hot: list | None
+    #: Rows of a range into which long series are cut; half of ``max_rows`` by default.
+    block: int | None = None
 
     @property
     def split(self) -> bool:
@@ -124,13 +126,14 @@ class Series:
             long = marked.where("_long").drop("_long")
             short = marked.where("_long IS NULL").drop("_long").withColumn("_bin", F.lit(0).cast("long"))
         most = int(long.sparkSession.conf.get(MAX_RANGES_CONF, str(DEFAULT_MAX_RANGES)))
-        ranges = min(most, max(2, -(-2 * long.count() // self.max_rows)))
+        n = long.count()
+        ranges = min(most, max(2, -(-n // self.block) if self.block else -(-2 * n // self.max_rows)))
         dealt = long.repartitionByRange(ranges, *self.keys, *self.order)
         cut = written(dealt.withColumn("_bin", F.spark_partition_id().cast("long")), "long-series")
         return cut if short is None else cut.unionByName(short)
 
     def replace(self, df: DataFrame) -> Series:
-        return Series(df, self.keys, self.order, self.max_rows, self.hot)
+        return Series(df, self.keys, self.order, self.max_rows, self.hot, self.block)
 
 
 def series(
@@ -139,11 +142,12 @@ def series(
     order: list[str],
     max_rows: int | None = None,
     measure: DataFrame | None = None,
+    block: int | None = None,
 ) -> Series:
     """``measure`` is a narrower or cheaper frame with the same rows per key, used only to look for long series."""
     limit = max_rows or max_series_rows(df)
     hot = long_keys(measure if measure is not None else df, keys, limit)
-    return Series(df, list(keys), list(order), limit, hot)
+    return Series(df, list(keys), list(order), limit, hot, block)
 
 
 def short_lap_series(df: DataFrame) -> Series:
@@ -152,9 +156,9 @@ def short_lap_series(df: DataFrame) -> Series:
     return Series(df, keys, ["lap_number"], max_series_rows(df), [])
 
 
-def lap_series(df: DataFrame, measure: DataFrame | None = None) -> Series:
+def lap_series(df: DataFrame, measure: DataFrame | None = None, block: int | None = None) -> Series:
     """Laps of a driver in a session."""
-    return series(df, ["session_key", "driver_number"], ["lap_number"], measure=measure)
+    return series(df, ["session_key", "driver_number"], ["lap_number"], measure=measure, block=block)
 
 
 def _earlier(keys: list[str]) -> WindowSpec:
