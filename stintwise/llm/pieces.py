@@ -22,7 +22,9 @@ import codecs
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
+from weakref import proxy
 
 import ahocorasick
 import numpy as np
@@ -45,6 +47,11 @@ class PieceModel:
     scores: tuple[float, ...]
     kinds: tuple[int, ...]
 
+    @cached_property
+    def coder(self) -> PieceCoder:
+        """The coder of this copy: later tasks of a Python worker need not build it, and it goes with the broadcast model."""
+        return PieceCoder(self)
+
     @staticmethod
     def read(path: str) -> PieceModel:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -75,7 +82,7 @@ _ID = (1 << 20) - 1
 #: Pairs of pieces whose compatibility is looked up for many words at once, the longest words so encoded, and how many together.
 PAIR_BITS, LOCKSTEP, TOGETHER = 20, 62, 20_000
 #: Judged pairs that are remembered besides.
-MOST_PAIRS = 200_000
+MOST_PAIRS = 50_000
 
 
 class Trie:
@@ -153,30 +160,34 @@ class Growth:
     in_order: bool
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Words(dict):
-    """The ids of words met lately, encoded when first asked for."""
+    """The ids of words met lately, as bytes, encoded when first asked for."""
 
     #: What Python takes for a word, its ids and their places, besides their contents.
-    FIXED, LONGEST = 250, 200
+    FIXED, LONGEST = 200, 200
 
     def __init__(self, coder: PieceCoder):
         super().__init__()
-        self.coder, self.older, self.held = coder, {}, 0
+        self.coder, self.older, self.held = proxy(coder), {}, 0
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            found = tuple(self.coder.encode_word(word))
+            found = _packed(self.coder.encode_word(word))
         self.keep(word, found)
         return found
 
-    def keep(self, word: str, found: tuple[int, ...]) -> None:
+    def keep(self, word: str, found: bytes) -> None:
         if len(word) <= self.LONGEST:
             self.make_room(2 * self.coder.remembered)
             self.keep_all([word], [found])
 
-    def keep_all(self, words: list[str], found: list[tuple[int, ...]]) -> None:
-        self.held += self.FIXED * len(words) + 2 * sum(map(len, words)) + 8 * sum(map(len, found))
+    def keep_all(self, words: list[str], found: list[bytes]) -> None:
+        self.held += self.FIXED * len(words) + 2 * sum(map(len, words)) + sum(map(len, found))
         self.update(zip(words, found, strict=True))
 
     def make_room(self, most: int) -> None:
@@ -194,7 +205,7 @@ class PieceCoder:
     forgotten.  While one text is read, each half takes twice as much at most.
     """
 
-    def __init__(self, model: PieceModel, remembered: int = 32 << 20):
+    def __init__(self, model: PieceModel, remembered: int = 16 << 20):
         self.pieces, self.remembered = model.pieces, remembered
         self.ids = {p: i for i, (p, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)) if kind == NORMAL}
         self.scores, self.kinds = model.scores, model.kinds
@@ -373,8 +384,8 @@ class PieceCoder:
         known[np.searchsorted(ends, np.flatnonzero(unknown))] = False
         return [w for w, k in zip(words, known.tolist(), strict=True) if k]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """:meth:`_known` of many words of up to ``LOCKSTEP`` characters, all pieces: one step of each at a time."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """:meth:`_known` of many words, as bytes, of up to ``LOCKSTEP`` characters, all pieces: one step of each at a time."""
         if self.prefix is None:
             self.prefix = np.array([self.next_shorter(i) if kind == NORMAL else -1 for i, kind in enumerate(self.kinds)], np.int64)
             self.trie = Trie(self.ids)
@@ -409,9 +420,9 @@ class PieceCoder:
             done = np.zeros(len(words), bool)
             done[on[~more]] = True
             alive = alive[~done[alive]]
-        flat = out[np.arange(out.shape[1]) < depth[:, None]].tolist()
-        stop = np.cumsum(depth).tolist()
-        return [tuple(flat[b - d : b]) for b, d in zip(stop, depth.tolist(), strict=True)]
+        flat = out[np.arange(out.shape[1]) < depth[:, None]].tobytes()
+        stop = 4 * np.cumsum(depth)
+        return [flat[a:b] for a, b in zip((stop - 4 * depth).tolist(), stop.tolist(), strict=True)]
 
     def prepare(self, splits: Iterable[list[str]]) -> None:
         """Encodes the words of some texts that are not remembered, together."""
@@ -444,36 +455,43 @@ class PieceCoder:
             out += self._known(word[start:])
         return out
 
-    def _spaced(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+    def _spaced(self, words: list[str]) -> Iterator[bytes]:
         """Words among runs of space marks: marks that no word takes form runs, which begin with the longest piece."""
-        lone, run = self.ids[MARK], 0
+        lone, run = _packed([self.ids[MARK]]), 0
         for word in [*words, ""]:
             if word and word[0] == MARK and word[-1] == MARK:
                 run += len(word)
                 continue
-            ids = self.words[word] if word else ()
-            if run and ids and ids[0] == lone:
-                run, ids = run + 1, ids[1:]
+            ids = self.words[word] if word else b""
+            if run and ids[:4] == lone:
+                run, ids = run + 1, ids[4:]
             if run:
-                yield (self.ids[MARK * self.longest_run],) * (run // self.longest_run)
-                yield self.rests[run % self.longest_run]
+                yield _packed([self.ids[MARK * self.longest_run]]) * (run // self.longest_run)
+                yield _packed(self.rests[run % self.longest_run])
                 run = 0
             yield ids
 
     def forget(self) -> None:
-        """Drops the words met on the way: the worker outlives its task, and most words are rare."""
-        self.words = Words(self)
+        """Drops the words met on the way: the worker outlives its task, and most words are rare.
+
+        Pairs of pieces stay known by their table of fixed size.
+        """
+        self.words, self.fitting = Words(self), {}
 
     def split(self, text: str | None) -> list[str]:
         """The words of a text, each with the space mark before it."""
         return self.in_words.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None, words: list[str] | None = None) -> list[int]:
+        return self.packed(text, words).tolist()
+
+    def packed(self, text: str | None, words: list[str] | None = None) -> np.ndarray:
+        """The ids of a text in an array."""
         if not text:
-            return []
+            return np.empty(0, np.int32)
         words = self.split(text) if words is None else words
         marked = MARK + MARK in text or "  " in text or text[0] in f" {MARK}" or f" {MARK}" in text or f"{MARK} " in text
-        return list(chain.from_iterable(self._spaced(words) if marked else map(self.words.__getitem__, words)))
+        return np.frombuffer(b"".join(self._spaced(words) if marked else map(self.words.__getitem__, words)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         ids = list(ids)
@@ -484,16 +502,8 @@ class PieceCoder:
         return raw.decode("utf-8", "stintwise.piece_bytes")
 
 
-_coders: dict[int, PieceCoder] = {}
-
-
-def _coder(model) -> PieceCoder:
-    """The coder of this Python worker: later tasks need not build it."""
-    key = hash(model.value)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = PieceCoder(model.value)
-    return _coders[key]
+#: Texts are read so many bytes at a time, or a text at a time.
+_READ = 1 << 19
 
 
 def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) -> DataFrame:
@@ -508,18 +518,18 @@ def encode_decode(docs: DataFrame, model_path: str, keep_text: bool = False) ->
     model = docs.sparkSession.sparkContext.broadcast(PieceModel.read(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(model)
+        coder = model.value.coder
         for batch in batches:
-            for some in slices(batch.column(1)):
+            for some in slices(batch.column(1), _READ):
                 part = batch.slice(some.start, some.rows)
                 texts = part.column(1).to_pylist()
                 splits = [coder.split(t) for t in texts]
                 coder.prepare(splits)
-                ids = list(map(coder.encode, texts, splits))
+                ids = list(map(coder.packed, texts, splits))
+                del texts, splits
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                decoded = pa.array([coder.decode(x) for x in ids], pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                decoded = pa.array([coder.decode(x.tolist()) for x in ids], pa.string())
                 columns = [part.column(0), lists, decoded, *([part.column(1)] if keep_text else [])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "text"][: len(columns)])
         coder.forget()

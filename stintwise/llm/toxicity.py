@@ -26,6 +26,8 @@ from stintwise.session import written
 BUCKET_BITS = 22
 #: Lengths in bytes of the word beginnings that are terms besides whole words.
 BEGINNINGS = (4, 5, 6)
+#: Texts are read so many bytes at a time, or a text at a time.
+_READ = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def term_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct buckets of each labelled text."""
     for batch in batches:
-        for texts in slices(batch.column(1)):
+        for texts in slices(batch.column(1), _READ):
             rows, buckets = term_buckets(texts)
             distinct = np.unique(rows * (1 << BUCKET_BITS) + buckets)
             at = np.searchsorted(distinct >> BUCKET_BITS, np.arange(texts.rows + 1))
@@ -173,7 +175,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str | Column], name: str
         place = m.places()
         for batch in batches:
             margins = np.full(batch.num_rows, m.bias)
-            for texts in slices(batch.column(at)):
+            for texts in slices(batch.column(at), _READ):
                 row, bucket = term_buckets(texts)
                 found = place[bucket]
                 hit = found >= 0

@@ -1,4 +1,5 @@
 import random
+from weakref import ref
 
 import numpy as np
 import public_tokenizers
@@ -97,3 +98,16 @@ def test_longest_pieces_as_by_plain_search(coders):
             at = np.array([rng.randrange(len(text)) for _ in range(20)], np.int64)
             want = [next(ours.ids[text[a:b]] for b in range(min(len(text), a + 80), a, -1) if text[a:b] in ours.ids) for a in at.tolist()]
             assert trie.longest(chars, at).tolist() == want
+
+
+def test_a_coder_goes_with_its_model_and_words_with_their_task():
+    model = PieceModel.read(PATH)
+    coder = model.coder
+    assert coder is model.coder
+    coder.prepare([coder.split("some words to remember")])
+    assert coder.words and all(isinstance(ids, bytes) for ids in coder.words.values())
+    coder.forget()
+    assert not coder.words and not coder.fitting
+    gone = ref(coder)
+    del coder, model
+    assert gone() is None

@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of what it must do to its own input."""
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -84,3 +85,21 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         docs = written(stage(spark, docs, SF), "test")
         assert docs.count() == 0
+
+
+def test_batches_of_a_stage_are_bounded(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    def step(spark, docs, sf_dir):
+        return docs.mapInArrow(sizes, "size long, n long")
+
+    before = spark.conf.get(P.BATCH_CONF)
+    try:
+        docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('text ', 500) AS text")
+        found = P._stage(step)(spark, docs, SF).collect()
+    finally:
+        spark.conf.set(P.BATCH_CONF, before)
+    assert sum(r.n for r in found) == 3000
+    assert max(r.size for r in found) < 1.5 * 2**20
