@@ -9,10 +9,10 @@ in the filter.  Probabilities of pairs are smoothed with those of words, those
 of words over all words.
 
 The filter grows with the corpus.  Up to ``most_bytes`` it is broadcast and
-texts are scored where they are read.  Beyond that, the distinct n-grams of the
-texts are probed, group of segments by group, each a broadcast of that size at
-most, and the levels are joined to the tokens: the same levels, the same
-scores.
+texts are scored where they are read.  Beyond that, texts are kept in blocks,
+and the distinct n-grams of a block go to the part of the filter that has them.
+What comes back is a byte for each, in an order that the block knows: the same
+levels, the same scores.
 
 Beside it stand exact word counts: those of the most frequent words, a bounded
 list, are known to every task; only the other tokens meet their counts in a join.
@@ -22,15 +22,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintwise.llm.words import Texts, mix, slices, words
-from stintwise.session import shared_dir, written
+from stintwise.llm.words import Texts, mix, slices, unmix, words
+from stintwise.session import written
 
 #: What words and pairs become: words are odd keys, pairs even ones.  The end of a text is a word, and stands before the next text's first.
 END = int(mix(np.array([0x243F6A8885A308D3], np.uint64))[0]) | 1
@@ -39,6 +40,11 @@ _ONE = np.uint64(1)
 _MOST_LEVELS = 64
 #: Words of 64 bits in a segment of the filter.
 SEGMENT = 1 << 14
+#: Segments that a task holds at once when n-grams come to the filter, and bytes of text whose n-grams come together.
+PART = 32
+BLOCK_BYTES = 4 << 20
+#: What stands behind the parts that answer a block: the block itself.
+_BLOCK = (1 << 63) - 1
 _LEVELS = np.arange(_MOST_LEVELS, dtype=np.uint64) * _LEVEL
 #: Fixed value: what is added to each count of the base score.
 ADDED = 0.1
@@ -140,9 +146,14 @@ def _scaled(hashed: np.ndarray, size: int) -> np.ndarray:
     return ((hashed >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_segment(keys: np.ndarray) -> np.ndarray:
+    """Another number for each key; their order is that of the segments."""
+    return mix(keys ^ _FIRST)
+
+
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     """The segment that has all levels of a key."""
-    return _scaled(mix(keys ^ _FIRST), segments)
+    return _scaled(_by_segment(keys), segments)
 
 
 def _places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,98 +263,198 @@ def _chances(word: np.ndarray, before: np.ndarray, pair: np.ndarray, totals: Tot
     return (np.minimum(pair, before) + model.weight * alone) / (before + model.weight)
 
 
-_TALLY = "rid long, n_tokens long, n_known long, base double, score double, rare array<long>"
+_TALLY = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
-def _tally(frequent, filter_words, segments: int, totals: Totals, model: Model):
+def _exact(frequent: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are frequent ones, and the counts of those."""
+    listed, counts = frequent
+    if not len(listed):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+    known = listed[at] == keys
+    return known, np.where(known, counts[at], 0)
+
+
+def _scores(t: Tokens, rows: int, word: np.ndarray, pairs, totals: Totals, model: Model) -> np.ndarray:
+    """Scores of texts from the levels of their words; ``pairs`` has those of the pairs at some places."""
+    before = np.empty_like(word)
+    before[1:], before[:1] = word[:-1], word[-1:]  # the last word is an end
+    pair = np.zeros(len(word), np.int8)
+    both = np.flatnonzero((word > 0) & (before > 0))
+    pair[both] = pairs(both)
+    counts = model.counts()
+    return np.bincount(t.row, np.log10(_chances(counts[word], counts[before], counts[pair], totals, model)), rows)
+
+
+def _told(batch: pa.RecordBatch, t: Tokens, here: np.ndarray, exact: np.ndarray, score: np.ndarray, totals: Totals) -> pa.RecordBatch:
     """What one pass tells of each text; words whose exact count is not known here are listed in ``rare``."""
+    rows = batch.num_rows
+    add = lambda x: np.bincount(t.row, x, rows)
+    base = add(np.where(here, np.log10((exact + ADDED) / totals.spread), 0.0))
+    left = np.flatnonzero(~here)
+    ends = np.searchsorted(t.row[left], np.arange(rows + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(2), batch.column(3), batch.column(0), pa.array(np.bincount(t.row, minlength=rows)),
+         pa.array(add(here.astype(float)).astype(np.int64)), pa.array(base), pa.array(score),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(t.key[left].view(np.int64)))],
+        ["doc_id", "held_out", "rid", "n_tokens", "n_known", "base", "score", "rare"],
+    )
+
+
+def _tally(frequent, filter_words, segments: int, totals: Totals, model: Model):
+    """Scores of the texts of ``rid, text, doc_id, held_out`` where they are, by the whole filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_keys, known_counts = frequent.value
-        counts = model.counts()
         for batch in batches:
             for texts in slices(batch.column(1)):
                 t = tokens(texts)
                 keys, nth = np.unique(t.key, return_inverse=True)
-                at = np.minimum(np.searchsorted(known_keys, keys), max(len(known_keys) - 1, 0))
-                known = known_keys[at] == keys if len(known_keys) else np.zeros(len(keys), bool)
-                exact = np.where(known, known_counts[at], 0) if len(known_keys) else np.zeros(len(keys))
-                here = known[nth]
-                add = lambda x, row=t.row, rows=texts.rows: np.bincount(row, x, rows)
-                base = add(np.where(here, np.log10((exact + ADDED) / totals.spread)[nth], 0.0))
-                if filter_words is None:
-                    score = np.zeros(texts.rows)
-                else:
-                    word = read_levels(filter_words.value, keys, segments)[nth]
-                    before = np.empty_like(word)
-                    before[1:] = word[:-1]
-                    before[:1] = read_levels(filter_words.value, np.array([END], np.uint64), segments)
-                    pair = np.zeros(len(word), np.int8)
-                    both = np.flatnonzero((word > 0) & (before > 0))
-                    pair[both] = read_levels(filter_words.value, t.pair[both], segments)
-                    score = add(np.log10(_chances(counts[word], counts[before], counts[pair], totals, model)))
-                left = np.flatnonzero(~here)
-                ends = np.searchsorted(t.row[left], np.arange(texts.rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.start, texts.rows), pa.array(np.bincount(t.row, minlength=texts.rows)),
-                     pa.array(add(here.astype(float)).astype(np.int64)), pa.array(base), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(t.key[left].view(np.int64)))],
-                    ["rid", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+                known, exact = _exact(frequent.value, keys)
+                word = read_levels(filter_words.value, keys, segments)[nth]
+                pairs = lambda at, t=t: read_levels(filter_words.value, t.pair[at], segments)
+                score = _scores(t, texts.rows, word, pairs, totals, model)
+                yield _told(batch.slice(texts.start, texts.rows), t, known[nth], exact[nth], score, totals)
 
     return run
 
 
-def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's tokens with the one before, equal ones counted."""
-    for batch in batches:
-        for texts in slices(batch.column(1)):
-            t = tokens(texts)
-            rid = batch.column(0).slice(texts.start, texts.rows).to_numpy()
-            order = np.lexsort((t.pair, t.row))
-            new = np.ones(len(order), bool)
-            new[1:] = (t.row[order][1:] != t.row[order][:-1]) | (t.pair[order][1:] != t.pair[order][:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(order)))
-            own = order[first]
-            columns = [rid[t.row[own]], t.key[own].view(np.int64), t.before[own].view(np.int64), t.pair[own].view(np.int64), n]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "word", "before", "pair", "n"])
-
-
-def _scores_by_join(rows: DataFrame, held: LogFilter, totals: Totals, model: Model) -> DataFrame:
-    """``rid, score`` with a filter beyond one broadcast."""
-    spark = rows.sparkSession
-    table = written(rows.mapInArrow(_distinct_tokens, "rid long, word long, before long, pair long, n long"), "lm-tokens")
-    segments, at_once = held.segments, held.at_once
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(most: int):
+    """Rows with texts as blocks: the first row's number, and the rows as compressed Arrow data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for own in waiting:
+                    stream.write_batch(own)
+            first = waiting[0].column(0).slice(0, 1)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([first, pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
         for batch in batches:
-            own = segment_of(batch.column(0).to_numpy().view(np.uint64), segments) // at_once
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], ["key", "part"])
-
-    keys = table.select(F.explode(F.array("word", "before", "pair")).alias("key")).distinct().mapInArrow(grouped, "key long, part long")
-    asked, answers = shared_dir(spark, "lm-keys"), shared_dir(spark, "lm-levels")
-    keys.repartition("part", F.pmod("key", F.lit(64))).write.partitionBy("part").parquet(asked)
-    for nth in range(held.groups):
-        part = spark.sparkContext.broadcast(held.load(nth))
-
-        def probed(batches: Iterator[pa.RecordBatch], part=part, first=nth * at_once) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                level = read_levels(part.value, batch.column(0).to_numpy().view(np.uint64), segments, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level)], ["key", "level"])
-
-        own = spark.read.schema("key long, part long").parquet(asked).filter(F.col("part") == nth).select("key")
-        own.mapInArrow(probed, "key long, level byte").write.parquet(f"{answers}/{nth}")
-        part.destroy()
-    levels = spark.read.schema("key long, level byte").parquet(*[f"{answers}/{nth}" for nth in range(held.groups)])
-    values = F.array(*[F.lit(float(c)) for c in model.counts()])
-    count_of = lambda name: F.element_at(values, (F.coalesce(name, F.lit(0)) + 1).cast("int"))
-    for name in ("word", "before", "pair"):
-        table = table.join(levels.select(F.col("key").alias(name), F.col("level").alias(f"{name}_level")), name, "left")
-    word, before = count_of("word_level"), count_of("before_level")
-    pair = F.when((word > 0) & (before > 0), count_of("pair_level")).otherwise(0.0)
-    chance = (F.least(pair, before) + model.weight * (word + ADDED) / totals.spread) / (before + model.weight)
-    return table.groupBy("rid").agg(F.sum(F.log10(chance) * F.col("n")).alias("score"))
+            for texts in slices(batch.column(1)):
+                waiting.append(batch.slice(texts.start, texts.rows))
+                size += len(texts.buf)
+                if size >= most:
+                    yield block()
+                    size = 0
+        if waiting:
+            yield block()
+
+    return run
+
+
+def _read_block(raw: pa.Buffer) -> list[tuple[pa.RecordBatch, Tokens]]:
+    with pa.ipc.open_stream(raw) as stream:
+        return [(batch.slice(texts.start, texts.rows), tokens(texts)) for batch in stream for texts in slices(batch.column(1))]
+
+
+def _close(numbers: np.ndarray) -> bytes:
+    """Rising numbers as their gaps, all lowest bytes first: between near ones the highest bytes are zeros, which compress."""
+    return np.diff(numbers, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _open(raw: pa.Buffer) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")
+    return np.cumsum(gaps.reshape(-1), dtype=np.uint64)
+
+
+def _ask(segments: int, at_once: int):
+    """The distinct n-grams of each block, by the part of the filter that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                numbers = np.sort(_by_segment(np.concatenate([x for _, t in _read_block(raw.as_buffer()) for x in (t.key, t.pair)])))
+                numbers = numbers[np.append(True, numbers[1:] != numbers[:-1])]
+                part = _scaled(numbers, segments) // at_once
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                data = pa.array([_close(own) for own in np.split(numbers, first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), block)), data], ["part", "block", "data"])
+
+    return run
+
+
+def _answer(segments: int, at_once: int):
+    """The levels that blocks ask for, a byte each.  A part's segments, numbered below 0, come before its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, np.empty(0, np.uint64)
+        for batch in batches:
+            part, block = (batch.column(k).to_numpy() for k in (0, 1))
+            raw = [x.as_buffer() for x in batch.column(2)]
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if part[a] != now:
+                    now, held = int(part[a]), np.zeros(at_once * SEGMENT, np.uint64)
+                asks = a + int((block[a:b] < 0).sum())
+                for k in range(a, asks):
+                    start = (int(block[k]) + at_once) * SEGMENT
+                    held[start : start + SEGMENT] = np.frombuffer(raw[k], np.uint64)
+                if asks < b:
+                    asked = [_open(x) for x in raw[asks:b]]
+                    level = read_levels(held, unmix(np.concatenate(asked)) ^ _FIRST, segments, now * at_once)
+                    data = pa.array([x.tobytes() for x in np.split(level, np.cumsum([len(x) for x in asked[:-1]]))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(asks, b - asks), batch.column(1).slice(asks, b - asks), data], ["part", "block", "data"])
+
+    return run
+
+
+def _tally_blocks(frequent, totals: Totals, model: Model):
+    """As :func:`_tally`, from blocks that come behind the answers of all parts, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: list[np.ndarray] = []
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if part != _BLOCK:
+                    levels.append(np.frombuffer(raw.as_buffer(), np.int8))
+                    continue
+                found = _read_block(raw.as_buffer())
+                keys, nth = np.unique(np.concatenate([t.key for _, t in found]), return_inverse=True)
+                known, exact = _exact(frequent.value, keys)
+                place = np.unique(_by_segment(np.concatenate([keys, *[t.pair for _, t in found]])), return_inverse=True)[1]
+                level = np.concatenate(levels)[place]
+                levels.clear()
+                pair = level[len(keys) :]
+                start = 0
+                for rows, t in found:
+                    own, of_pairs = nth[start : start + len(t.key)], pair[start : start + len(t.key)]
+                    score = _scores(t, rows.num_rows, level[own], of_pairs.take, totals, model)
+                    yield _told(rows, t, known[own], exact[own], score, totals)
+                    start += len(t.key)
+
+    return run
+
+
+def _by_parts(rows: DataFrame, held: LogFilter, frequent, totals: Totals, model: Model) -> DataFrame:
+    """What :func:`_tally` tells, with a filter beyond one broadcast: it moves by parts, and so does what blocks of texts ask for."""
+    segments, at_once = held.segments, min(held.at_once, PART)
+    blocks = written(rows.mapInArrow(_blocks(BLOCK_BYTES), "block long, rows binary"), "lm-blocks")  # read twice, so the numbers must stay
+    row = "part long, block long, data binary"
+    own = held.table.select(F.floor(F.col("segment") / at_once).alias("part"), (F.col("segment") % at_once - at_once).alias("block"), F.col("words").alias("data"))
+    asked = own.unionByName(blocks.mapInArrow(_ask(segments, at_once), row)).repartition("part").sortWithinPartitions("part", "block")
+    levels = written(asked.mapInArrow(_answer(segments, at_once), row), "lm-levels")
+    last = blocks.select(F.lit(_BLOCK).cast("long").alias("part"), "block", F.col("rows").alias("data"))
+    return levels.unionByName(last).repartition("block").sortWithinPartitions("block", "part").mapInArrow(_tally_blocks(frequent, totals, model), _TALLY)
+
+
+@contextmanager
+def _sparing(spark: SparkSession) -> Iterator[None]:
+    """Within the block, what is written leaves no shuffle files behind, and Python gets few megabytes of texts at a time."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def lm_scores(docs: DataFrame, held_out: Column | str, model: Model = Model()) -> DataFrame:  # noqa: B008
@@ -359,6 +470,31 @@ def lm_scores(docs: DataFrame, held_out: Column | str, model: Model = Model()) -
     ``doc_id`` gets a result of its own; an empty table gives no rows; without
     training texts all words are unseen.  Further columns are not read.
     """
+    with _sparing(docs.sparkSession):
+        told, seen, totals = _told_of_all(docs, held_out, model)
+    rest = (
+        told.select("rid", F.explode("rare").alias("key"))
+        .join(seen, "key", "left")
+        .groupBy("rid")
+        .agg(F.count("n").alias("known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + ADDED) / totals.spread)).alias("more"))
+    )
+    return (
+        told.drop("rare")
+        .join(rest, "rid", "left")
+        .select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+            F.lit(totals.tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+            "score",
+        )
+    )
+
+
+def _told_of_all(docs: DataFrame, held_out: Column | str, model: Model) -> tuple[DataFrame, DataFrame, Totals]:
+    """What is told of each text, the exact counts of words, and their totals."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.expr(held_out) if isinstance(held_out, str) else held_out).alias("held_out"), "text")
     ngrams = written(count_ngrams(rows.filter("NOT held_out"), model), "lm-ngrams")
@@ -380,41 +516,9 @@ def lm_scores(docs: DataFrame, held_out: Column | str, model: Model = Model()) -
     shared = spark.sparkContext.broadcast(listed)
 
     held = build_filter(ngrams, model)
-    whole = spark.sparkContext.broadcast(held.load(0)) if held.groups == 1 else None
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    if not whole:
-        numbered = written(numbered, "lm-texts")  # read twice, so the numbers must stay
-    told = numbered.select("rid", "text", "doc_id", "held_out").mapInArrow(_with_own(_tally(shared, whole, held.segments, totals, model)), f"doc_id long, held_out boolean, {_TALLY}")
-    told = written(told, "lm-tally")
-    rest = (
-        told.select("rid", F.explode("rare").alias("key"))
-        .join(seen, "key", "left")
-        .groupBy("rid")
-        .agg(F.count("n").alias("known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + ADDED) / totals.spread)).alias("more"))
-    )
-    out = told.drop("rare").join(rest, "rid", "left")
-    if not whole:
-        out = out.drop("score").join(_scores_by_join(numbered.select("rid", "text"), held, totals, model), "rid")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def _with_own(run):
-    """``run`` over ``rid, text``, with the two columns behind them in front of its result."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for found in run(iter([batch])):
-                own = [batch.column(c).slice(at, found.num_rows) for c in (2, 3)]
-                at += found.num_rows
-                yield pa.RecordBatch.from_arrays([*own, *found.columns], ["doc_id", "held_out", *found.schema.names])
-
-    return wrapped
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", "held_out")
+    if held.groups == 1:
+        told = numbered.mapInArrow(_tally(shared, spark.sparkContext.broadcast(held.load(0)), held.segments, totals, model), _TALLY)
+    else:
+        told = _by_parts(numbered, held, shared, totals, model)
+    return written(told, "lm-tally"), seen, totals

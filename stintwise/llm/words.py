@@ -38,6 +38,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What :func:`mix` made these numbers of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * _UNMIX[0]
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * _UNMIX[1]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+_UNMIX = [np.uint64(pow(x, -1, 1 << 64)) for x in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
 class _Powers:
     """Powers of the hash's base and of its inverse, as many as the longest slice needed so far."""
 

@@ -2,12 +2,16 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stintwise.llm import lm_score
 from stintwise.llm.lm_score import Model, build_filter, count_ngrams, lm_scores, read_levels
+from stintwise.llm.words import mix, unmix
+from stintwise.session import writing_to
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +84,48 @@ def test_filter_beyond_one_broadcast_gives_the_same(spark, documents):
     check(lm_scores(docs, HELD_OUT), some_texts(), Model(), score_too=False)
 
 
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in (blocks.apply(k).name() for k in range(blocks.size())) if name.startswith("shuffle_")}
+
+
+def test_filter_beyond_one_broadcast_needs_little_disk(spark, documents, tmp_path):
+    """Texts of their own words: nearly each pair of words occurs once in its text, and goes to the filter."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"word{k}" for k in rng.zipf(1.3, 400) % 5000) for _ in range(1500)]
+    docs = documents(list(enumerate(texts)))
+    before = shuffle_files(spark)
+    with writing_to(str(tmp_path)):
+        lm_scores(docs, HELD_OUT, Model(most_bytes=1 << 17))
+    kept = sum(f.stat().st_size for f in Path(tmp_path).rglob("*") if f.is_file())
+    assert kept < sum(map(len, texts))
+    assert shuffle_files(spark) <= before
+
+
+@pytest.mark.parametrize("block", [200, 3000])
+def test_blocks_of_any_size_and_parts_of_segments_give_the_same(spark, documents, odd_pairs, monkeypatch, block):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_score, "PART", 3)
+    pairs = [*some_texts(100), *odd_pairs]
+    docs = documents(pairs)
+    key = lambda r: (repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.base_score, r.score)
+    whole, parts = ([key(r) for r in lm_scores(docs, HELD_OUT, Model(bits_per_key=200, most_bytes=m, most_frequent=50)).collect()] for m in (1 << 28, 1 << 20))
+    assert sorted(whole) == sorted(parts)
+
+
+def test_numbers_of_keys():
+    numbers = np.unique(mix(np.arange(70_000, dtype=np.uint64)))
+    assert (lm_score._open(memoryview(lm_score._close(numbers))) == numbers).all()
+    assert (np.sort(unmix(numbers)) == np.arange(70_000)).all()
+
+
+def test_settings_are_given_back(spark, documents):
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k, None) for k in keys]
+    lm_scores(documents([(1, "a b")]), HELD_OUT)
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
 def test_levels_are_never_too_low_and_seldom_too_high(spark, documents):
     model = Model()
     ngrams = count_ngrams(documents(some_texts()), model).cache()
